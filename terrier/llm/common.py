@@ -1,15 +1,15 @@
-"""What the corpus operators share: reading, row keys, scratch tables."""
+"""What the corpus operators share: reading, row keys, pieces of batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrier.sources.scratch import drop_written, written  # noqa: F401
+
 #: A word is a run of anything but space and the five ASCII line and tab characters; bytes.split() cuts at just these six.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,31 +19,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (tests), one of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='terrier-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/terrier-{spark.sparkContext.applicationId}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: it is computed once, and losing an executor loses none of it."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files behind a table made by written() that nothing reads any more."""
-    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
-    for name in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(hadoop).delete(path, True)
-
-
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names that begin with those wanted and that no column of df has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -6,15 +6,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrier.llm.common import read_table
+from terrier.llm.exact_dedup import exact_groups
+from terrier.llm.mixing import plan_mix
+from terrier.llm.simhash import near_duplicates
 from terrier.llm.substring_dedup import dedup_passages
 
 
+def _id(column: str):
+    """A k_id as the id that it stands for."""
+    return F.when(F.col(column) != -(2**63), F.col(column))
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words under recurring windows of 35 words are removed; of the rest, a digest."""
     out = dedup_passages(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix of sources weighing 3, 1, 2 takes."""
+    out = plan_mix(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 3-word shingles and their components at 2 bits."""
+    out = near_duplicates(read_table(spark, sf_dir, "documents"))
+    return out.select(_id("k_id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), _id("root.k_id").alias("component_id"))
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts that are equal but for the case of A-Z."""
+    out = exact_groups(read_table(spark, sf_dir, "documents"))
+    return out.select(_id("k_id").alias("doc_id"), _id("keep").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op8_simhash, op10_exact_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mix_sources": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+        ), s AS (
+            SELECT source, sum(size)::BIGINT AS source_size,
+                   [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+            FROM d GROUP BY source
+        ), fill AS (
+            SELECT 0 AS step, source, source_size, weight, FALSE AS stopped, 1.5 * sum(source_size) OVER () AS rest FROM s
+            UNION ALL
+            SELECT step + 1, source, source_size, weight, stopped OR over_,
+                   1.5 * sum(source_size) OVER () - coalesce(sum(CASE WHEN stopped OR over_ THEN 2.0 * source_size END) OVER (), 0)
+            FROM (SELECT *, rest * weight / nullif(sum(CASE WHEN NOT stopped THEN weight ELSE 0 END) OVER (), 0) > 2.0 * source_size AS over_ FROM fill)
+            WHERE step < (SELECT count(*) FROM s)
+        ), t AS (
+            SELECT source, source_size,
+                   (CASE WHEN stopped THEN 2.0 * source_size ELSE rest * weight / nullif(sum(CASE WHEN NOT stopped THEN weight ELSE 0 END) OVER (), 0) END)::DOUBLE AS target
+            FROM fill WHERE step = (SELECT count(*) FROM s)
+        ), r AS (
+            SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
+                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix-1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken FROM r""",
+    "op10_exact_dedup": """
+        WITH n AS (
+            SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents
+        )
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
+        FROM n WINDOW g AS (PARTITION BY text_sha256)""",
+}
