@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrier.llm.common import read_table
 from terrier.llm.exact_dedup import exact_groups
 from terrier.llm.mixing import plan_mix
+from terrier.llm.secret_scan import scan_secrets, span_text
 from terrier.llm.simhash import near_duplicates
 from terrier.llm.substring_dedup import dedup_passages
 
@@ -29,6 +30,13 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of candidate secrets, and of their values as widely copied or owner-specific."""
+    out = scan_secrets(read_table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(span_text(F.col("spans"), base_only=True), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 3-word shingles and their components at 2 bits."""
     out = near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -41,7 +49,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(_id("k_id").alias("doc_id"), _id("keep").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op8_simhash, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op6_secret_scan, op8_simhash, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": r"""
