@@ -7,14 +7,15 @@ found in three steps, none of which holds more than a bounded group in memory:
    anchors, and about one word in 15 starts an anchor. Anchors are counted over the whole corpus; a window whose anchor
    occurs once can't recur.
 2. Confirm. The stretch of words around each recurring anchor goes to the shard of that anchor, where its windows are
-   counted word by word. Anchors with very many stretches are dealt over several shards, and their windows are counted
-   by a grouped aggregate beforehand.
+   counted word by word. An anchor with very many stretches is dealt over several shards; windows that one of these
+   sees once are then compared over all of them by digest.
 3. Locate. Each shard compiles an Aho-Corasick automaton of its confirmed phrases, over words as symbols, and streams
    all of its stretches through it. The matches, given as word spans, go back to their documents.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrier.llm.common import row_key, small_batches
+from terrier.llm.common import row_key, small_batches, written
 
 WINDOW = 35
 GRAM = 8
@@ -70,12 +71,12 @@ def _first_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _anchors(texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """For each anchor in the texts: the text's place in the list, the anchor's hash, and the windows that it stands for (the first one's first word, and how many)."""
+    """For each anchor in the texts: the text's place in the list, the anchor's hash, the windows that it stands for (the first one's first word, and how many), and how often it occurs in a row. Where a text repeats itself an anchor follows itself; these occurrences make one stretch."""
     texts = [b" ".join((x or b"").split()) for x in texts]
     words = np.array([x.count(b" ") + 1 if x else 0 for x in texts], np.int64)
     flat, n = b" ".join(x for x in texts if x), int(words.sum())
     if n < window:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32))
     if len(flat) > len(_anchors.powers[0]):
         _anchors.powers = tuple(_powers(b, max(1 << 21, 2 * len(flat))) for b in (_BASE, _INVERSE))
     with np.errstate(over="ignore"):
@@ -89,11 +90,16 @@ def _anchors(texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ..
     text = np.repeat(np.arange(len(texts)), words)
     starts = np.flatnonzero(text[: n - window + 1] == text[window - 1 :])
     owner = owner[starts]
-    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])) if len(owner) else [])
+    if not len(owner):
+        return _anchors([], window, gram)
+    changes = owner[1:] != owner[:-1]
+    leaps = changes & ((grams[owner[1:]] != grams[owner[:-1]]) | (starts[1:] != starts[:-1] + 1))
+    first = np.flatnonzero(np.concatenate(([True], leaps)))
     many = np.diff(np.append(first, len(owner)))
+    times = np.add.reduceat(np.concatenate(([1], changes)), first)
     at = starts[first]
     begins = np.cumsum(words) - words
-    return text[at], grams[owner[first]].view(np.int64), (at - begins[text[at]]).astype(np.int32), many.astype(np.int32)
+    return text[at], grams[owner[first]].view(np.int64), (at - begins[text[at]]).astype(np.int32), many.astype(np.int32), times.astype(np.int32)
 
 
 _anchors.powers = (np.zeros(0, np.uint64),) * 2
@@ -102,8 +108,8 @@ _anchors.powers = (np.zeros(0, np.uint64),) * 2
 def _emit_hashes(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "body"):
-            hashes = _anchors(batch.column("body").to_pylist(), window, gram)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes)], ["anchor"])
+            _, hashes, _, _, times = _anchors(batch.column("body").to_pylist(), window, gram)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(times)], ["anchor", "times"])
 
     return run
 
@@ -111,7 +117,7 @@ def _emit_hashes(window: int, gram: int):
 def _emit_anchors(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "body"):
-            text, hashes, first, many = _anchors(batch.column("body").to_pylist(), window, gram)
+            text, hashes, first, many, _ = _anchors(batch.column("body").to_pylist(), window, gram)
             keys = [batch.column(k).take(pa.array(text)) for k in ("k_id", "k_text")]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(hashes), pa.array(first), pa.array(many)], ["k_id", "k_text", "anchor", "first", "many"])
 
@@ -146,7 +152,7 @@ def _cover(found: list[int], window: int) -> list[int]:
 
 
 def _locate_in_shard(rows: list[tuple], window: int) -> list[tuple]:
-    """rows: (id, text hash, first word, windows, stretch, confirmed windows or None to count them here)."""
+    """rows: (id, text hash, first word, windows, stretch, shards of its anchor). Returns (id, text hash, begin, finish, None) for each match, and for anchors of several shards windows with their digest: those seen once with their place, of the others one without."""
     import ahocorasick
 
     symbols: dict[bytes, str] = {}
@@ -159,44 +165,51 @@ def _locate_in_shard(rows: list[tuple], window: int) -> list[tuple]:
     streams = ["".join([known(w) or symbol(w) for w in r[4].split(b" ")]) for r in rows]
     counts: dict[str, int] = {}
     for r, s in zip(rows, streams, strict=True):
-        if r[5] is None:
-            for i in range(r[3]):
-                phrase = s[i : i + window]
-                counts[phrase] = counts.get(phrase, 0) + 1
-    phrases = ahocorasick.Automaton()
+        for i in range(r[3]):
+            phrase = s[i : i + window]
+            counts[phrase] = counts.get(phrase, 0) + 1
+    phrases, out, told = ahocorasick.Automaton(), [], set()
     for r, s in zip(rows, streams, strict=True):
-        confirmed = sorted(set(r[5])) if r[5] is not None else [i for i in range(r[3]) if counts[s[i : i + window]] > 1]
-        for i in _cover(confirmed, window):
+        found = [i for i in range(r[3]) if counts[s[i : i + window]] > 1]
+        for i in _cover(found, window):
             phrases.add_word(s[i : i + window], True)
+        if r[5] > 1:
+            words = r[4].split(b" ")
+            for i in range(r[3]):
+                phrase = s[i : i + window]
+                if phrase not in told:
+                    told.add(phrase)
+                    place = (r[0], r[1], r[2] + i, r[2] + i + window) if counts[phrase] == 1 else (None,) * 4
+                    out.append((*place, hashlib.md5(b" ".join(words[i : i + window]), usedforsecurity=False).digest()))
     if not len(phrases):
-        return []
+        return out
     phrases.make_automaton()
-    out = []
     for r, s in zip(rows, streams, strict=True):
         begin = end = -1
         for last, _ in phrases.iter(s):
             if last - window + 1 > end:
                 if end >= 0:
-                    out.append((r[0], r[1], r[2] + begin, r[2] + end))
+                    out.append((r[0], r[1], r[2] + begin, r[2] + end, None))
                 begin = last - window + 1
             end = last + 1
         if end >= 0:
-            out.append((r[0], r[1], r[2] + begin, r[2] + end))
+            out.append((r[0], r[1], r[2] + begin, r[2] + end, None))
     return out
 
 
 def _locate(window: int, shard_rows: int):
+    types = {"k_id": pa.int64(), "k_text": pa.int64(), "begin": pa.int32(), "finish": pa.int32(), "digest": pa.binary()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         group = None
 
         def flush() -> pa.RecordBatch:
-            found = _locate_in_shard(rows, window)
-            columns = list(zip(*found, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["k_id", "k_text", "begin", "finish"])
+            columns = list(zip(*_locate_in_shard(rows, window), strict=True)) or [[]] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types))
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("anchor", "salt", "k_id", "k_text", "first", "many", "stretch", "confirmed")]
+            columns = [batch.column(c).to_pylist() for c in ("anchor", "salt", "k_id", "k_text", "first", "many", "stretch", "shares")]
             for anchor, salt, *row in zip(*columns, strict=True):
                 if len(rows) >= shard_rows and (anchor, salt) != group:
                     yield flush()
@@ -217,7 +230,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other. An empty table gives an empty result."""
     id_, body = F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(*row_key(id_, body), body.cast("binary").alias("body"))
-    counts = texts.select("body").mapInArrow(_emit_hashes(window, gram), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    counts = texts.select("body").mapInArrow(_emit_hashes(window, gram), "anchor long, times int").groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1")
     anchors = texts.mapInArrow(_emit_anchors(window, gram), "k_id long, k_text long, anchor long, first int, many int")
     # The number of shards that an anchor's stretches are dealt over; 1 for nearly all.
     shares = F.ceil(F.col("n") / group_limit).cast("int").alias("shares")
@@ -227,24 +240,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = texts.join(per_text, ["k_id", "k_text"])
     stretches = joined.mapInArrow(_emit_stretches(window), "k_id long, k_text long, anchor long, shares int, first int, many int, stretch binary")
     salt = F.pmod(F.xxhash64("k_id", "k_text", "first"), F.col("shares")).cast("int").alias("salt")
-    stretches = stretches.withColumn("salt", salt)
-    none = F.lit(None).cast("array<int>").alias("confirmed")
-    rare = stretches.where("shares = 1").select("anchor", "salt", "k_id", "k_text", "first", "many", "stretch", none)
-    common = _confirm_common(stretches.where("shares > 1"), window)
-    shards = rare.unionByName(common).repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-    found = shards.mapInArrow(_locate(window, shard_rows), "k_id long, k_text long, begin int, finish int")
-    return found.groupBy("k_id", "k_text").agg(F.collect_set(F.struct("begin", "finish")).alias("spans"))
-
-
-def _confirm_common(stretches: DataFrame, window: int) -> DataFrame:
-    """Confirmed windows of anchors too common for one group: windows are counted by digest, with partial sums before the shuffle, and joined back to their stretches."""
-    words = F.split(F.col("stretch").cast("string"), " ")
-    digest = lambda i: F.struct(i.alias("at"), F.md5(F.array_join(F.slice("words", i + 1, window), " ")).alias("digest"))
-    key = ["anchor", "salt", "k_id", "k_text", "first"]
-    windows = stretches.select(*key, "many", words.alias("words")).select(*key, F.explode(F.transform(F.sequence(F.lit(0), F.col("many") - 1), digest)).alias("w")).select(*key, "w.at", "w.digest")
-    recurring = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    confirmed = windows.join(recurring, "digest").groupBy(*key).agg(F.collect_set("at").alias("confirmed"))
-    return stretches.join(confirmed, key).select("anchor", "salt", "k_id", "k_text", "first", "many", "stretch", "confirmed")
+    shards = stretches.withColumn("salt", salt).repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
+    found = written(shards.mapInArrow(_locate(window, shard_rows), "k_id long, k_text long, begin int, finish int, digest binary"), "phrases")
+    once = found.where("digest is not null")
+    over_shards = once.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    spans = found.where("digest is null").drop("digest").union(once.where("k_id is not null").join(over_shards, "digest").drop("digest"))
+    return spans.groupBy("k_id", "k_text").agg(F.collect_set(F.struct("begin", "finish")).alias("spans"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
