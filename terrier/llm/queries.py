@@ -11,6 +11,7 @@ from terrier.llm.common import read_table
 from terrier.llm.exact_dedup import exact_groups
 from terrier.llm.lattice_lm import score_texts
 from terrier.llm.mixing import plan_mix
+from terrier.llm.posting_ann import nearest
 from terrier.llm.secret_scan import scan_secrets, span_text
 from terrier.llm.simhash import near_duplicates
 from terrier.llm.substring_dedup import dedup_passages
@@ -43,6 +44,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(with_escape_case(read_table(spark, sf_dir, "conversations"))))
 
 
+def op5_posting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest, by inner product, of every vector whose id is divisible by 20."""
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of candidate secrets, and of their values as widely copied or owner-specific."""
     out = scan_secrets(read_table(spark, sf_dir, "documents"))
@@ -62,7 +68,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(_id("k_id").alias("doc_id"), _id("keep").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_lattice_lm, op4_chat_format, op6_secret_scan, op8_simhash, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_lattice_lm, op4_chat_format, op5_posting_ann, op6_secret_scan, op8_simhash, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": r"""
