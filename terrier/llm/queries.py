@@ -11,6 +11,7 @@ from terrier.llm.common import read_table
 from terrier.llm.exact_dedup import exact_groups
 from terrier.llm.lattice_lm import score_texts
 from terrier.llm.mixing import plan_mix
+from terrier.llm.packing import pack
 from terrier.llm.posting_ann import nearest
 from terrier.llm.secret_scan import scan_secrets, span_text
 from terrier.llm.simhash import near_duplicates
@@ -56,6 +57,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(span_text(F.col("spans"), base_only=True), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens of a public 49k vocabulary."""
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 3-word shingles and their components at 2 bits."""
     out = near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -68,7 +74,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(_id("k_id").alias("doc_id"), _id("keep").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_lattice_lm, op4_chat_format, op5_posting_ann, op6_secret_scan, op8_simhash, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_lattice_lm, op4_chat_format, op5_posting_ann, op6_secret_scan, op7_nnls_packing, op8_simhash, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": r"""
