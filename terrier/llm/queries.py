@@ -13,6 +13,7 @@ from terrier.llm.lattice_lm import score_texts
 from terrier.llm.mixing import plan_mix
 from terrier.llm.packing import pack
 from terrier.llm.posting_ann import nearest
+from terrier.llm.quality import judge
 from terrier.llm.secret_scan import scan_secrets, span_text
 from terrier.llm.simhash import near_duplicates
 from terrier.llm.substring_dedup import dedup_passages
@@ -68,13 +69,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(_id("k_id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), _id("root.k_id").alias("component_id"))
 
 
+def op9_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents a scorer trained on weak labels keeps."""
+    return judge(read_table(spark, sf_dir, "documents")).select(_id("k_id").alias("doc_id"), "score", "posterior", "kept")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of texts that are equal but for the case of A-Z."""
     out = exact_groups(read_table(spark, sf_dir, "documents"))
     return out.select(_id("k_id").alias("doc_id"), _id("keep").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_lattice_lm, op4_chat_format, op5_posting_ann, op6_secret_scan, op7_nnls_packing, op8_simhash, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_lattice_lm, op4_chat_format, op5_posting_ann, op6_secret_scan, op7_nnls_packing, op8_simhash, op9_weak_labels, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": r"""
