@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrier.functions.values import let
 
@@ -108,25 +109,38 @@ def _cross(o: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[..., 0] - o[..., 0]) * (b[..., 1] - o[..., 1]) - (a[..., 1] - o[..., 1]) * (b[..., 0] - o[..., 0])
 
 
-def ring_gap(a: np.ndarray, b: np.ndarray) -> float:
-    """The least distance of two rings' segments, 0 where they cross."""
+def ring_gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs of closed rings, arrays of pair, point and coordinate: the least distance of their segments, 0 where they cross."""
 
-    def to_segments(points: np.ndarray, ring: np.ndarray) -> float:
-        p, d = ring[:-1], np.diff(ring, axis=0)
-        t = np.clip(((points[:, None] - p) * d).sum(axis=2) / np.maximum((d**2).sum(axis=1), 1e-300), 0, 1)
-        return float(np.hypot(*np.moveaxis(points[:, None] - p - t[..., None] * d, 2, 0)).min())
+    def to_segments(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
+        start, d = ring[:, None, :-1], np.diff(ring, axis=1)[:, None]
+        off = points[:, :, None] - start
+        t = np.clip((off * d).sum(axis=-1) / np.maximum((d**2).sum(axis=-1), 1e-300), 0, 1)
+        off = off - t[..., None] * d
+        return np.hypot(off[..., 0], off[..., 1]).min(axis=(1, 2))
 
-    p, q, r, s = a[:-1, None], a[1:, None], b[None, :-1], b[None, 1:]
-    if ((_cross(p, q, r) * _cross(p, q, s) < 0) & (_cross(r, s, p) * _cross(r, s, q) < 0)).any():
-        return 0.0
-    return min(to_segments(a, b), to_segments(b, a))
+    p, q, r, s = a[:, :-1, None], a[:, 1:, None], b[:, None, :-1], b[:, None, 1:]
+    crossing = ((_cross(p, q, r) * _cross(p, q, s) < 0) & (_cross(r, s, p) * _cross(r, s, q) < 0)).any(axis=(1, 2))
+    return np.where(crossing, 0.0, np.minimum(to_segments(a, b), to_segments(b, a)))
 
 
-@F.pandas_udf("double")
-def min_ring_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Of two rings given as arrays of structs x, y."""
-    points = lambda ring: np.array([(p["x"], p["y"]) for p in ring])
-    return pd.Series([ring_gap(points(x), points(y)) for x, y in zip(a, b, strict=True)])
+@F.pandas_udf(T.DoubleType())
+def _flat_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Rings as x, y, x, y ...; pairs with as many points each are worked out together, in pieces of bounded size."""
+    out = np.zeros(len(a))
+    shapes = pd.Series(list(zip(a.map(len), b.map(len), strict=True)))
+    for (m, n), at in shapes.groupby(shapes).groups.items():
+        step = max(1, 2_000_000 // (m * n))
+        for i in range(0, len(at), step):
+            some = np.asarray(at[i : i + step])
+            out[some] = ring_gaps(np.stack(a.iloc[some].to_list()).reshape(len(some), -1, 2), np.stack(b.iloc[some].to_list()).reshape(len(some), -1, 2))
+    return pd.Series(out)
+
+
+def min_ring_distance(a: Column, b: Column) -> Column:
+    """The least distance of two rings, 0 where they cross."""
+    flat = lambda ring: F.flatten(F.transform(ring, lambda p: F.array(p["x"], p["y"])))
+    return _flat_distance(flat(a), flat(b))
 
 
 def tile(lon: Column, lat: Column, zoom: int) -> Column:

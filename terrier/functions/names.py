@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the measure.
 PREFIX_SCALE, PREFIX_MOST = 0.1, 4
@@ -30,7 +31,7 @@ def jaro_of(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - moved) / m) / 3
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 

@@ -36,7 +36,8 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "other"))).first()
         if seen == mark or not seen[0]:
-            return now.select("node", F.col("other").alias("component"))
+            roots = now.select(F.col("other").alias("node"), "other").distinct()
+            return now.select("node", "other").union(roots).withColumnRenamed("other", "component")
         mark, before = seen, now
         now = written(_round(before), "links")
         drop_written(spark, before)

@@ -1,2 +1,162 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries on linkage, over lots made of part numbers, suppliers as cards and events as transfers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrier.functions import lots
+from terrier.operators import linkage
+from terrier.plans.registry import Registry
+from terrier.plans.views import table
+
+_r = Registry()
+QUERIES, ORACLE_SQL = _r.queries, _r.sql
+
+_OWNER = "upper(split_part(p_name, ' ', 1)[1]) || substr(split_part(p_name, ' ', 1), 2) || ', ' || upper(split_part(p_name, ' ', 2)[1]) || substr(split_part(p_name, ' ', 2), 2)"
+
+
+def _owner():
+    word = lambda i: F.initcap(F.element_at(F.split("p_name", " "), i))
+    return F.concat(word(1), F.lit(", "), word(2))
+
+
+def tax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    lot = F.concat_ws("-", F.floor(k / 40).cast("string"), (F.floor(k / 4) % 10).cast("string"))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("T"), k.cast("string")).alias("tax_id"), F.lit("29070").alias("geocode"), lot.alias("tax_lot"), F.when(k % 13 != 0, _owner()).alias("owner"), F.when(k % 3 != 0, F.floor("p_retailprice").cast("long").cast("string")).alias("total"), ((k * 7 % 10) / 10.0).alias("confidence"), k.alias("ordinal"))
+
+
+def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    a, b = F.floor(k / 40), F.floor(k / 4) % 10
+    plain, wide = F.concat_ws("-", a.cast("string"), b.cast("string")), F.format_string("%03d-%03d", a, b)
+    lot = F.when(k % 4 == 0, plain).when(k % 4 == 1, F.concat(wide, F.lit("-000"))).when(k % 4 == 2, F.concat(plain, F.lit("-B"))).otherwise(F.concat(F.lit("900-"), k.cast("string")))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("G"), k.cast("string")).alias("id"), F.lit("29070").alias("geocode"), lot.alias("lot"))
+
+
+_LOT = "(p_partkey // 40)::VARCHAR || '-' || (p_partkey // 4 % 10)::VARCHAR"
+_TAX_SQL = f"""tax AS (SELECT 'T' || p_partkey AS tax_id, {_LOT} AS tax_lot, CASE WHEN p_partkey % 13 <> 0 THEN {_OWNER} END AS owner, CASE WHEN p_partkey % 3 <> 0 THEN floor(p_retailprice)::BIGINT::VARCHAR END AS total, (p_partkey * 7 % 10) / 10.0::DOUBLE AS confidence, p_partkey AS ordinal FROM part),
+    best AS (SELECT * FROM tax QUALIFY row_number() OVER (PARTITION BY tax_lot ORDER BY confidence DESC, ordinal) = 1)"""
+
+
+@_r.query(f"""WITH {_TAX_SQL}, g AS (SELECT p_partkey AS k, 'G' || p_partkey AS id, {_LOT} AS base, CASE p_partkey % 4 WHEN 0 THEN {_LOT} WHEN 1 THEN lpad((p_partkey // 40)::VARCHAR, 3, '0') || '-' || lpad((p_partkey // 4 % 10)::VARCHAR, 3, '0') || '-000' WHEN 2 THEN {_LOT} || '-B' ELSE '900-' || p_partkey END AS lot FROM part)
+    SELECT id, lot, CASE WHEN hit THEN tax_id END AS tax_id, CASE WHEN hit THEN owner END AS owner, CASE WHEN NOT hit THEN 'unjoined' WHEN k % 4 = 2 THEN 'map_lot_parent' ELSE 'map_lot' END AS method,
+        CASE WHEN hit THEN CASE WHEN k % 4 = 2 AND total IS NULL THEN 0.55 ELSE confidence END END AS join_confidence
+    FROM (SELECT g.*, best.* EXCLUDE (tax_lot), coalesce(k % 4 <> 3 AND owner IS NOT NULL, FALSE) AS hit FROM g LEFT JOIN best ON tax_lot = base)""")
+def join_candidate_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.join_by_ladder(geometry(spark, sf_dir), tax(spark, sf_dir)).select("id", "lot", "tax_id", "owner", "method", "join_confidence")
+
+
+@_r.query("""SELECT o_orderkey AS id, l_linenumber AS line, l_quantity AS quantity FROM orders LEFT JOIN (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC) = 1) ON l_orderkey = o_orderkey""")
+def join_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("key"))
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    items = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("K"), F.col("l_orderkey").cast("string")).alias("key"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"), order.alias("ordinal"))
+    return linkage.join_last(o, items, "key").select("id", "line", "quantity")
+
+
+@_r.query(f"""SELECT p_partkey AS id, p_partkey % 3 = 0 AS parent FROM part""")
+def suffix_parent_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A unit on the lot, its sibling and the lot itself: only the first has it as parent."""
+    k = F.col("p_partkey")
+    lot = F.format_string("%03d-%03d", F.floor(k / 40), F.floor(k / 4) % 10 + 1)
+    other = F.when(k % 3 == 0, F.concat(lot, F.lit("-A"))).when(k % 3 == 1, F.concat(lot, F.lit("1"))).otherwise(lot)
+    return table(spark, sf_dir, "part").select(k.alias("id"), lots.is_suffix_parent(other, lot).alias("parent"))
+
+
+@_r.query("""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN '0R' || (p_partkey % 9 + 1) || '-' || lpad((p_size)::VARCHAR, 3, '0') WHEN 1 THEN p_size || '-' || p_partkey % 7 || '-A' ELSE '012-' || lpad(p_size::VARCHAR, 3, '0') END AS lot,
+    regexp_replace(regexp_replace(lower(p_name || ' & ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part""")
+def lot_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    raw = F.when(k % 3 == 0, F.concat(F.lit(" r0"), (k % 9 + 1).cast("string"), F.lit("-"), size)).when(k % 3 == 1, F.concat(size, F.lit(" . "), (k % 7).cast("string"), F.lit("--a"))).otherwise(F.concat(F.lit("012-"), F.lpad(size, 3, "0"), F.lit("-000")))
+    return table(spark, sf_dir, "part").select(k.alias("id"), lots.normalize_lot(raw).alias("lot"), lots.slug(F.concat("p_name", F.lit(" & "), "p_brand")).alias("slug"))
+
+
+@_r.query("""SELECT p_partkey AS id, concat_ws(',', p_size || '-' || p_partkey % 9, lpad(p_size::VARCHAR, 3, '0') || '-' || lpad((p_partkey % 9)::VARCHAR, 3, '0'), lpad(p_size::VARCHAR, 3, '0') || '-' || lpad((p_partkey % 9)::VARCHAR, 3, '0') || '-000', p_size) AS candidates FROM part""")
+def lot_candidate_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lot = F.concat_ws("-", F.col("p_size").cast("string"), (F.col("p_partkey") % 9).cast("string"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(lots.lot_candidates(lot), ",").alias("candidates"))
+
+
+_CARDS_SQL = """cards AS (SELECT 'L' || s_suppkey % 60 AS lot, 'Card, Owner' || CASE WHEN s_suppkey % 60 < 10 THEN s_suppkey ELSE s_suppkey % 60 END AS card_owner, 'A' || s_suppkey AS card_account, s_suppkey AS ordinal FROM supplier),
+    p AS (SELECT c_custkey AS id, 'L' || c_custkey % 80 AS lot, CASE WHEN c_custkey % 3 = 0 THEN 'Kept, Owner' WHEN c_custkey % 3 = 1 THEN '123' END AS owner, CASE WHEN c_custkey % 2 = 0 THEN 'X' END AS account FROM customer),
+    a AS (SELECT lot, count(DISTINCT upper(card_owner)) AS n, arg_min(card_owner, ordinal) AS card_owner, arg_min(card_account, ordinal) AS card_account FROM cards GROUP BY 1)"""
+
+
+def _cards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s, k = F.col("s_suppkey"), F.col("c_custkey")
+    text = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    cards = table(spark, sf_dir, "supplier").select(text("L", s % 60).alias("lot"), text("Card, Owner", F.when(s % 60 < 10, s).otherwise(s % 60)).alias("card_owner"), text("A", s).alias("card_account"), s.alias("ordinal"))
+    parcels = table(spark, sf_dir, "customer").select(k.alias("id"), text("L", k % 80).alias("lot"), F.when(k % 3 == 0, "Kept, Owner").when(k % 3 == 1, "123").alias("owner"), F.when(k % 2 == 0, "X").alias("account"), F.lit("map_lot").alias("method"), F.lit(0.9).alias("join_confidence"))
+    return parcels, cards
+
+
+@_r.query(f"""WITH {_CARDS_SQL} SELECT id, p.lot, CASE WHEN id % 3 <> 0 AND n = 1 THEN card_owner ELSE owner END AS owner, CASE WHEN id % 3 <> 0 AND n = 1 THEN coalesce(account, card_account) ELSE account END AS account,
+    CASE WHEN id % 3 <> 0 AND n = 1 THEN 'property_card' ELSE 'map_lot' END AS method, CASE WHEN id % 3 <> 0 AND n = 1 THEN 0.35 ELSE 0.9 END::DOUBLE AS join_confidence FROM p LEFT JOIN a ON a.lot = p.lot""")
+def owner_backup_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.fill_owners(*_cards(spark, sf_dir))
+
+
+@_r.query(f"WITH {_CARDS_SQL} SELECT count_if(id % 3 <> 0) AS eligible, count_if(id % 3 <> 0 AND n = 1) AS filled, (SELECT count_if(n > 1) FROM a) AS collisions FROM p LEFT JOIN a ON a.lot = p.lot")
+def owner_backup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.fill_counts(*_cards(spark, sf_dir))
+
+
+@_r.query("SELECT user_id, event_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%d') DESC, event_id) = 1")
+def latest_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return linkage.one_per_key(e, ["user_id"], F.col("day").desc(), F.col("event_id").asc())
+
+
+@_r.query("""WITH x AS (SELECT 'K' || user_id AS key, CASE WHEN event_id % 2 = 0 THEN 'OWNER, NUMBER ' || user_id ELSE 'NEW HOLDER ' || event_type END AS new_owner, strftime(ts, '%Y-%m-%d') AS date, event_id AS ordinal FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%d') DESC, event_id) = 1),
+    i AS (SELECT 'K' || c_custkey AS key, 'Owner, Number ' || c_custkey AS owner FROM customer WHERE c_custkey % 2 = 0)
+    SELECT coalesce(i.key, x.key) AS key, CASE WHEN new_owner IS NULL THEN owner WHEN owner IS NULL OR ordinal % 2 = 1 THEN new_owner ELSE owner END AS owner, CASE WHEN new_owner IS NOT NULL AND (owner IS NULL OR ordinal % 2 = 1) THEN 'transfer' ELSE 'index' END AS source, date AS transfer_date,
+        CASE WHEN new_owner IS NULL THEN 'index' WHEN owner IS NULL THEN 'insert' WHEN ordinal % 2 = 0 THEN 'confirm' ELSE 'override' END AS outcome FROM i FULL JOIN x ON i.key = x.key""")
+def override_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("K"), F.col("c_custkey").cast("string")).alias("key"), F.concat(F.lit("Owner, Number "), F.col("c_custkey").cast("string")).alias("owner"))
+    user = F.col("user_id").cast("string")
+    moved = table(spark, sf_dir, "events").select(F.concat(F.lit("K"), user).alias("key"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("OWNER, NUMBER "), user)).otherwise(F.concat(F.lit("NEW HOLDER "), "event_type")).alias("new_owner"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("event_id").alias("ordinal"))
+    return linkage.override(index, moved)
+
+
+_ITEM_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+
+
+@_r.query(f"SELECT l_orderkey, l_discount, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, {_ITEM_ORDER}) = 1")
+def best_confidence_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").withColumn("ordinal", F.struct(*_ITEM_ORDER.split(", ")))
+    return linkage.best_wins(items, "l_orderkey", "l_discount").select("l_orderkey", "l_discount", "l_linenumber", "l_partkey")
+
+
+@_r.query(f"SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ITEM_ORDER}) = 1")
+def first_wins_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").withColumn("ordinal", F.struct(*_ITEM_ORDER.split(", ")))
+    return linkage.first_wins(items, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+_CROSS_SQL = "t AS (SELECT o_orderkey AS id, o_custkey AS property_id, 'N' || o_orderkey % 25 AS key FROM orders), i AS (SELECT c_custkey AS property_id, 'N' || c_nationkey AS key FROM customer WHERE c_custkey % 10 <> 0)"
+
+
+def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("property_id"), F.concat(F.lit("N"), (F.col("o_orderkey") % 25).cast("string")).alias("key"))
+    i = table(spark, sf_dir, "customer").where("c_custkey % 10 != 0").select(F.col("c_custkey").alias("property_id"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("key"))
+    return linkage.validate_against_index(t, i)
+
+
+@_r.query(f"WITH {_CROSS_SQL} SELECT count(*) AS n, count(i.property_id) AS matched, count_if(i.key = t.key) AS same_key, round(count(i.property_id) / count(*), 6) AS rate FROM t LEFT JOIN i USING (property_id)")
+def crosswalk_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cross(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if("matched").alias("matched"), F.count_if("same_key").alias("same_key"), F.round(F.count_if("matched") / F.count("*"), 6).alias("rate"))
+
+
+@_r.query(f"WITH {_CROSS_SQL} SELECT DISTINCT property_id FROM t WHERE property_id NOT IN (SELECT property_id FROM i) ORDER BY 1 LIMIT 20")
+def crosswalk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of the first 20."""
+    return _cross(spark, sf_dir).where("not matched").select("property_id").distinct().orderBy("property_id").limit(20)
+
+
+@_r.query("SELECT c_custkey AS id, CASE WHEN c_nationkey % 4 = 0 THEN 'new' ELSE 'old' END AS edition, c_mktsegment AS segment FROM customer WHERE c_nationkey % 4 <> 0 OR c_custkey % 2 = 0")
+def partition_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", F.col("c_mktsegment").alias("segment"))
+    new = c.where("c_nationkey % 4 = 0 and id % 2 = 0").withColumn("edition", F.lit("new"))
+    return linkage.replace_group(c.withColumn("edition", F.lit("old")), new, "c_nationkey").select("id", "edition", "segment")
