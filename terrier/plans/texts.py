@@ -1,2 +1,157 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries on documents, search and attributes. Documents are put together from columns, which the parsers must give back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrier.functions.lots import normalize_place
+from terrier.operators import parsers, serving
+from terrier.plans.registry import Registry
+from terrier.plans.views import table
+
+_r = Registry()
+QUERIES, ORACLE_SQL = _r.queries, _r.sql
+
+
+def _s(c):
+    return c.cast("string")
+
+
+def _documents(rows: DataFrame, key, order, text, head: str = "") -> DataFrame:
+    """One document for each key: the texts of its rows in order. Keys have a bounded number of rows."""
+    each = rows.select(key.alias("doc_id"), order.alias("o"), text.alias("t")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("o", "t"))).alias("ts"))
+    return each.select("doc_id", F.concat(F.lit(head), F.array_join(F.transform("ts", lambda x: x["t"]), "\n"), F.lit("\n")).alias("text"))
+
+
+_UP = lambda i: f"upper(split_part(p_name, ' ', {i}))"
+_NAME_SQL = f"{_UP(1)} || ', ' || {_UP(2)}"
+
+
+def _name():
+    return F.concat(F.upper(F.element_at(F.split("p_name", " "), 1)), F.lit(", "), F.upper(F.element_at(F.split("p_name", " "), 2)))
+
+
+@_r.query(f"""SELECT p_partkey // 20 AS doc_id, (100000 + p_partkey)::VARCHAR AS property_id, 'WA' || lpad((p_partkey % 50)::VARCHAR, 3, '0') || '|0' || (p_size % 9)::VARCHAR || '-' || unnest(CASE WHEN p_partkey % 4 = 0 THEN [p_partkey::VARCHAR, p_partkey || '.5'] ELSE [p_partkey::VARCHAR] END) AS map_key,
+    {_NAME_SQL} AS owner, 'PO BOX ' || p_size || ', DANFORTH ME 04424' AS mail, (p_size * 1000)::VARCHAR || '.00' AS land, floor(p_retailprice)::BIGINT::VARCHAR || '.00' AS taxable, CASE WHEN p_partkey % 3 = 0 THEN '25000.00' END AS exemption, 'DIV ' || p_brand AS division, CASE WHEN p_partkey % 4 = 0 THEN 'copied_full_assessment' ELSE 'single_lot' END AS allocation, 0.9::DOUBLE AS confidence FROM part""")
+def ut_block_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    text = F.concat(
+        F.lit("Property ID: "), _s(100000 + k), F.lit(" Percent Ownership: 100.00%\nAccount ID: 12-"), _s(k), F.lit(" Land Value "), F.format_string("%,d.00", size * 1000), F.lit("\nBuilding Value 0.00\nAcres 1.10 Personal Property 0.00\nTotal Exemptions "), F.when(k % 3 == 0, "25,000.00").otherwise("0.00"),
+        F.lit("\nTaxable Value "), F.format_string("%,d.00", F.floor("p_retailprice").cast("long")), F.lit("\nTax 7.50\n"), _name(), F.lit("\nPO BOX "), _s(size), F.lit("\nDANFORTH ME 04424\nWashington\nDIV "), F.col("p_brand"), F.lit("\nMAP WA"), F.lpad(_s(k % 50), 3, "0"), F.lit(" PLAN 0"), _s(size % 9), F.lit(" LOT "), _s(k), F.when(k % 4 == 0, F.concat(F.lit(" "), _s(k), F.lit(".5"))).otherwise(""),
+    )
+    docs = _documents(table(spark, sf_dir, "part"), F.floor(k / 20).cast("long"), k, text, "VALUATION\n")
+    return parsers.parse_valuation_book(docs).select("doc_id", "property_id", "map_key", "owner", "mail", "land", "taxable", "exemption", "division", "allocation", "confidence")
+
+
+@_r.query(f"""SELECT c_custkey // 30 AS doc_id, 'Section ' || (c_custkey // 10)::VARCHAR AS division, (500000 + c_custkey)::VARCHAR AS property_id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'WA' || lpad((c_custkey % 50)::VARCHAR, 3, '0') || '|0' || (c_custkey % 7)::VARCHAR || '-' || u END AS map_key, '1234.5' AS acres, c_name AS owner
+    FROM (SELECT *, unnest(CASE WHEN c_custkey % 5 = 0 THEN ['-'] WHEN c_custkey % 3 = 0 THEN ['1', '2.1'] ELSE ['7'] END) AS u FROM customer)""")
+def map_index_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    head = F.when(k % 10 == 0, F.concat(F.lit("Section "), _s(F.floor(k / 10).cast("long")), F.lit(" Township, Washington\nAcreage\n"))).otherwise("")
+    place = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(" Plan "), _s(k % 7), F.lit(" Lot "), F.when(k % 3 == 0, "1 2.1").otherwise("7")))
+    text = F.concat(head, F.lit("Map WA"), F.lpad(_s(k % 50), 3, "0"), place, F.lit(" "), _s(500000 + k), F.when(k % 2 == 0, "P").otherwise(""), F.lit("\t1,234.5 "), F.col("c_name"))
+    docs = _documents(table(spark, sf_dir, "customer"), F.floor(k / 30).cast("long"), k, text)
+    return parsers.parse_map_index(docs).select("doc_id", "division", "property_id", "map_key", "acres", "owner")
+
+
+@_r.query(f"""SELECT p_partkey AS doc_id, lpad((p_size)::VARCHAR, 3, '0') || '-' || lpad((p_partkey % 900 + 1)::VARCHAR, 3, '0') AS lot, (p_partkey % 9999 + 1)::VARCHAR AS account, {_NAME_SQL} AS owner, '2023-0' || (p_size % 9 + 1) || '-12' AS as_of FROM part WHERE p_partkey % 6 <> 0""")
+def card_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A card in six has its owner after a line that ends the owner's."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    text = F.concat(F.lit("Sale Data\nMap Lot \t"), F.lpad(_s(size), 3, "0"), F.lit("-"), F.lpad(_s(k % 900 + 1), 3, "0"), F.lit("-000 \tAccount \t"), _s(k % 9999 + 1), F.lit(" \tLocation \tCard \t1 \tOf \t1 \t"), _s(size % 9 + 1), F.lit("/12/2023\n"), F.when(k % 6 == 0, "Previous Owner\n").otherwise("12 HIGH ST\n"), _name(), F.lit("\nDANFORTH ME 04424\nSMITH, OTHER\n"))
+    return parsers.parse_cards(table(spark, sf_dir, "part").select(k.alias("doc_id"), text.alias("text"))).select("doc_id", "lot", "account", "owner", "as_of")
+
+
+@_r.query(f"""SELECT DISTINCT doc_id, owner, lot_key FROM (SELECT p_partkey // 25 AS doc_id, {_NAME_SQL} AS owner, lpad((p_size)::VARCHAR, 3, '0') || '-' || unnest(CASE p_partkey % 4 WHEN 0 THEN ['001', '003'] WHEN 1 THEN ['010', '011', '012'] WHEN 2 THEN ['5-1'] ELSE ['67A'] END) AS lot_key FROM part)""")
+def owner_index_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents are HTML, half Markdown."""
+    k = F.col("p_partkey")
+    lot = F.when(k % 4 == 0, "1+3").when(k % 4 == 1, "10-12").when(k % 4 == 2, "5-1").otherwise("67a")
+    html = F.concat(F.lit("<tr class='x'><td><b>"), _name(), F.lit("</b></td> <td>"), _s(F.col("p_size")), F.lit("</td><td>"), lot, F.lit("</td></tr>"))
+    mark = F.concat(F.lit("| "), _name(), F.lit(" | "), _s(F.col("p_size")), F.lit(" | "), lot, F.lit("   |"))
+    doc = F.floor(k / 25).cast("long")
+    docs = _documents(table(spark, sf_dir, "part"), doc, k, F.when(doc % 2 == 0, html).otherwise(mark), "| OWNER | MAP | LOT |\n| --- | --- | --- |\n")
+    return parsers.parse_owner_index(docs).select("doc_id", "owner", "lot_key")
+
+
+@_r.query(f"""SELECT p_partkey AS doc_id, {_NAME_SQL} AS owner, 'SELLER, SAM' AS seller, (p_size)::VARCHAR AS map, (p_partkey % 900)::VARCHAR AS lot, CASE WHEN p_partkey % 2 = 0 THEN '2025' ELSE '2024' END || '-03-0' || (p_size % 9 + 1) AS date FROM part WHERE p_partkey % 8 <> 7""")
+def transfer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One declaration in eight is of another town; half have only the date of recording, its last digit misread."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    date = F.when(k % 2 == 0, F.concat(F.lit("Date/Time Recorded: 3/"), _s(size % 9 + 1), F.lit("/202s\n"))).otherwise(F.concat(F.lit("7. DATE OF TRANSFER\n03-0"), _s(size % 9 + 1), F.lit("-2024\n")))
+    text = F.concat(
+        F.lit("MAINE REAL ESTATE TRANSFER TAX DECLARATION\n1. County WASHINGTON\n2. Municipality "), F.when(k % 8 == 7, "ELSEWHERE").otherwise("ROBBINSTON"), F.lit("\n3. GRANTEE/PURCHASER\n3a. Last name or business name\n"), _name(), F.lit("\n3c. Federal ID\n4. GRANTOR/SELLER\n4a. Last name or business name\nSELLER, SAM\n4c. Federal ID\n5. PROPERTY Tax Map\n"),
+        _s(size), F.lit("\nBlock\nLot\n"), _s(k % 900), F.lit("\n"), date, F.lit("6. CURRENT USE none of these classifications apply to the property that is described in this declaration\n"),
+    )
+    return parsers.parse_transfers(table(spark, sf_dir, "part").select(k.alias("doc_id"), text.alias("text")), "Robbinston").drop("at")
+
+
+@_r.query("""SELECT p_partkey AS id, p_size::DOUBLE AS soft_acres, (p_size * 1000)::DOUBLE AS soft_value, CASE WHEN p_partkey % 2 = 0 THEN 2.5 END::DOUBLE AS mixed_acres, CASE WHEN p_partkey % 2 = 0 THEN 300 END::DOUBLE AS mixed_value, 0.0::DOUBLE AS hard_acres, 0.0::DOUBLE AS hard_value FROM part""")
+def forest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("Acres 3\nSoft: 1 2\nSoft: "), _s(F.col("p_size")), F.lit(" "), F.format_string("%,d", F.col("p_size") * 1000), F.when(F.col("p_partkey") % 2 == 0, "\n  Mixed: 2.5 300").otherwise(""), F.lit("\nHard: 0 0\n"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), parsers.forest_lines(text).alias("f")).select("id", "f.*")
+
+
+@_r.query(f"""SELECT p_partkey // 15 AS doc_id, (p_partkey % 9000 + 1)::VARCHAR AS account, {_NAME_SQL} AS owner, p_size || ' HIGH ST, DANFORTH ME 04424' AS mail, (p_size * 1000)::VARCHAR AS land, floor(p_retailprice)::BIGINT::VARCHAR AS total, CASE WHEN p_partkey % 2 = 0 THEN '25000' END AS exemption, '14.50' AS tax, '0.76' AS acres, p_partkey % 2 = 0 AS homestead,
+    lpad((p_partkey % 90 + 10)::VARCHAR, 3, '0') || '-' || lpad((p_partkey // 90 % 900 + 1)::VARCHAR, 3, '0') AS lot, 0.9::DOUBLE AS confidence FROM part""")
+def commitment_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    text = F.concat(
+        _s(k % 9000 + 1), F.lit(" "), _name(), F.lit(" \t"), F.format_string("%,d", size * 1000), F.lit(" \t1,100 \t"), F.when(k % 2 == 0, "25,000").otherwise("0"), F.lit(" \t"), F.format_string("%,d", F.floor("p_retailprice").cast("long")), F.lit(" \t14.50\nAcres \t0.76 "), F.when(k % 2 == 0, "19 Homestead").otherwise(""), F.lit("\n"), _s(size), F.lit(" HIGH ST\nDANFORTH ME 04424\n"),
+        F.lpad(_s(k % 90 + 10), 3, "0"), F.lit("-"), F.lpad(_s(F.floor(k / 90).cast("long") % 900 + 1), 3, "0"), F.lit("-000\nB5152P32 11/14/2024"), F.when(k % 5 == 0, "\n12,000 Page Totals: 3\n999-999\nLeft Over").otherwise(""),
+    )
+    docs = _documents(table(spark, sf_dir, "part"), F.floor(k / 15).cast("long"), k, text, "Real Estate Tax Commitment Book\nAccount Name & Address Land Building Exemption Assessment\n")
+    return parsers.parse_commitment_book(docs).select("doc_id", "account", "owner", "mail", "land", "total", "exemption", "tax", "acres", "homestead", "lot", "confidence")
+
+
+@_r.query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM documents""")
+def place_name_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", normalize_place(F.col("text")).alias("plain"))
+
+
+@_r.query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CAST(json_extract_string(props, '$.k') AS DOUBLE) > 50 AS enrolled, coalesce(json_extract_string(props, '$.valuationAllocation') = 'single_lot', FALSE) AS single FROM events""")
+def json_attr_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.try_parse_json("props")
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "double").alias("k"), (F.try_variant_get(v, "$.k", "double") > 50).alias("enrolled"), F.coalesce(F.try_variant_get(v, "$.valuationAllocation", "string") == "single_lot", F.lit(False)).alias("single"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return serving.index_parcels(p.select(F.concat(F.lit("P"), _s(F.col("p_partkey"))).alias("id"), F.col("p_name").alias("owner_name"), F.concat(F.col("p_type"), F.lit(" St")).alias("situs"), F.concat_ws("-", _s(F.col("p_size")), _s(F.col("p_partkey"))).alias("lot"), _s(F.col("p_partkey")).alias("account")))
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    a = n.select(F.concat(F.lit("n"), _s(F.col("n_nationkey"))).alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("r"), _s(F.col("n_regionkey"))).alias("municipality_id"), F.lit(30).alias("rank"))
+    b = r.select(F.concat(F.lit("r"), _s(F.col("r_regionkey"))).alias("id"), F.col("r_name").alias("name"), F.concat(F.lit("r"), _s(F.col("r_regionkey"))).alias("municipality_id"), F.lit(60).alias("rank"))
+    return a.unionByName(b).withColumn("name_key", normalize_place(F.col("name")))
+
+
+def _search_sql(q: str, code: str, k: int) -> str:
+    tokens = q.split()
+    every = lambda c: " AND ".join(f"contains({c}, '{t}')" for t in tokens) if len(tokens) > 1 else "FALSE"
+    return f"""(SELECT id, label, score FROM (SELECT 'P' || p_partkey AS id, p_type || ' St' AS label,
+        CASE WHEN p_partkey::VARCHAR = '{code}' THEN 100 WHEN lot = '{code}' THEN 95 WHEN starts_with(lot, '{code}') THEN 85 WHEN lower(p_type || ' St') = '{q}' THEN 75 WHEN p_name = '{q}' THEN 80 WHEN contains(lower(p_type || ' St'), '{q}') THEN 55 WHEN contains(p_name, '{q}') THEN 60 WHEN contains(lot, '{code}') THEN 50 WHEN {every('p_name')} OR {every("lower(p_type || ' St')")} THEN 40 ELSE 0 END AS score
+        FROM (SELECT *, p_size || '-' || p_partkey AS lot FROM part)) WHERE score > 0 ORDER BY score DESC, label, id LIMIT {k})"""
+
+
+@_r.query("SELECT 'red' AS query, * FROM " + _search_sql("red", "RED", 10) + " UNION ALL SELECT 'ring red', * FROM " + _search_sql("ring red", "RINGRED", 10) + " UNION ALL SELECT '12-', * FROM " + _search_sql("12", "12-", 10))
+def search_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top tens of three queries."""
+    index = _index(spark, sf_dir)
+    each = [serving.search_parcels(index, q).select(F.lit(q).alias("query"), "id", "label", "score") for q in ("red", "ring red", "12-")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+_PLACES_SQL = "places AS (SELECT 'n' || n_nationkey AS id, n_name AS name, 30 AS rank, replace(lower(n_name), '_', ' ') AS key FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name, 60, lower(r_name) FROM region)"
+
+
+@_r.query(f"WITH {_PLACES_SQL} SELECT id, name, CASE WHEN key = 'nation 1' THEN 100 WHEN starts_with(key, 'nation 1') THEN 80 WHEN contains(key, 'nation 1') THEN 50 WHEN contains(key, 'nation') AND contains(key, '1') THEN 40 ELSE 0 END + rank AS score FROM places WHERE contains(key, 'nation') AND contains(key, '1') ORDER BY score DESC, name LIMIT 10")
+def search_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.search_places(_places(spark, sf_dir), "Nation_1")
+
+
+@_r.query(f"WITH {_PLACES_SQL} SELECT 'parcel' AS type, id, label AS name, score FROM " + _search_sql("ar", "AR", 5) + " UNION ALL SELECT * FROM (SELECT 'place' AS type, id, name, CASE WHEN key = 'ar' THEN 100 WHEN starts_with(key, 'ar') THEN 80 ELSE 50 END + rank AS score FROM places WHERE contains(key, 'ar') ORDER BY score DESC, name LIMIT 5)")
+def search_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.search_all(_index(spark, sf_dir), _places(spark, sf_dir), "ar")
