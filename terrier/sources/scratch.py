@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of sessions for which no shared one is named, by application.
+_own: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The cluster's shared folder; only where none is named (tests), one of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='terrier-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='terrier-')}"
+        _own[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/terrier-{spark.sparkContext.applicationId}"
 
 
