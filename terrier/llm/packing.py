@@ -36,10 +36,10 @@ _PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:;=-@\[-`{-~]*)\Z")
 class Tokens:
     """ids of texts as the tokenizer gives them, found once for each distinct chunk between spaces: this tokenizer drops white space and no token spans it. Words without signs are tokenised many at a time."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000, most_parts: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.most_parts = Tokenizer.from_file(path), most, most_parts
         self.chunks: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -49,7 +49,7 @@ class Tokens:
     def _learn(self, new: set[bytes]) -> None:
         if len(self.chunks) + len(new) > self.most:
             self.chunks.clear()
-        if len(self.parts) > self.most:
+        if len(self.parts) > self.most_parts:
             self.parts.clear()
         plain: dict[bytes, tuple[str, str]] = {}
         odd = []
