@@ -95,3 +95,8 @@ def validate_against_index(tax: DataFrame, index: DataFrame) -> DataFrame:
 def replace_group(old: DataFrame, new: DataFrame, column: str) -> DataFrame:
     """old without the groups that new brings, and new."""
     return old.join(new.select(column).distinct(), column, "left_anti").unionByName(new)
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """new, and the rows of old whose key it doesn't bring."""
+    return new.unionByName(old.join(new.select(key).distinct(), key, "left_anti"))

@@ -155,3 +155,13 @@ def contiguous_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.clusters(owned(spark, sf_dir), touches(spark, sf_dir))
 
 
+
+
+@_r.query(f"""WITH {_KNN_SQL}, v AS (SELECT c_custkey AS id, floor(c_acctbal + 1000)::DOUBLE AS t, c_custkey % 11 <> 0 AND c_custkey % 7 <> 0 AS ok FROM customer),
+    m AS (SELECT knn.id, median(v.t) AS lt, count(*) AS n FROM knn JOIN v ON v.id = neighbour_id WHERE ok GROUP BY 1)
+    SELECT v.id AS parcel_id, lt AS lag_taxable, coalesce(n, 0) AS lag_n, CASE WHEN ok THEN t - lt END AS lag_residual FROM v LEFT JOIN m USING (id)""")
+def spatial_lag_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' balances against the median of their 25 nearest that count."""
+    k, value = F.col("c_custkey"), F.floor(F.col("c_acctbal") + 1000).cast("double")
+    rows = table(spark, sf_dir, "customer").select(k.alias("parcel_id"), value.alias("taxable"), value.alias("taxable_per_acre"), (k % 11 == 0).alias("unjoined"), F.when(k % 7 == 0, "copied_full_assessment").otherwise("single_lot").alias("allocation"))
+    return spatial.lags(rows, spatial.nearest(points(spark, sf_dir))).select("parcel_id", "lag_taxable", "lag_n", "lag_residual")

@@ -252,3 +252,23 @@ def parcel_lookup_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     return s.join(n, s.s_nationkey == n.n_nationkey, "left").join(r, r.r_regionkey == n.n_regionkey, "left").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Supplier "), F.col("s_suppkey").cast("string")).alias("label"), F.col("n_name").alias("municipality"), F.col("r_name").alias("region"), F.coalesce("n_regionkey", F.lit(0)).alias("region_id"))
+
+
+@_r.query(f"""WITH {PARCELS_SQL}, d AS (SELECT township, sha256(concat_ws('|', parcel_id, coalesce(owner_raw, ''), coalesce(taxable_text, ''))) AS h FROM features)
+    SELECT township, count(*) AS n, bit_xor(('0x' || substr(h, 1, 15))::BIGINT) AS checksum FROM d GROUP BY 1""")
+def release_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A checksum per township from the digests of its rows, in whatever order they come."""
+    row = F.sha2(F.concat_ws("|", "parcel_id", F.coalesce("owner_raw", F.lit("")), F.coalesce("taxable_text", F.lit(""))), 256)
+    number = F.conv(F.substring(row, 1, 15), 16, 10).cast("long")
+    return parcels(spark, sf_dir).groupBy("township").agg(F.count("*").alias("n"), F.bit_xor(number).alias("checksum"))
+
+
+@_r.query("""SELECT o_custkey AS run_id, max(o_orderdate)::DATE AS created, CASE WHEN o_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM orders GROUP BY 1""")
+def run_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of runs that come again replace those of the same id."""
+    from terrier.operators.linkage import upsert
+    from terrier.plans.views import table
+
+    runs = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("run_id")).agg(F.max("o_orderdate").cast("date").alias("created"))
+    again = runs.where("run_id % 3 = 0").withColumn("state", F.lit("new"))
+    return upsert(runs.withColumn("state", F.lit("old")), again, "run_id")
