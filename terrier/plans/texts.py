@@ -81,10 +81,10 @@ def transfer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size")
     date = F.when(k % 2 == 0, F.concat(F.lit("Date/Time Recorded: 3/"), _s(size % 9 + 1), F.lit("/202s\n"))).otherwise(F.concat(F.lit("7. DATE OF TRANSFER\n03-0"), _s(size % 9 + 1), F.lit("-2024\n")))
     text = F.concat(
-        F.lit("MAINE REAL ESTATE TRANSFER TAX DECLARATION\n1. County WASHINGTON\n2. Municipality "), F.when(k % 8 == 7, "ELSEWHERE").otherwise("ROBBINSTON"), F.lit("\n3. GRANTEE/PURCHASER\n3a. Last name or business name\n"), _name(), F.lit("\n3c. Federal ID\n4. GRANTOR/SELLER\n4a. Last name or business name\nSELLER, SAM\n4c. Federal ID\n5. PROPERTY Tax Map\n"),
+        F.lit("MAINE REAL ESTATE TRANSFER TAX DECLARATION\n1. County WASHINGTON\n2. Municipality "), F.when(k % 8 == 7, "ELSEWHERE").otherwise("ELMTOWN"), F.lit("\n3. GRANTEE/PURCHASER\n3a. Last name or business name\n"), _name(), F.lit("\n3c. Federal ID\n4. GRANTOR/SELLER\n4a. Last name or business name\nSELLER, SAM\n4c. Federal ID\n5. PROPERTY Tax Map\n"),
         _s(size), F.lit("\nBlock\nLot\n"), _s(k % 900), F.lit("\n"), date, F.lit("6. CURRENT USE none of these classifications apply to the property that is described in this declaration\n"),
     )
-    return parsers.parse_transfers(table(spark, sf_dir, "part").select(k.alias("doc_id"), text.alias("text")), "Robbinston").drop("at")
+    return parsers.parse_transfers(table(spark, sf_dir, "part").select(k.alias("doc_id"), text.alias("text")), "Elmtown").drop("at")
 
 
 @_r.query("""SELECT p_partkey AS id, p_size::DOUBLE AS soft_acres, (p_size * 1000)::DOUBLE AS soft_value, CASE WHEN p_partkey % 2 = 0 THEN 2.5 END::DOUBLE AS mixed_acres, CASE WHEN p_partkey % 2 = 0 THEN 300 END::DOUBLE AS mixed_value, 0.0::DOUBLE AS hard_acres, 0.0::DOUBLE AS hard_value FROM part""")
