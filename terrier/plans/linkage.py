@@ -98,7 +98,7 @@ def owner_backup_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.fill_owners(*_cards(spark, sf_dir))
 
 
-@_r.query(f"WITH {_CARDS_SQL} SELECT count_if(id % 3 <> 0) AS eligible, count_if(id % 3 <> 0 AND n = 1) AS filled, (SELECT count_if(n > 1) FROM a) AS collisions FROM p LEFT JOIN a ON a.lot = p.lot")
+@_r.query(f"WITH {_CARDS_SQL} SELECT count(*) FILTER (WHERE id % 3 <> 0) AS eligible, count(*) FILTER (WHERE id % 3 <> 0 AND n = 1) AS filled, (SELECT count(*) FILTER (WHERE n > 1) FROM a) AS collisions FROM p LEFT JOIN a ON a.lot = p.lot")
 def owner_backup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.fill_counts(*_cards(spark, sf_dir))
 
@@ -144,7 +144,7 @@ def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.validate_against_index(t, i)
 
 
-@_r.query(f"WITH {_CROSS_SQL} SELECT count(*) AS n, count(i.property_id) AS matched, count_if(i.key = t.key) AS same_key, round(count(i.property_id) / count(*), 6) AS rate FROM t LEFT JOIN i USING (property_id)")
+@_r.query(f"WITH {_CROSS_SQL} SELECT count(*) AS n, count(i.property_id) AS matched, count(*) FILTER (WHERE i.key = t.key) AS same_key, round(count(i.property_id) / count(*), 6) AS rate FROM t LEFT JOIN i USING (property_id)")
 def crosswalk_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cross(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if("matched").alias("matched"), F.count_if("same_key").alias("same_key"), F.round(F.count_if("matched") / F.count("*"), 6).alias("rate"))
 

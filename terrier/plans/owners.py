@@ -145,7 +145,7 @@ def adjacent_same_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Observations.
 
 
-@_r.query(f"""WITH {PARCELS_SQL}, g AS (SELECT group_id, count(*) AS n, bool_or(coalesce(allocation = 'copied_full_assessment', FALSE)) AS c, min(acres) AS a, max(acres) AS z, count_if(acres > 0) AS k, string_agg(parcel_id, ',' ORDER BY parcel_id) AS parcels FROM features GROUP BY 1)
+@_r.query(f"""WITH {PARCELS_SQL}, g AS (SELECT group_id, count(*) AS n, bool_or(coalesce(allocation = 'copied_full_assessment', FALSE)) AS c, min(acres) AS a, max(acres) AS z, count(*) FILTER (WHERE acres > 0) AS k, string_agg(parcel_id, ',' ORDER BY parcel_id) AS parcels FROM features GROUP BY 1)
     SELECT 'obs:copied_multilot_acre_spread:' || group_id AS id, z / a AS observed, parcels FROM g WHERE n >= 2 AND c AND k >= 2 AND z / a >= 3 AND z - a >= 10""")
 def obs_copied_multilot_acre_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obs.copied_acre_spread(rows(spark, sf_dir)).select("id", "observed", F.array_join("parcels", ",").alias("parcels"))
@@ -157,20 +157,20 @@ def obs_land_building_vs_taxable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obs.parts_above_taxable(rows(spark, sf_dir)).select("id", "observed", F.col("parcels")[0].alias("first"))
 
 
-@_r.query(f"""WITH {PARCELS_SQL}, {TOUCH_SQL}, s AS (SELECT t.id, count(*) AS n, count_if(f.family = 'wa_map' AND NOT f.unjoined) AS j FROM touch t LEFT JOIN features f ON f.parcel_id = t.neighbour_id GROUP BY 1)
+@_r.query(f"""WITH {PARCELS_SQL}, {TOUCH_SQL}, s AS (SELECT t.id, count(*) AS n, count(*) FILTER (WHERE f.family = 'wa_map' AND NOT f.unjoined) AS j FROM touch t LEFT JOIN features f ON f.parcel_id = t.neighbour_id GROUP BY 1)
     SELECT 'obs:unjoined_plat_hole:' || township AS id, count(*)::DOUBLE AS observed FROM features JOIN s ON s.id = parcel_id WHERE unjoined AND n >= 3 AND j / n >= 0.75 GROUP BY township""")
 def obs_unjoined_plat_hole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obs.plat_holes(rows(spark, sf_dir), touches(spark, sf_dir)).select("id", "observed")
 
 
-@_r.query(f"""WITH {PARCELS_SQL}, {TOUCH_SQL}, {ROWS_SQL}, s AS (SELECT t.id, count(*) AS n, count_if(NOT f.vacant AND NOT f.unjoined) AS j FROM touch t LEFT JOIN features f ON f.parcel_id = t.neighbour_id GROUP BY 1)
+@_r.query(f"""WITH {PARCELS_SQL}, {TOUCH_SQL}, {ROWS_SQL}, s AS (SELECT t.id, count(*) AS n, count(*) FILTER (WHERE NOT f.vacant AND NOT f.unjoined) AS j FROM touch t LEFT JOIN features f ON f.parcel_id = t.neighbour_id GROUP BY 1)
     SELECT 'obs:vacant_tract_among_improved:' || coalesce(owner, '_unknown') AS id, count(*)::DOUBLE AS observed, CASE WHEN any_value(owner) = 'MAINE STATE OF' THEN 'suppressed' ELSE 'low' END AS priority FROM rows_ JOIN s ON s.id = parcel_id WHERE vacant AND acres >= 100 AND n >= 3 AND j / n >= 0.75 GROUP BY owner""")
 def obs_vacant_among_improved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obs.vacant_among_improved(rows(spark, sf_dir), touches(spark, sf_dir)).select("id", "observed", "priority")
 
 
 
-@_r.query(f"""WITH {PARCELS_SQL}, {TOUCH_SQL}, f AS (SELECT parcel_id, 'Z' || (gx // 10)::VARCHAR AS z, (gx // 10) % 5 <> 0 AND joined AS j FROM features), s AS (SELECT z, count(*) AS n, count_if(j) AS k FROM f GROUP BY 1),
+@_r.query(f"""WITH {PARCELS_SQL}, {TOUCH_SQL}, f AS (SELECT parcel_id, 'Z' || (gx // 10)::VARCHAR AS z, (gx // 10) % 5 <> 0 AND joined AS j FROM features), s AS (SELECT z, count(*) AS n, count(*) FILTER (WHERE j) AS k FROM f GROUP BY 1),
     d AS (SELECT DISTINCT a.z AS a, b.z AS b FROM touch JOIN f a ON a.parcel_id = id JOIN f b ON b.parcel_id = neighbour_id WHERE a.z <> b.z)
     SELECT 'obs:township_join_gap:' || s.z AS id, s.k / s.n AS observed, s.n AS parcels FROM s WHERE s.k / s.n <= 0.05 AND EXISTS (SELECT 1 FROM d JOIN s o ON o.z = d.b WHERE d.a = s.z AND o.k / o.n >= 0.9)""")
 def obs_township_join_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +220,7 @@ def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obs.packets(found, r)
 
 
-@_r.query(f"""WITH {PARCELS_SQL}, g AS (SELECT group_id, count(*) AS n, bool_or(coalesce(allocation = 'copied_full_assessment', FALSE)) AS c, min(acres) AS a, max(acres) AS z, count_if(acres > 0) AS k FROM features GROUP BY 1),
+@_r.query(f"""WITH {PARCELS_SQL}, g AS (SELECT group_id, count(*) AS n, bool_or(coalesce(allocation = 'copied_full_assessment', FALSE)) AS c, min(acres) AS a, max(acres) AS z, count(*) FILTER (WHERE acres > 0) AS k FROM features GROUP BY 1),
     o AS (SELECT 'obs:copied_multilot_acre_spread:' || f.group_id AS id, parcel_id FROM features f JOIN g USING (group_id) WHERE n >= 2 AND c AND k >= 2 AND z / a >= 3 AND z - a >= 10
           UNION ALL SELECT 'obs:land_building_vs_taxable_exemption_null:' || township, parcel_id FROM features WHERE exemption IS NULL AND land_building - taxable >= 1000 AND (taxable <= 0 OR land_building / taxable >= 1.25)),
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY parcel_id) AS i FROM o)
@@ -241,7 +241,7 @@ def packet_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packets(spark, sf_dir).groupBy(obs.classify().alias("class")).agg(F.count("*").alias("n"))
 
 
-@_r.query(f"""WITH {PARCELS_SQL}, g AS (SELECT group_id, count(*) AS n, bool_or(coalesce(allocation = 'copied_full_assessment', FALSE)) AS c, min(acres) AS a, max(acres) AS z, count_if(acres > 0) AS k FROM features GROUP BY 1)
+@_r.query(f"""WITH {PARCELS_SQL}, g AS (SELECT group_id, count(*) AS n, bool_or(coalesce(allocation = 'copied_full_assessment', FALSE)) AS c, min(acres) AS a, max(acres) AS z, count(*) FILTER (WHERE acres > 0) AS k FROM features GROUP BY 1)
     SELECT 'copied_multilot_acre_spread' AS type, count(*) AS n FROM g WHERE n >= 2 AND c AND k >= 2 AND z / a >= 3 AND z - a >= 10 HAVING count(*) > 0
     UNION ALL SELECT 'land_building_vs_taxable_exemption_null', count(DISTINCT township) FROM features WHERE exemption IS NULL AND land_building - taxable >= 1000 AND (taxable <= 0 OR land_building / taxable >= 1.25) HAVING count(*) > 0""")
 def observation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,7 +111,7 @@ def most_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a.id, b.id AS neighbour_id, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS distance FROM points a JOIN points b ON a.id <> b.id AND a.even = b.even
 ), knn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour_id) AS rank FROM pairs QUALIFY rank <= 25),
     j AS (SELECT knn.id, o.t AS own, n.t FROM knn JOIN v o ON o.id = knn.id JOIN v n ON n.id = neighbour_id),
-    m AS (SELECT id, own, count(*) AS n, median(t) AS expected, count_if(t < own) / count(*) AS percentile, median(ln(1 + greatest(0, t))) AS mid FROM j GROUP BY 1, 2),
+    m AS (SELECT id, own, count(*) AS n, median(t) AS expected, count(*) FILTER (WHERE t < own) / count(*) AS percentile, median(ln(1 + greatest(0, t))) AS mid FROM j GROUP BY 1, 2),
     d AS (SELECT j.id, median(abs(ln(1 + greatest(0, t)) - mid)) AS spread FROM j JOIN m USING (id) GROUP BY 1)
     SELECT 'C' || id AS parcel_id, n AS knn_n, expected AS knn_expected, own - expected AS knn_residual, percentile AS knn_percentile, CASE WHEN spread > 0 THEN round(0.6745 * (ln(1 + greatest(0, own)) - mid) / spread, 7) END AS knn_mad FROM m JOIN d USING (id)""")
 def peer_scores_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +134,7 @@ def spatial_lag_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.lags(features(spark, sf_dir), touches(spark, sf_dir))
 
 
-@_r.query(f"""WITH {PARCELS_SQL}, {TOUCH_SQL} SELECT count(*) AS parcels, count_if(n = 8) AS inner_parcels, count_if(n < 4) AS corner_parcels, max(n) AS most FROM (SELECT id, count(*) AS n FROM touch GROUP BY 1)""")
+@_r.query(f"""WITH {PARCELS_SQL}, {TOUCH_SQL} SELECT count(*) AS parcels, count(*) FILTER (WHERE n = 8) AS inner_parcels, count(*) FILTER (WHERE n < 4) AS corner_parcels, max(n) AS most FROM (SELECT id, count(*) AS n FROM touch GROUP BY 1)""")
 def spatial_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = touches(spark, sf_dir).groupBy("id").agg(F.count("*").alias("n"))
     return each.agg(F.count("*").alias("parcels"), F.count_if(F.col("n") == 8).alias("inner_parcels"), F.count_if(F.col("n") < 4).alias("corner_parcels"), F.max("n").alias("most"))

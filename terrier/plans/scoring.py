@@ -192,17 +192,17 @@ def snapshot_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).select(key.alias("snapshot_id"), F.concat_ws("|", key, F.lit("features")).alias("feature_id"), "taxable_text", "taxable", "acres_text", "acres", "joined")
 
 
-@_r.query(f"""WITH {PARCELS_SQL} SELECT count(*) AS parcels, count_if(joined) AS joined, count_if(taxable IS NOT NULL) AS assessed, count_if(allocation = 'copied_full_assessment') AS copied, count_if(exemption IS NOT NULL) AS exempted FROM features""")
+@_r.query(f"""WITH {PARCELS_SQL} SELECT count(*) AS parcels, count(*) FILTER (WHERE joined) AS joined, count(*) FILTER (WHERE taxable IS NOT NULL) AS assessed, count(*) FILTER (WHERE allocation = 'copied_full_assessment') AS copied, count(*) FILTER (WHERE exemption IS NOT NULL) AS exempted FROM features""")
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).agg(F.count("*").alias("parcels"), F.count_if("joined").alias("joined"), F.count_if(F.col("taxable").isNotNull()).alias("assessed"), F.count_if(F.col("allocation") == "copied_full_assessment").alias("copied"), F.count_if(F.col("exemption").isNotNull()).alias("exempted"))
 
 
-@_r.query(f"""WITH {PARCELS_SQL} SELECT township, count(*) AS n, count_if(owner_raw IS NOT NULL) AS with_owner, count_if(joined) AS joined, round(count_if(joined) / count(*), 6) AS rate, bool_or(exemption IS NOT NULL) AS any_exemption, bool_and(joined) AS all_joined FROM features GROUP BY 1""")
+@_r.query(f"""WITH {PARCELS_SQL} SELECT township, count(*) AS n, count(*) FILTER (WHERE owner_raw IS NOT NULL) AS with_owner, count(*) FILTER (WHERE joined) AS joined, round(count(*) FILTER (WHERE joined) / count(*), 6) AS rate, bool_or(exemption IS NOT NULL) AS any_exemption, bool_and(joined) AS all_joined FROM features GROUP BY 1""")
 def coverage_by_municipality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).groupBy("township").agg(F.count("*").alias("n"), F.count("owner_raw").alias("with_owner"), F.count_if("joined").alias("joined"), F.round(F.count_if("joined") / F.count("*"), 6).alias("rate"), F.bool_or(F.col("exemption").isNotNull()).alias("any_exemption"), F.bool_and("joined").alias("all_joined"))
 
 
-@_r.query(f"""WITH {PARCELS_SQL} SELECT coalesce(township, '*') AS township, coalesce(family, '*') AS family, count(*) AS n, count_if(joined) AS joined, max(acres) AS largest FROM features GROUP BY GROUPING SETS ((township), (family), ())""")
+@_r.query(f"""WITH {PARCELS_SQL} SELECT coalesce(township, '*') AS township, coalesce(family, '*') AS family, count(*) AS n, count(*) FILTER (WHERE joined) AS joined, max(acres) AS largest FROM features GROUP BY GROUPING SETS ((township), (family), ())""")
 def coverage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = features(spark, sf_dir).groupingSets([["township"], ["family"], []], "township", "family").agg(F.count("*").alias("n"), F.count_if("joined").alias("joined"), F.max("acres").alias("largest"))
     return out.select(F.coalesce("township", F.lit("*")).alias("township"), F.coalesce("family", F.lit("*")).alias("family"), "n", "joined", "largest")
@@ -214,12 +214,12 @@ def join_method_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parcels(spark, sf_dir).groupBy(method.alias("method")).agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("joined"), (F.col("ordinal") % 10) / 10.0)), 6).alias("confidence"))
 
 
-@_r.query(f"""WITH {PARCELS_SQL} SELECT family, count(*) AS n, count_if(joined) AS joined, count(*) - count(DISTINCT group_id) AS duplicates, count(exemption) AS exemptions, count(DISTINCT custkey) AS owners FROM features GROUP BY 1""")
+@_r.query(f"""WITH {PARCELS_SQL} SELECT family, count(*) AS n, count(*) FILTER (WHERE joined) AS joined, count(*) - count(DISTINCT group_id) AS duplicates, count(exemption) AS exemptions, count(DISTINCT custkey) AS owners FROM features GROUP BY 1""")
 def family_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).groupBy("family").agg(F.count("*").alias("n"), F.count_if("joined").alias("joined"), (F.count("*") - F.count_distinct("group_id")).alias("duplicates"), F.count("exemption").alias("exemptions"), F.count_distinct("custkey").alias("owners"))
 
 
-@_r.query(f"""WITH {PARCELS_SQL} SELECT count_if(lots > 1) AS multi_lot, count_if(towns > 1) AS multi_town, round(avg(lots), 6) AS lots_each FROM (SELECT custkey, count(*) AS lots, count(DISTINCT gy) AS towns FROM features GROUP BY 1)""")
+@_r.query(f"""WITH {PARCELS_SQL} SELECT count(*) FILTER (WHERE lots > 1) AS multi_lot, count(*) FILTER (WHERE towns > 1) AS multi_town, round(avg(lots), 6) AS lots_each FROM (SELECT custkey, count(*) AS lots, count(DISTINCT gy) AS towns FROM features GROUP BY 1)""")
 def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = parcels(spark, sf_dir).groupBy("custkey").agg(F.count("*").alias("lots"), F.count_distinct("gy").alias("towns"))
     return each.agg(F.count_if(F.col("lots") > 1).alias("multi_lot"), F.count_if(F.col("towns") > 1).alias("multi_town"), F.round(F.avg("lots"), 6).alias("lots_each"))
