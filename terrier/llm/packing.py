@@ -30,16 +30,20 @@ STEPS = 400
 RANKED = 200_000
 
 # A chunk between spaces that is letters and then signs falls apart at that border before tokens are made, and small ASCII letters are what ASCII letters become; neither holds of "'" and of "<", with which special tokens begin.
+_SIGNS = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 _PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:;=-@\[-`{-~]*)\Z")
 
 
 class Tokens:
     """ids of texts as the tokenizer gives them, found once for each distinct chunk between spaces: this tokenizer drops white space and no token spans it. Words without signs are tokenised many at a time."""
 
-    def __init__(self, path: str, most: int = 300_000, most_parts: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000, most_parts: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.most_parts = Tokenizer.from_file(path), most, most_parts
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.chunks: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -54,39 +58,42 @@ class Tokens:
         plain: dict[bytes, tuple[str, str]] = {}
         odd = []
         for chunk in new:
-            text = chunk.decode()
-            m = _PLAIN.match(text)
-            if m:
+            core = chunk.rstrip(_SIGNS)
+            if core.isalpha():  # ASCII letters only
+                plain[chunk] = (core.lower().decode(), chunk[len(core) :].decode())
+            elif m := _PLAIN.match(text := chunk.decode()):
                 plain[chunk] = (m[1].lower() if m[1].isascii() else m[1], m[2])
             else:
-                odd.append(chunk)
+                odd.append((chunk, text))
         words = [w for w in {w for w, _ in plain.values()} if w not in self.parts]
         if words:
             made = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-            begins = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
-            at = np.searchsorted(begins, np.array([a for a, _ in made.offsets]), side="right") - 1
             ids = np.array(made.ids, "<u4")
-            cuts = np.searchsorted(at, np.arange(len(words) + 1))
-            for w, a, b in zip(words, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self.parts[w] = ids[a:b].tobytes()
+            cuts = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+            if len(cuts) != len(words) + 1:  # a word of more than one end; places in the text tell
+                begins = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+                at = np.searchsorted(begins, np.array([a for a, _ in made.offsets]), side="right") - 1
+                cuts = np.searchsorted(at, np.arange(len(words) + 1))
+            raw, places = ids.tobytes(), (4 * cuts).tolist()
+            self.parts.update((w, raw[a:b]) for w, a, b in zip(words, places, places[1:], strict=False))
         signs = [s for s in {s for _, s in plain.values()} if s and s not in self.parts]
         self.parts.update(zip(signs, self._ids(signs), strict=True))
         self.parts[""] = b""
         for chunk, (word, sign) in plain.items():
             self.chunks[chunk] = self.parts[word] + self.parts[sign]
-        self.chunks.update(zip(odd, self._ids([c.decode() for c in odd]), strict=True))
+        self.chunks.update(zip((c for c, _ in odd), self._ids([t for _, t in odd]), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         split = [t.split() for t in texts]
-        new = {w for words in split for w in words if w not in self.chunks}
-        if new:
-            self._learn(new)
-            new = {w for words in split for w in words if w not in self.chunks}
-            if new:  # the memory was cleared under them
-                self._learn(new)
-        known = self.chunks
-        return [b"".join([known[w] for w in words]) for words in split]
+        found = [list(map(self.chunks.get, words)) for words in split]
+        short = [i for i, ids in enumerate(found) if None in ids]
+        if short:
+            self._learn({w for i in short for w, x in zip(split[i], found[i], strict=True) if x is None})
+            for i in short:
+                get = self.chunks.get
+                found[i] = [x if x is not None else get(w) for w, x in zip(split[i], found[i], strict=True)]
+        return [b"".join(ids) for ids in found]
 
 
 def _tokens(path: str, kept: dict = {}) -> Tokens:  # noqa: B006  one a worker
@@ -102,8 +109,8 @@ def _pieces(path: str, window: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(path)
         for batch in batches:
-            for first in range(0, batch.num_rows, 64):
-                part, rows = batch.slice(first, 64), []
+            for first in range(0, batch.num_rows, 128):
+                part, rows = batch.slice(first, 128), []
                 bodies = [x or b"" for x in part.column("body").to_pylist()]
                 for doc, ids in zip(part.column("doc_id").to_pylist(), tokens.encode(bodies), strict=True):
                     ids += end
