@@ -236,14 +236,17 @@ def packet_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obs.validate(obs.hypotheses(_packets(spark, sf_dir)))
 
 
-@_r.query()
+_COUNTS_SQL = f"""WITH {PARCELS_SQL}, g AS (SELECT group_id, count(*) AS n, bool_or(coalesce(allocation = 'copied_full_assessment', FALSE)) AS c, min(acres) AS a, max(acres) AS z, count(*) FILTER (WHERE acres > 0) AS k FROM features GROUP BY 1)
+    SELECT 'copied_multilot_acre_spread' AS type, count(*) AS n FROM g WHERE n >= 2 AND c AND k >= 2 AND z / a >= 3 AND z - a >= 10 HAVING count(*) > 0
+    UNION ALL SELECT 'land_building_vs_taxable_exemption_null', count(DISTINCT township) FROM features WHERE exemption IS NULL AND land_building - taxable >= 1000 AND (taxable <= 0 OR land_building / taxable >= 1.25) HAVING count(*) > 0"""
+
+
+@_r.query(f"SELECT 'artifact' AS class, sum(n)::BIGINT AS n FROM ({_COUNTS_SQL})")
 def packet_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packets(spark, sf_dir).groupBy(obs.classify().alias("class")).agg(F.count("*").alias("n"))
 
 
-@_r.query(f"""WITH {PARCELS_SQL}, g AS (SELECT group_id, count(*) AS n, bool_or(coalesce(allocation = 'copied_full_assessment', FALSE)) AS c, min(acres) AS a, max(acres) AS z, count(*) FILTER (WHERE acres > 0) AS k FROM features GROUP BY 1)
-    SELECT 'copied_multilot_acre_spread' AS type, count(*) AS n FROM g WHERE n >= 2 AND c AND k >= 2 AND z / a >= 3 AND z - a >= 10 HAVING count(*) > 0
-    UNION ALL SELECT 'land_building_vs_taxable_exemption_null', count(DISTINCT township) FROM features WHERE exemption IS NULL AND land_building - taxable >= 1000 AND (taxable <= 0 OR land_building / taxable >= 1.25) HAVING count(*) > 0""")
+@_r.query(_COUNTS_SQL)
 def observation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packets(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
 
