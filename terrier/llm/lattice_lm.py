@@ -150,7 +150,7 @@ class Lattice:
         out = np.zeros(len(words))
         for group in self._by_length(words):
             some = [words[i] for i in group]
-            out[group] = self._long(some[0]) if len(some[0]) > 512 else self._forward(some, self._arcs(some))[-1]
+            out[group] = [self._long(w) for w in some] if len(some[0]) > 512 else self._forward(some, self._arcs(some))[-1]
         return out
 
     def _long(self, word: bytes) -> float:

@@ -256,3 +256,10 @@ def test_quality_on_labelled_documents(spark):
     r = judged.join(labels, judged.k_id == labels.doc_id).select("quality", "toxic", "kept").collect()
     good, bad = [x.kept for x in r if x.quality and not x.toxic], [x.kept for x in r if not x.quality]
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.05 * len(bad)
+
+
+def test_long_words_of_one_length_score_each():
+    lattice = lattice_lm.Lattice({b" ": math.log(0.1), b"a": math.log(0.5), b"b": math.log(0.2)})
+    some = [b"a" * 600, b"ab" * 300, b"b" * 600]
+    want = [math.log(0.1) + w.count(b"a") * math.log(0.5) + w.count(b"b") * math.log(0.2) for w in some]
+    assert lattice.log_probabilities(some) == pytest.approx(want)
