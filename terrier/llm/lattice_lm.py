@@ -14,6 +14,7 @@ is read; all others go, packed by bucket of their hash, to where the counts of t
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,6 +56,11 @@ def piece_scores(model: str) -> dict[bytes, float]:
     return {p: math.log(w / total) for p, w in sorted(weights.items())}
 
 
+def _log_add(x: float, y: float) -> float:
+    top, low = (x, y) if x >= y else (y, x)
+    return top if low == -math.inf else top + math.log1p(math.exp(low - top))
+
+
 class Lattice:
     """Forward and backward sums over all segmentations of words, for many words at a time."""
 
@@ -70,6 +76,7 @@ class Lattice:
         self.mask = (1 << 20) - 1
         self.keys, self.ids = np.zeros(self.mask + 1, np.uint64), np.full(self.mask + 1, -1, np.int32)
         self.moved = np.zeros(self.mask + 1, np.uint8)  # by home slot, how far its entries have moved on at most
+        self.entries = entries
         for piece, i in entries.items():
             h = self._hash(piece)
             home, step = self._slot(h), 0
@@ -163,13 +170,39 @@ class Lattice:
             del recent[: -self.longest]
         return recent[-1]
 
+    def _arcs_from(self, text: bytes, a: int) -> Iterator[tuple[int, int]]:
+        """Ends and places of the pieces that begin at place a."""
+        for b in range(a + 1, min(len(text), a + self.longest) + 1):
+            i = self.entries.get(text[a:b])
+            if i is None:
+                return
+            if i >= 0:
+                yield b, i
+
+    def _expect_long(self, word: bytes, count: float, out: np.ndarray) -> None:
+        """Adds the expected uses of each piece in one word."""
+        text, score = b" " + word, self.score
+        size = len(text)
+        forward, backward = array("d", [-math.inf]) * (size + 1), array("d", [-math.inf]) * (size + 1)
+        forward[0] = backward[size] = 0.0
+        for a in range(size):
+            for b, i in self._arcs_from(text, a):
+                forward[b] = _log_add(forward[b], forward[a] + float(score[i]))
+        for a in range(size - 1, -1, -1):
+            for b, i in self._arcs_from(text, a):
+                way = float(score[i]) + backward[b]
+                backward[a] = _log_add(backward[a], way)
+                out[i] += math.exp(forward[a] + way - forward[size]) * count
+
     def expected(self, words: list[bytes], counts: list[int]) -> np.ndarray:
-        """Expected uses of each piece in the words, as often as they are counted. Words of over 64 bytes, which are hardly made of words' parts, don't take part in training."""
-        out = np.zeros(len(self.pieces))
-        keep = [i for i, w in enumerate(words) if len(w) <= 64]
-        words, counts = [words[i] for i in keep], np.array([counts[i] for i in keep], float)
+        """Expected uses of each piece in the words, as often as they are counted. Long words, unless many are of one length, run in steps of the same recursion."""
+        out, counts = np.zeros(len(self.pieces)), np.array(counts, float)
         for group in self._by_length(words):
             some = [words[i] for i in group]
+            if len(some[0]) > 512 or (len(some[0]) > 64 and len(some) < 16):
+                for i in group:
+                    self._expect_long(words[i], counts[i], out)
+                continue
             arcs = self._arcs(some)
             forward = self._forward(some, arcs)
             size = len(some[0]) + 1

@@ -263,3 +263,15 @@ def test_long_words_of_one_length_score_each():
     some = [b"a" * 600, b"ab" * 300, b"b" * 600]
     want = [math.log(0.1) + w.count(b"a") * math.log(0.5) + w.count(b"b") * math.log(0.2) for w in some]
     assert lattice.log_probabilities(some) == pytest.approx(want)
+
+
+def test_long_words_take_part_in_training():
+    lattice = lattice_lm.Lattice({p: math.log(q) for p, q in {b" ": 0.1, b" a": 0.2, b"a": 0.1, b"b": 0.2, b"ab": 0.3, b" ab": 0.1}.items()})
+    for word in (b"a" * 50 + b"b" * 20, b"ab" * 300):
+        uses = lattice.expected([word], [3.0])
+        assert sum(k * len(p) for p, k in zip(lattice.pieces, uses, strict=True)) == pytest.approx(3 * (len(word) + 1))
+        assert lattice.expected([word] * 16, [3.0] * 16) == pytest.approx(16 * uses)
+    short = b"abaab" * 10
+    one = [0.0] * len(lattice.pieces)
+    lattice._expect_long(short, 2.0, one)
+    assert one == pytest.approx(lattice.expected([short], [2.0]).tolist())
