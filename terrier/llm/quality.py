@@ -54,7 +54,7 @@ def measures(text: str) -> dict[str, float]:
     letters = sum(map(str.isalpha, text)) if len(text) < 4000 else sum(map(len, _WORD.findall(text)))
     capitals = sum(len(x) for x in re.findall(r"[A-ZÀ-ÖØ-Þ]+", text))
     signs = len(re.findall(r"[#$%&*|!^~=<>{}\\@+]", text))
-    abuse = Counter(w for w in _WORD.findall(text.lower()) if w in ABUSE) if any(a in counts for a in ABUSE) or any(c in text for c in "#$%&*|!") else Counter()
+    abuse = Counter(filter(ABUSE.__contains__, _WORD.findall(text.lower())))
     return {
         "words": len(words), "symbols": signs / max(1, len(text)), "bars": text.count("|") / n, "capitals": capitals / max(1, letters),
         "one_word": counts.most_common(1)[0][1] / n if words else 0.0, "variety": len(counts) / n, "stop_words": sum(w.rstrip(".,").lower() in STOP_WORDS for w in words) / n,

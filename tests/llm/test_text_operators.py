@@ -275,3 +275,9 @@ def test_long_words_take_part_in_training():
     one = [0.0] * len(lattice.pieces)
     lattice._expect_long(short, 2.0, one)
     assert one == pytest.approx(lattice.expected([short], [2.0]).tolist())
+
+
+def test_terms_of_abuse_count_beside_any_sign():
+    for text in ("You “idiot”", "idiot/go", "moron—go", "an _idiot_ here", "the idiot’s way"):
+        assert quality.measures(text)["abuse"] == 1 and quality.votes(quality.measures(text))[1][-1] == quality.NONE
+    assert quality.measures("idiot/moron")["abuse_distinct"] == 2 and quality.measures("idiots' trashcan")["abuse"] == 1
