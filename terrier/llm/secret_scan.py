@@ -1,8 +1,8 @@
 """Secret scans by corpus-wide ownership frequency, with DataFrame operations only.
 
 Patterns find candidate values. Over the corpus, each value's digest is counted by distinct repositories (documents) and
-distinct owners (sources): a value that several owners have is a widely copied example; one that a single owner has and
-that looks random is a live-looking credential. Each candidate gets a span of its value under one of those two kinds.
+distinct owners (sources): a value that several owners or many repositories have is a widely copied example; one that a
+single owner has in few repositories and that looks random is a live-looking credential. Each candidate gets a span of its value under one of those two kinds.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ HEX = "[0-9a-f]{32,}"
 #: Kinds of base spans in their order, then those that the ownership counts add.
 KINDS = ("assign", "access", "hex", "copied", "live")
 MIN_VALUE = 8
-#: From so many owners on, a value counts as a copied example.
-COPIED_OWNERS = 2
+#: From so many owners on, or so many repositories within one owner, a value counts as a copied example.
+COPIED_OWNERS, COPIED_REPOSITORIES = 2, 10
 #: A live-looking value has so many characters, and so many distinct ones, at least.
 LIVE_LENGTH, LIVE_DISTINCT = 16, 8
 
@@ -50,9 +50,10 @@ def candidate_spans(text: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), value(s).alias("value")))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
     """One row per row of docs: the id (bigint), spans, an array of structs (start, kind, stop) in order of start, kind
-    and stop, kind a place in KINDS, and candidates, the number of base spans.
+    and stop, kind a place in KINDS, candidates, the number of base spans, and spread, an array of structs (start, stop,
+    owners, repositories) with the counts of each candidate's value.
 
     A null text has no spans; a null owner is an owner of its own; copies of a row count as one repository. Base spans
     are never dropped. Only the values that patterns find are shuffled, distinct owners and repositories by partial
@@ -65,13 +66,15 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     owners = each.select("digest", "owner").distinct().groupBy("digest").agg(F.count("*").alias("owners"))
     repositories = each.select("digest", "k_id").distinct().groupBy("digest").agg(F.count("*").alias("repositories"))
     spread = owners.join(repositories, "digest")
-    copied, live = F.col("owners") >= copied_owners, (F.col("owners") < copied_owners) & F.col("random")
-    added = each.join(spread, "digest").select("k_id", "k_text", F.struct((F.col("stop") - F.col("length")).alias("start"), F.when(copied, KINDS.index("copied")).when(live, KINDS.index("live")).alias("kind"), F.col("stop").alias("stop")).alias("extra")).where("extra.kind is not null")
-    per_row = added.groupBy("k_id", "k_text").agg(F.collect_set("extra").alias("extra"))  # bounded by the matches in one text
+    copied = (F.col("owners") >= copied_owners) | (F.col("repositories") >= copied_repositories)
+    live = ~copied & F.col("random")
+    place = (F.col("stop") - F.col("length")).alias("start")
+    added = each.join(spread, "digest").select("k_id", "k_text", F.struct(place, "stop", "owners", "repositories").alias("counts"), F.struct(place, F.when(copied, KINDS.index("copied")).when(live, KINDS.index("live")).alias("kind"), F.col("stop").alias("stop")).alias("extra"))
+    per_row = added.groupBy("k_id", "k_text").agg(F.collect_set(F.when(F.col("extra.kind").isNotNull(), F.col("extra"))).alias("extra"), F.collect_set("counts").alias("spread"))  # bounded by the matches in one text
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
     out = found.join(per_row, ["k_id", "k_text"], "left")
     spans = F.array_sort(F.concat(base, F.coalesce("extra", F.expr("cast(array() as array<struct<start:int,kind:int,stop:int>>)"))))
-    return out.select(F.when(~F.col("null_id"), F.col("k_id")).alias(id_col), spans.alias("spans"), F.size("spans").alias("candidates"))
+    return out.select(F.when(~F.col("null_id"), F.col("k_id")).alias(id_col), spans.alias("spans"), F.size("spans").alias("candidates"), F.array_sort(F.coalesce("spread", F.expr("cast(array() as array<struct<start:int,stop:int,owners:bigint,repositories:bigint>>)"))).alias("spread"))
 
 
 def span_text(spans: Column, base_only: bool = False) -> Column:
