@@ -28,8 +28,9 @@ SAMPLE = 20_000
 LIST_SIZE, MAX_LISTS, CHUNK = 200, 4096, 8192
 #: Lists that a vector may go to, and by what ratio their distance may exceed the nearest one's.
 REPLICAS, BOUNDARY = 4, 1.15
-#: The same for lists that a query reads.
-PROBES, RATIO = 48, 1.13
+#: By what ratio the distance of a list that a query reads may exceed the nearest one's.
+RATIO = 1.13
+#: Links of a centroid in the graph; centroids that a walk expands.
 NEIGHBOURS, BEAM = 24, 96
 
 
@@ -91,7 +92,7 @@ class Centroids:
                     yield i, c
 
     def probe(self, vectors: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(place, list) for each list that a query reads: a beam search over the graph, then pruning by ratio."""
+        """(place, list) for each list that a query reads: a beam search over the graph, the centroids that it hasn't met, then pruning by ratio alone."""
         queries = np.concatenate([vectors * (self.norm / np.sqrt((vectors**2).sum(axis=1)))[:, None], np.zeros((len(vectors), 1))], axis=1)
         n, rows = len(self.points), np.arange(len(queries))
         gaps, open_ = np.full((len(queries), n), np.inf), np.full((len(queries), n), np.inf)
@@ -109,12 +110,15 @@ class Centroids:
             best = open_.argmin(axis=1)
             open_[rows, best] = np.inf
             visit(self.links[best])
-        order = np.argsort(gaps, axis=1, kind="stable")[:, :PROBES]
+        # Some centroids have few links to them, so what the walk hasn't met is measured, too: n is at most MAX_LISTS.
+        gaps = np.where(np.isfinite(gaps), gaps, self._gaps(queries) ** 2)
+        order = np.argsort(gaps, axis=1, kind="stable")
         for i, row in enumerate(order.tolist()):
             for rank, c in enumerate(row):
                 d = math.sqrt(gaps[i, c])
-                if d <= RATIO * math.sqrt(gaps[i, row[0]]) or rank < 2:
-                    yield i, c
+                if rank >= 2 and d > RATIO * math.sqrt(gaps[i, row[0]]):
+                    break
+                yield i, c
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -84,3 +84,18 @@ def test_pipeline(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert last.agg(F.sum("length")).first()[0] == last.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
     assert corpus_pipeline.run(spark, sf).count() == last.count()
+
+
+def test_ann_reads_all_lists_within_the_ratio():
+    """At the largest number of lists, of which far more than 48 lie within the ratio."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(posting_ann.MAX_LISTS, 64))
+    norm = float(np.sqrt((x**2).sum(axis=1).max()))
+    index = posting_ann.Centroids(posting_ann.Centroids.lift(x, norm), norm)
+    asked = r.normal(size=(40, 64))
+    lifted = np.concatenate([asked * (norm / np.sqrt((asked**2).sum(axis=1)))[:, None], np.zeros((40, 1))], axis=1)
+    gaps = index._gaps(lifted)
+    want = {(i, c) for i, c in zip(*map(np.ndarray.tolist, np.nonzero(gaps <= posting_ann.RATIO * gaps.min(axis=1)[:, None])), strict=True)}
+    got = set(index.probe(asked))
+    assert len(want) > 48 * 40
+    assert len(want & got) >= 0.999 * len(want)
