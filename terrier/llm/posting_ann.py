@@ -83,7 +83,7 @@ class Centroids:
         return np.sqrt(np.maximum((points**2).sum(axis=1)[:, None] - 2 * points @ self.points.T + self.squares, 0))
 
     def lists_of(self, vectors: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(place, list) for each list that a vector goes to. A list is left out if a list already taken lies nearer to it than the vector does."""
+        """(place, list) for each list that a vector goes to."""
         gaps = self._gaps(self.lift(vectors, self.norm))
         order = np.argsort(gaps, axis=1, kind="stable")[:, :REPLICAS]
         for i, row in enumerate(order.tolist()):
@@ -174,12 +174,17 @@ def _search(k: int):
     return run
 
 
+def list_count(total: int) -> int:
+    """Lists for so many distinct vectors: several from two lists' worth on."""
+    return 1 if total < 2 * LIST_SIZE else min(MAX_LISTS, 1 << int(math.log2(total / LIST_SIZE)))
+
+
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
     """The k nearest of each row for which is_query holds: query_id, rank, the id found and score, ties to the smaller id; all others, if fewer.
 
     Rows that are not usable(), have no id, or have another number of components than most rows take no part. A row is
     no candidate of its own. An empty table gives an empty one. Rows that share an id are one vector with the values of
-    any of them. With fewer than ten lists' worth of distinct vectors there is one list, and the result is exact."""
+    any of them. With up to two lists all are read, and the result is exact."""
     spark, width = vectors.sparkSession, k + 1
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & usable(F.col("vector")))
     size = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
@@ -190,7 +195,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     asking = written(rows.where("asks").select("id", "vector").distinct().join(distinct.select("rep", "vector"), "vector").select("id", "rep"), "queries")
 
     total, norm = distinct.agg(F.count("*"), F.sqrt(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))).first()
-    lists = 1 if total < 10 * LIST_SIZE else min(MAX_LISTS, 1 << int(math.log2(total / LIST_SIZE)))
+    lists = list_count(total)
     sample = distinct.orderBy(F.xxhash64("rep")).limit(SAMPLE if lists > 1 else 1).select("vector").toArrow()["vector"].combine_chunks()
     fitted = Centroids.fit(_matrix(sample), lists, norm) if total else None
     centroids = spark.sparkContext.broadcast(fitted)  # MAX_LISTS rows at most

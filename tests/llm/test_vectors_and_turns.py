@@ -99,3 +99,7 @@ def test_ann_reads_all_lists_within_the_ratio():
     got = set(index.probe(asked))
     assert len(want) > 48 * 40
     assert len(want & got) >= 0.999 * len(want)
+
+
+def test_ann_uses_lists_as_soon_as_two_can_be_formed():
+    assert [posting_ann.list_count(n) for n in (0, 1, 399, 400, 500, 800, 10**9)] == [1, 1, 1, 2, 2, 4, posting_ann.MAX_LISTS]
