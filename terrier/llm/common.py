@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +45,8 @@ def ascii_lower(text: Column) -> Column:
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in pieces of about `most` bytes of `column`, so that what numpy makes of a piece stays small; a longer text is a piece of its own."""
     for batch in batches:
-        sizes = batch.column(column).to_pylist()
         first = held = 0
-        for i, value in enumerate(sizes):
-            n = len(value or b"")
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
             if i > first and held + n > most:
                 yield batch.slice(first, i - first)
                 first, held = i, 0

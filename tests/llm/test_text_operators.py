@@ -146,11 +146,46 @@ def test_plan_uses_each_remainder_once():
         histogram = np.random.default_rng(seed).integers(0, 30, 33)
         histogram[0] = 0
         used = np.zeros(33, int)
-        for times, bins in packing.plan(histogram.astype(float)):
+        for times, bins in packing.Plan(histogram.astype(float)).sequences():
             assert times > 0 and sum(bins) <= 32
-            for b in bins:
-                used[b] += times
+            np.add.at(used, list(bins), times)
         assert (used == histogram).all()
+    assert packing.Plan(np.zeros(33)).sequences() == []
+
+
+def test_solved_combinations_place_most_remainders():
+    import numpy as np
+
+    lengths = np.minimum(1 + np.random.default_rng(4).lognormal(6.3, 0.9, 5000).astype(int), 4096)
+    plan = packing.Plan(np.bincount(-(-lengths // 8), minlength=513).astype(float))
+    assert plan.solved_share() > 0.9
+    assert sum(times for times, _ in plan.sequences()) * 4096 < 1.015 * lengths.sum()
+
+
+def test_solution_fits_a_histogram_made_of_combinations():
+    import numpy as np
+
+    stock = np.zeros(33)
+    for times, bins in ((40, (20, 8, 4)), (25, (16, 16)), (10, (32,)), (7, (15, 10, 7))):
+        np.add.at(stock, list(bins), times)
+    shapes = packing.combinations(stock, 32)
+    every = [(a, b, 32 - a - b) for a in range(33) for b in range(a + 1) if 0 <= 32 - a - b <= b]
+    assert sorted(map(tuple, shapes.tolist())) == sorted(s for s in every if all(stock[b] or not b for b in s))
+    x = packing.solve(shapes, stock, steps=3000)
+    used = np.bincount(shapes.ravel(), np.repeat(x, 3), 33)[1:]
+    assert (x >= 0).all() and abs(used - stock[1:]).max() < 0.1
+
+
+def test_tokens_are_those_of_the_tokenizer():
+    import pyarrow as pa
+
+    tokens = packing.Tokens(public_tokenizers.path("word_bpe_49k.json"), most=3)
+    texts = ["", "  ", "Übung İstanbul ΣΑΣ", "don't THE's ##foo-bar..", "ǅ ŉ ß ẞ", "<|endoftext|> a<|endoftext|>b", "x́y é", "中文字符 テスト", "²½ ª º µ", "a b c\u0085f", "\x00 \x1f\x1cz"]
+    texts += ["Жёлтый ЀЍ ѠѢ", "aaa'''s,,,'t", "l'été d'Été", "ﬁ ŀ Å Å", "$x ^_^ [abc] {d} `e` a|b~", "A\nb\tc\x0bd\x0ce\rf", "ab<x> a)b( x\\y 12a3"]
+    for _ in range(2):
+        ids, ends = tokens.encode(pa.array(texts))
+        for text, first, last in zip(texts, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            assert ids[first:last].tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
 def _components(ids, linked):
