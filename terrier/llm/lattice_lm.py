@@ -1,222 +1,133 @@
 """LM scoring: subword lattice likelihood.
 
-The pieces of a public tokenizer's vocabulary weight all segmentations of each word: its spelled probability is the sum,
-over every way to cut it into pieces, of the product of their unigram probabilities, found by a forward recursion in log
-space. The vocabulary brings the pieces and, by their rank, the first scores; expectation-maximisation over all distinct
-training words refines them. A word seen in training is, whole, one more arc of its lattice: its discounted count over
-all tokens, while the discounts weigh the spelled arcs. A word begins with a marked piece and a text ends with an end
-token, so that the probabilities of all texts sum to one.
+The pieces of a public vocabulary, with its existing scores, weight all segmentations of each word: the probability that
+a word is spelled is the sum, over every way to cut it into pieces, of the product of their unigram probabilities, found
+by a forward recursion in log space. The vocabulary is one of merges, whose scores are ranks (minus the number of the
+merge), so a fixed law turns a score into a weight; neither pieces nor their scores are trained. What is learned from the
+corpus are words: a training word is, whole, one more arc of its lattice at its discounted count over all tokens, while
+the discounts weigh the spelled arcs. A word begins with a marked piece and a text ends with an end token, so that the
+probabilities of all texts sum to one.
 
 Words are scored once each, not once per occurrence. Very common words, a bounded number, are looked up where the text
-is read; all others go, packed by bucket of their hash, to where the counts of that bucket lie.
+is read; all others go, many texts in a row, to the bucket of their hash, where their counts lie.
 """
 
 from __future__ import annotations
 
 import math
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrier.llm.common import row_key, written
+from terrier.llm.common import small_batches, written
 
 HELD_OUT, FOLDS = 2, 7
 #: Words that are looked up without a shuffle, the commonest; bounds what each task is sent.
 COMMON_WORDS = 150_000
-#: Distinct words in one bucket of the others, about; but as many buckets as this at least, so that what a text sends does not depend on the corpus before it is large.
-BUCKET_WORDS, LEAST_BUCKETS = 500_000, 16
-ROUNDS = 2
-END = b""
+#: Bytes of words, occurrences and counts in one bucket of the others, about.
+BUCKET_BYTES = 8 << 20
+#: Bytes of text that are dealt to the buckets in one row each.
+SLICE = 8 << 20
+END = ""
 #: Of what the discounts leave, the share that goes to the end token; the rest is spelled.
 END_SHARE = 0.01
+#: A piece of score -r weighs (r + SHIFT) ** -POWER; single bytes that are no pieces, and the mark of a word's beginning, weigh as given.
+SHIFT, POWER = 10, 1.3
+BYTE_WEIGHT, MARK_WEIGHT, CONTROL_WEIGHT = 1e-6, 1e-4, 1e-7
 
 
 def piece_scores(model: str) -> dict[bytes, float]:
-    """Pieces (as bytes, a leading space marking a word's beginning) of a sentencepiece model, with natural logarithms of probabilities that fall as 1 / (rank + 10); every single byte, with and without the mark, is among them."""
+    """Pieces (as bytes, a leading space marking a word's beginning) of a sentencepiece model, with natural logarithms of probabilities by its scores; every single byte, with and without the mark, is among them."""
     import sentencepiece
 
     vocabulary = sentencepiece.SentencePieceProcessor(model_file=model)
-    weights: dict[bytes, float] = {b" ": 1e-4}
-    for b in range(33, 256):
-        weights[bytes([b])] = 1e-5
-    for rank in range(vocabulary.get_piece_size()):
-        if vocabulary.is_control(rank) or vocabulary.is_unknown(rank) or vocabulary.is_byte(rank):
+    weights: dict[bytes, float] = {b" ": MARK_WEIGHT} | {bytes([b]): BYTE_WEIGHT for b in range(33, 256)}
+    for i in range(vocabulary.get_piece_size()):
+        if vocabulary.is_control(i) or vocabulary.is_unknown(i) or vocabulary.is_byte(i):
             continue
-        piece = vocabulary.id_to_piece(rank).replace("▁", " ").encode()
+        piece = vocabulary.id_to_piece(i).replace("▁", " ").encode()
         if piece and b" " not in piece[1:]:
-            weights[piece] = max(weights.get(piece, 0.0), 1.0 / (rank + 10))
+            weights[piece] = max(weights.get(piece, 0.0), (SHIFT - vocabulary.get_score(i)) ** -POWER)
     for b in (*range(9), *range(14, 32)):
-        weights.setdefault(bytes([b]), 1e-6)
+        weights.setdefault(bytes([b]), CONTROL_WEIGHT)
     total = sum(weights.values())
     return {p: math.log(w / total) for p, w in sorted(weights.items())}
 
 
-def _log_add(x: float, y: float) -> float:
-    top, low = (x, y) if x >= y else (y, x)
-    return top if low == -math.inf else top + math.log1p(math.exp(low - top))
-
-
 class Lattice:
-    """Forward and backward sums over all segmentations of words, for many words at a time."""
-
-    BASE = 0x9E3779B97F4A7C15
-    PREFIX = -2  # the beginning of a piece, but none itself
+    """Forward sums over all segmentations of words, for many words at a time."""
 
     def __init__(self, scores: dict[bytes, float]):
-        self.pieces = sorted(scores)
-        self.score = np.array([scores[p] for p in self.pieces])
-        self.longest = max(map(len, self.pieces))
-        self.base = np.uint64(self.BASE)
-        entries = {p[:k]: self.PREFIX for p in self.pieces for k in range(1, len(p))} | {p: i for i, p in enumerate(self.pieces)}
-        self.mask = (1 << 20) - 1
-        self.keys, self.ids = np.zeros(self.mask + 1, np.uint64), np.full(self.mask + 1, -1, np.int32)
-        self.moved = np.zeros(self.mask + 1, np.uint8)  # by home slot, how far its entries have moved on at most
-        self.entries = entries
-        for piece, i in entries.items():
-            h = self._hash(piece)
-            home, step = self._slot(h), 0
-            while self.ids[(home + step) & self.mask] != -1:
-                step += 1
-            self.keys[(home + step) & self.mask], self.ids[(home + step) & self.mask] = h, i
-            self.moved[home] = max(self.moved[home], step)
-
-    def _hash(self, piece: bytes) -> int:
-        h = 0
-        for b in piece:
-            h = (h * self.BASE + b + 1) % 2**64
-        return h
-
-    def _slot(self, h: int) -> int:
-        return ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64) >> 44
-
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of pieces with these hashes; PREFIX for what only begins a piece, -1 for the rest."""
-        slot = (((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)).astype(np.int64)
-        out = np.where(self.keys[slot] == hashes, self.ids[slot], -1)
-        rest, step = np.flatnonzero((out == -1) & (self.moved[slot] > 0)), 1
-        while len(rest):
-            at = (slot[rest] + step) & self.mask
-            out[rest] = np.where(self.keys[at] == hashes[rest], self.ids[at], -1)
-            rest = rest[(out[rest] == -1) & (self.moved[slot[rest]] > step)]
-            step += 1
-        return out
-
-    def _arcs(self, words: list[bytes]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-        """For words of one length, with the mark in front: those that have a piece from place a to place b, and the pieces."""
-        size = len(words[0]) + 1
-        raw = np.frombuffer(b"".join(b" " + w for w in words), np.uint8).reshape(len(words), size).astype(np.uint64) + np.uint64(1)
-        arcs = {}
-        with np.errstate(over="ignore"):
-            for a in range(size):
-                rows, h = np.arange(len(words)), np.zeros(len(words), np.uint64)
-                for b in range(a + 1, min(size, a + self.longest) + 1):
-                    h = h * self.base + raw[rows, b - 1]
-                    found = self._find(h)
-                    whole = found >= 0
-                    if whole.any():
-                        arcs[a, b] = rows[whole], found[whole]
-                    alive = found != -1
-                    if not alive.any():
-                        break
-                    rows, h = rows[alive], h[alive]
-        return arcs
-
-    def _forward(self, words: list[bytes], arcs: dict) -> np.ndarray:
-        """By place, the logarithm of the sum over all ways to get there."""
+        inner = sorted({p[:k] for p in scores for k in range(len(p))})  # what further bytes can make a piece of
+        outer = sorted(set(scores) - set(inner))
+        self.place = {p: i for i, p in enumerate([*inner, *outer])}
+        self.inner, dead = len(inner), len(self.place)
+        self.follow = np.full((len(inner), 256), dead, np.int32)
+        self.gain = np.full(dead + 1, -np.inf)
+        for p, i in self.place.items():
+            if p:
+                self.follow[self.place[p[:-1]], p[-1]] = i
+            if p in scores:
+                self.gain[i] = scores[p]
+
+    def _forward(self, words: list[bytes]) -> np.ndarray:
+        """For words of one length, with the mark in front: the logarithm of the sum over all ways to get to the end."""
         size = len(words[0]) + 1
+        codes = np.frombuffer(b"".join(b" " + w for w in words), np.uint8).reshape(len(words), size).T.copy()
         forward = np.full((size + 1, len(words)), -np.inf)
         forward[0] = 0
-        for b in range(1, size + 1):
-            for a in range(max(0, b - self.longest), b):
-                if (a, b) in arcs:
-                    rows, ids = arcs[a, b]
-                    forward[b, rows] = np.logaddexp(forward[b, rows], forward[a, rows] + self.score[ids])
-        return forward
+        for a in range(size):
+            rows, at = np.arange(len(words)), self.follow[self.place[b""], codes[a]]
+            for b in range(a + 1, size + 1):
+                gain = self.gain[at]
+                whole = np.flatnonzero(gain > -np.inf)
+                some = rows[whole]
+                forward[b, some] = np.logaddexp(forward[b, some], forward[a, some] + gain[whole])
+                alive = np.flatnonzero(at < self.inner)
+                if b == size or not len(alive):
+                    break
+                rows = rows[alive]
+                at = self.follow[at[alive], codes[b, rows]]
+        return forward[size]
 
     @staticmethod
-    def _by_length(words: list[bytes], cells: int = 400_000) -> Iterator[list[int]]:
+    def _by_length(words: list[bytes], cells: int = 400_000) -> Iterator[np.ndarray]:
         """Places of words of equal length, in groups of bounded size."""
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        group: list[int] = []
-        for i in order:
-            n = len(words[i])
-            if group and (len(words[group[0]]) != n or len(group) * (n + 1) * min(n + 1, 16) > cells):
-                yield group
-                group = []
-            group.append(i)
-        if group:
-            yield group
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        edges = np.flatnonzero(np.diff(sizes[order])) + 1
+        for group in np.split(order, edges) if len(order) else []:
+            most = max(1, cells // (int(sizes[group[0]]) + 1))
+            yield from (group[a : a + most] for a in range(0, len(group), most))
 
     def log_probabilities(self, words: list[bytes]) -> np.ndarray:
         """Natural logarithms of the marginal probabilities of the words; a word far longer than all pieces runs in steps of the same recursion."""
         out = np.zeros(len(words))
         for group in self._by_length(words):
-            some = [words[i] for i in group]
-            out[group] = [self._long(w) for w in some] if len(some[0]) > 512 else self._forward(some, self._arcs(some))[-1]
+            some = [words[i] for i in group.tolist()]
+            out[group] = [self._long(w) for w in some] if len(some[0]) > 512 else self._forward(some)
         return out
 
     def _long(self, word: bytes) -> float:
-        text, known = b" " + word, {p: s for p, s in zip(self.pieces, self.score.tolist(), strict=True)}
-        recent = [0.0]
-        for b in range(1, len(text) + 1):
-            into = [recent[-k] + s for k in range(1, min(len(recent), self.longest) + 1) if (s := known.get(text[b - k : b])) is not None]
-            top = max(into)
-            recent.append(top + math.log(sum(math.exp(x - top) for x in into)))
-            del recent[: -self.longest]
-        return recent[-1]
-
-    def _arcs_from(self, text: bytes, a: int) -> Iterator[tuple[int, int]]:
-        """Ends and places of the pieces that begin at place a."""
-        for b in range(a + 1, min(len(text), a + self.longest) + 1):
-            i = self.entries.get(text[a:b])
-            if i is None:
-                return
-            if i >= 0:
-                yield b, i
-
-    def _expect_long(self, word: bytes, count: float, out: np.ndarray) -> None:
-        """Adds the expected uses of each piece in one word."""
-        text, score = b" " + word, self.score
-        size = len(text)
-        forward, backward = array("d", [-math.inf]) * (size + 1), array("d", [-math.inf]) * (size + 1)
-        forward[0] = backward[size] = 0.0
-        for a in range(size):
-            for b, i in self._arcs_from(text, a):
-                forward[b] = _log_add(forward[b], forward[a] + float(score[i]))
-        for a in range(size - 1, -1, -1):
-            for b, i in self._arcs_from(text, a):
-                way = float(score[i]) + backward[b]
-                backward[a] = _log_add(backward[a], way)
-                out[i] += math.exp(forward[a] + way - forward[size]) * count
-
-    def expected(self, words: list[bytes], counts: list[int]) -> np.ndarray:
-        """Expected uses of each piece in the words, as often as they are counted. Long words, unless many are of one length, run in steps of the same recursion."""
-        out, counts = np.zeros(len(self.pieces)), np.array(counts, float)
-        for group in self._by_length(words):
-            some = [words[i] for i in group]
-            if len(some[0]) > 512 or (len(some[0]) > 64 and len(some) < 16):
-                for i in group:
-                    self._expect_long(words[i], counts[i], out)
-                continue
-            arcs = self._arcs(some)
-            forward = self._forward(some, arcs)
-            size = len(some[0]) + 1
-            backward = np.full_like(forward, -np.inf)
-            backward[size] = 0
-            for a in range(size - 1, -1, -1):
-                for b in range(a + 1, min(size, a + self.longest) + 1):
-                    if (a, b) in arcs:
-                        rows, ids = arcs[a, b]
-                        backward[a, rows] = np.logaddexp(backward[a, rows], backward[b, rows] + self.score[ids])
-            times = np.log(counts[group]) - forward[-1]
-            for (a, b), (rows, ids) in arcs.items():
-                out += np.bincount(ids, np.exp(forward[a, rows] + self.score[ids] + backward[b, rows] + times[rows]), len(out))
-        return out
+        """The same for one word, holding only as many sums as the longest piece reaches ahead."""
+        text, root = b" " + word, self.place[b""]
+        ahead: dict[int, float] = {0: 0.0}
+        for a in range(len(text)):
+            here, at = ahead.pop(a, -math.inf), root
+            for b in range(a, len(text)):
+                at = int(self.follow[at, text[b]])
+                gain = float(self.gain[at])
+                if gain > -math.inf and here > -math.inf:
+                    old = ahead.get(b + 1, -math.inf)
+                    top = max(old, here + gain)
+                    ahead[b + 1] = top + math.log(math.exp(old - top) + math.exp(here + gain - top))
+                if at >= self.inner:
+                    break
+        return ahead.get(len(text), -math.inf)
 
 
 def _lattice(scores: dict[bytes, float], kept: dict = {}) -> Lattice:  # noqa: B006  one a worker
@@ -227,194 +138,234 @@ def _lattice(scores: dict[bytes, float], kept: dict = {}) -> Lattice:  # noqa: B
     return kept[key]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of training texts, counted within each piece of the input."""
-    counts: Counter[bytes] = Counter()
+class Mixture:
+    """Probabilities of tokens: discounted counts, and what the discounts leave, spelled."""
 
-    def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+    def __init__(self, total: int, distinct: int, once: int, twice: int):
+        self.total = total
+        self.discount = once / (once + 2 * twice) if once and twice else 0.5
+        self.spelled = self.discount * distinct / total if total else 1.0
 
-    for batch in batches:
-        for body in batch.column("body"):
-            counts.update((body.as_py() or b"").lower().split())
-            counts[END] += 1
-        if len(counts) > 400_000:
-            yield flush()
-            counts.clear()
-    if counts:
-        yield flush()
+    def _log10(self, counts: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(spelled + math.log(self.spelled), np.log(np.maximum(counts - self.discount, 0) / max(self.total, 1))) / math.log(10)
 
+    def words(self, counts: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """spelled: natural logarithms of the words' spelled probabilities."""
+        return self._log10(counts, spelled + math.log(1 - END_SHARE))
 
-def _expect(scores: dict[bytes, float]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = _lattice(scores)
-        total = np.zeros(len(lattice.pieces))
-        for batch in batches:
-            total += lattice.expected(batch.column("word").to_pylist(), batch.column("n").to_pylist())
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["piece", "uses"])
+    def end(self, count: int) -> float:
+        return float(self._log10(np.array([float(count)]), np.array([math.log(END_SHARE)]))[0])
 
-    return run
 
+def _occurrences(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """Distinct words (A-Z lower-cased) of some texts, and for each occurrence the place of its word and of its text."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = split.flatten().dictionary_encode()
+    which, text = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    blank = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()  # where spaces begin or end a text
+    if blank >= 0:
+        which, text = which[which != blank], text[which != blank]
+    return coded.dictionary, which, text
 
-def train_pieces(words: DataFrame, scores: dict[bytes, float], rounds: int = ROUNDS) -> dict[bytes, float]:
-    """Rounds of expectation-maximisation over a table of distinct words, each of which counts once, as new words will: those that are common are whole arcs already. Per round, one number for each piece of the vocabulary reaches the driver. A hundredth of a use a piece is added in proportion to the first scores, so that none vanishes."""
-    first, pieces = scores, sorted(scores)
-    once = words.where(F.col("word") != END).select("word", F.lit(1).cast("long").alias("n"))
-    for _ in range(rounds):
-        uses = np.array([math.exp(first[p]) for p in pieces]) * len(pieces) * 0.01
-        for row in once.mapInArrow(_expect(scores), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
-            uses[row["piece"]] += row["uses"]
-        scores = dict(zip(pieces, np.log(uses / uses.sum()).tolist(), strict=True))
-    return scores
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of training texts, counted within each slice."""
+    for part in small_batches(batches, "body", 2 * SLICE):
+        words, which, _ = _occurrences(part.column("body"))
+        n = np.bincount(which, minlength=len(words))
+        met = pa.array(n > 0)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.filter(met), pa.array([END], words.type)]), pa.array([*n[n > 0].tolist(), part.num_rows], pa.int64())], ["word", "n"])
 
-class Mixture:
-    """Probabilities of tokens: discounted counts, and what the discounts leave, spelled."""
 
-    def __init__(self, total: int, distinct: int, once: int, twice: int):
-        self.total = total
-        self.discount = once / (once + 2 * twice) if once and twice else 0.5
-        self.spelled = self.discount * distinct / total if total else 1.0
+def _buckets_of(words: pa.StringArray, buckets: int) -> np.ndarray:
+    from xxhash import xxh32_intdigest
 
-    def log10(self, count: int, spelled: float) -> float:
-        """spelled: the natural logarithm of the word's spelled probability, or None for the end token."""
-        whole = max(count - self.discount, 0.0) / self.total if self.total else 0.0
-        share = math.log(self.spelled * (END_SHARE if spelled is None else 1 - END_SHARE)) + (spelled or 0.0)
-        if whole <= 0:
-            return share / math.log(10)
-        top = max(share, math.log(whole))
-        return (top + math.log(math.exp(share - top) + math.exp(math.log(whole) - top))) / math.log(10)
+    return np.fromiter((xxh32_intdigest(w) % buckets for w in words.to_pylist()), np.int64, len(words))
 
 
-def _bucket(word: bytes, buckets: int) -> int:
-    from xxhash import xxh32_intdigest
+# Rows that go to the buckets. Kind 0: words and their counts in `times`. Kind 1: rare words of many texts; `times` is how often word word_no occurs in text text_no. Kind 2: sums over the common words of many texts.
+_COUNTS, _RARE, _TEXTS = range(3)
+_LISTS = {"times": pa.int64(), "word_no": pa.int32(), "text_no": pa.int32(), "k_ids": pa.int64(), "k_texts": pa.int64(), "tokens": pa.int64(), "known": pa.int64(), "logs": pa.float64(), "scores": pa.float64()}
+_DEALT = "bucket int, kind byte, words string, times array<long>, word_no array<int>, text_no array<int>, k_ids array<long>, k_texts array<long>, tokens array<long>, known array<long>, logs array<double>, scores array<double>"
 
-    return xxh32_intdigest(word) % buckets
 
+def _lists(values: np.ndarray | pa.Array, edges: np.ndarray) -> pa.ListArray:
+    """The values between each edge and the next."""
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
 
-def _deal(common: dict[bytes, tuple[float, float]], buckets: int):
-    """Per text: the sums over its common words, and the rest of its words packed by bucket. Rows of texts have the number of words that they hold in n."""
-    names = ["bucket", "kind", "k_id", "k_text", "n_tokens", "n_known", "counts", "score", "words", "n"]
-    types = [pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
 
+def _dealt_rows(kind: int, buckets: np.ndarray, words: pa.ListArray | None, **lists: pa.ListArray) -> pa.RecordBatch:
+    n = len(buckets)
+    joined = pc.binary_join(words, " ") if words is not None else pa.nulls(n, pa.string())
+    columns = [lists[k].cast(pa.list_(t)) if k in lists else pa.nulls(n, pa.list_(t)) for k, t in _LISTS.items()]
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(np.full(n, kind), pa.int8()), joined.cast(pa.string()), *columns], ["bucket", "kind", "words", *_LISTS])
+
+
+def _deal_counts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places: dict[bytes, int] = {}
         for batch in batches:
-            rows = []
-            for k_id, k_text, body in zip(batch.column("k_id").to_pylist(), batch.column("k_text").to_pylist(), batch.column("body"), strict=True):
-                words = (body.as_py() or b"").lower().split()
-                rest: dict[int, list[bytes]] = {}
-                known, logs, score = 0, 0.0, 0.0
-                for w in words:
-                    hit = common.get(w)
-                    if hit is not None:
-                        known += 1
-                        logs += hit[0]
-                        score += hit[1]
-                        continue
-                    at = places.get(w)
-                    if at is None:
-                        at = places[w] = _bucket(w, buckets)
-                    rest.setdefault(at, []).append(w)
-                end = common.get(END)
-                logs, score, known = logs + end[0], score + end[1], known + (end[0] > 0)
-                rows.append((-1, 1, k_id, k_text, len(words) + 1, known, logs, score, None, 1))
-                rows += [(at, 1, k_id, k_text, 0, 0, 0.0, 0.0, b" ".join(some), 0) for at, some in rest.items()]
-            if len(places) > 300_000:
-                places.clear()
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            made = _buckets_of(batch.column("word"), buckets)
+            order = np.argsort(made, kind="stable")
+            firsts = np.flatnonzero(np.diff(made[order], prepend=-1))
+            edges = np.append(firsts, len(order))
+            yield _dealt_rows(_COUNTS, made[order][firsts], _lists(batch.column("word").take(pa.array(order)), edges), times=_lists(batch.column("n").take(pa.array(order)), edges))
 
     return run
 
 
-def _with_bucket(buckets: int):
+def _deal_texts(common: dict, buckets: int):
+    """Per slice: the sums over the common words of its texts, and the rest of its words by bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [_bucket(w.as_py(), buckets) for w in batch.column("word")]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.int32()), batch.column("word"), batch.column("n")], ["bucket", "word", "n"])
+        listed = pa.array(common["words"])
+        for part in small_batches(batches, "body", SLICE):
+            words, which, text = _occurrences(part.column("body"))
+            texts = part.num_rows
+            place = pc.index_in(words, value_set=listed).fill_null(-1).to_numpy()
+            at = place[which]
+            mine = at >= 0
+            tokens = np.bincount(text, minlength=texts) + 1
+            known = np.bincount(text[mine], minlength=texts) + (common["end"][0] > 0)
+            logs, scores = (np.bincount(text[mine], common[k][at[mine]], texts) + common["end"][i] for i, k in enumerate(("logs", "scores")))
+            edges = np.array([0, texts])
+            k_ids, k_texts = part.column("k_id").to_numpy(), part.column("k_text").to_numpy()
+            yield _dealt_rows(_TEXTS, np.array([int(k_texts[0]) % buckets]), None, **{k: _lists(v, edges) for k, v in {"k_ids": k_ids, "k_texts": k_texts, "tokens": tokens, "known": known, "logs": logs, "scores": scores}.items()})
+
+            rare = np.flatnonzero(place < 0)
+            made = _buckets_of(words.take(pa.array(rare)), buckets)
+            order = np.argsort(made, kind="stable")
+            rare, made = rare[order], made[order]  # by bucket
+            number = np.full(len(words), -1)
+            number[rare] = np.arange(len(rare))
+            pairs, times = np.unique(number[which[~mine]] * texts + text[~mine], return_counts=True)
+            if not len(pairs):
+                continue
+            word_no, text_no = np.divmod(pairs, texts)
+            firsts = np.flatnonzero(np.diff(made[word_no], prepend=-1))
+            begin = word_no[firsts]  # of each bucket, its first word
+            pair_edges, word_edges = np.append(firsts, len(pairs)), np.append(begin, len(rare))
+            row = np.repeat(np.arange(len(firsts)), np.diff(pair_edges))
+            # Texts are numbered within each row.
+            mentioned, short = np.unique(row * texts + text_no, return_inverse=True)
+            text_edges = np.searchsorted(mentioned, np.arange(len(firsts) + 1) * texts)
+            who = mentioned % texts
+            yield _dealt_rows(
+                _RARE,
+                made[begin],
+                _lists(words.take(pa.array(rare)), word_edges),
+                times=_lists(times, pair_edges),
+                word_no=_lists((word_no - begin[row]).astype(np.int32), pair_edges),
+                text_no=_lists((short - text_edges[row]).astype(np.int32), pair_edges),
+                k_ids=_lists(k_ids[who], text_edges),
+                k_texts=_lists(k_texts[who], text_edges),
+            )
 
     return run
 
 
+_SUMS = ["k_id", "k_text", "n_tokens", "n_known", "counts", "score", "n"]
+_SUMMED = "k_id long, k_text long, n_tokens long, n_known long, counts double, score double, n long"
+
+
+class _Bucket:
+    """The words of one bucket that have counts, with what they add to a text."""
+
+    def __init__(self, lattice: Lattice, mixture: Mixture):
+        self.lattice, self.mixture, self.parts, self.ready = lattice, mixture, [], False
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.parts.append((pc.split_pattern(rows.column("words"), " ").flatten(), rows.column("times").flatten().to_numpy()))
+
+    def _value(self, words: pa.StringArray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        spelled = self.lattice.log_probabilities([w.encode() for w in words.to_pylist()])
+        return np.log10(counts + 1), self.mixture.words(counts, spelled)
+
+    def sums(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        if not self.ready:
+            self.ready = True
+            self.words = pa.concat_arrays([w for w, _ in self.parts]) if self.parts else pa.array([], pa.string())
+            self.logs, self.scores = self._value(self.words, np.concatenate([n for _, n in self.parts]) if self.parts else np.zeros(0))
+        split = pc.split_pattern(rows.column("words"), " ")
+        words = split.flatten()
+        place = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
+        known, logs, scores = place >= 0, np.zeros(len(words)), np.zeros(len(words))
+        logs[known], scores[known] = self.logs[place[known]], self.scores[place[known]]
+        new = words.filter(pa.array(~known)).dictionary_encode()
+        scores[~known] = self._value(new.dictionary, np.zeros(len(new.dictionary)))[1][new.indices.to_numpy()]
+
+        def placed(number: str, owners: pa.ListArray) -> np.ndarray:
+            """Numbers within rows as places among all rows here."""
+            column = rows.column(number)
+            offsets = owners.offsets.to_numpy()
+            return column.flatten().to_numpy() + np.repeat(offsets[:-1] - offsets[0], pc.list_value_length(column).to_numpy())
+
+        word, text, times = placed("word_no", split), placed("text_no", rows.column("k_ids")), rows.column("times").flatten().to_numpy()
+        k_ids = rows.column("k_ids").flatten()
+        n_known, counts, score = (np.bincount(text, x[word] * times, len(k_ids)) for x in (known, logs, scores))
+        none = np.zeros(len(k_ids), np.int64)
+        return pa.RecordBatch.from_arrays([k_ids, rows.column("k_texts").flatten(), pa.array(none), pa.array(np.rint(n_known).astype(np.int64)), pa.array(counts), pa.array(score), pa.array(none)], _SUMS)
+
+
 def _score_buckets(scores: dict[bytes, float], mixture: Mixture):
-    """Rows sorted by bucket, the counts of its words first: sums for each text and bucket."""
-    names = ["k_id", "k_text", "n_tokens", "n_known", "counts", "score", "n"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+    """Rows sorted by bucket and kind, so the counts of its words come first: sums for each text and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, now = _lattice(scores), None
-        counts: dict[bytes, int] = {}
-        values: dict[bytes, tuple[int, float, float]] = {}
+        lattice, now, bucket = _lattice(scores), None, None
         for batch in batches:
-            rows, packed = [], []
-            columns = [batch.column(c).to_pylist() for c in ("bucket", "kind", "k_id", "k_text", "n_tokens", "n_known", "counts", "score", "words", "n")]
-            for bucket, kind, k_id, k_text, tokens, known, logs, score, words, n in zip(*columns, strict=True):
-                if bucket != now:
-                    _finish(packed, rows, counts, values, lattice, mixture)
-                    now, packed, counts, values = bucket, [], {}, {}
-                if kind == 0:
-                    counts[words] = n
-                elif words is None:
-                    rows.append((k_id, k_text, tokens, known, logs, score, n))
+            which, kinds = batch.column("bucket").to_numpy(), batch.column("kind").to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(which) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), len(which)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                rows = batch.slice(a, b - a)
+                if which[a] != now:
+                    now, bucket = which[a], _Bucket(lattice, mixture)
+                if kinds[a] == _COUNTS:
+                    bucket.add(rows)
+                elif kinds[a] == _RARE:
+                    yield bucket.sums(rows)
                 else:
-                    packed.append((k_id, k_text, words.split(b" "), n))
-            _finish(packed, rows, counts, values, lattice, mixture)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    lists = [rows.column(c).flatten() for c in ("k_ids", "k_texts", "tokens", "known", "logs", "scores")]
+                    yield pa.RecordBatch.from_arrays([*lists, pa.array(np.ones(len(lists[0]), np.int64))], _SUMS)
 
     return run
 
 
-def _finish(packed: list, rows: list, counts: dict, values: dict, lattice: Lattice, mixture: Mixture) -> None:
-    new = list({w for _, _, words, _ in packed for w in words if w not in values})
-    for w, p in zip(new, lattice.log_probabilities(new).tolist(), strict=True):
-        c = counts.get(w, 0)
-        values[w] = (c > 0, math.log10(c + 1), mixture.log10(c, p))
-    for k_id, k_text, words, n in packed:
-        known, logs, score = 0, 0.0, 0.0
-        for w in words:
-            a, b, c = values[w]
-            known, logs, score = known + a, logs + b, score + c
-        rows.append((k_id, k_text, 0, known, logs, score, n))
-
-
-def score_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", held_out: int = HELD_OUT, folds: int = FOLDS, rounds: int = ROUNDS, common_words: int = COMMON_WORDS, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", held_out: int = HELD_OUT, folds: int = FOLDS, common_words: int = COMMON_WORDS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per row of docs: the id (bigint), held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     model: path of a sentencepiece model whose pieces make the lattice. Texts whose crc32(id as text) mod `folds` is
     `held_out` (null id: that of an empty text, 0) are not learned from. score is the decimal logarithm of the text's
     probability under the lattice, base_score that of a unigram model of words with one added to each count. A null
     text is an empty one, with just its end. An empty table gives an empty one; without training texts all counts are
-    zero and the pieces keep their first scores."""
-    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
-    texts = docs.select(*row_key(F.col(id_col), body), (fold == held_out).alias("held_out"), body.cast("binary").alias("body"))
-    counts = written(texts.where(~F.col("held_out")).select("body").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    total, distinct, once, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    scores, mixture = train_pieces(counts, piece_scores(model), rounds), Mixture(total, distinct, once, twice)
-
-    top = {bytes(r["word"]): r["n"] for r in counts.where(F.col("word") != END).orderBy(F.col("n").desc(), "word").limit(common_words).collect()}
-    spelled = Lattice(scores).log_probabilities(list(top)).tolist()
-    common = {w: (math.log10(n + 1), mixture.log10(n, p)) for (w, n), p in zip(top.items(), spelled, strict=True)}
-    ends = counts.where(F.col("word") == END).agg(F.sum("n")).first()[0] or 0
-    common[END] = (math.log10(ends + 1), mixture.log10(ends, None))
-
-    buckets = max(LEAST_BUCKETS, -(-distinct // bucket_words))
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((common, scores))  # at most common_words words, and the vocabulary
-    dealt = texts.select("k_id", "k_text", "body").mapInArrow(lambda b: _deal(shared.value[0], buckets)(b), "bucket int, kind byte, k_id long, k_text long, n_tokens long, n_known long, counts double, score double, words binary, n long")
-    rare = counts.mapInArrow(_with_bucket(buckets), "bucket int, word binary, n long")
-    zero = [F.lit(0).cast(t).alias(c) for c, t in (("k_id", "long"), ("k_text", "long"), ("n_tokens", "long"), ("n_known", "long"), ("counts", "double"), ("score", "double"))]
-    rows = dealt.where("bucket >= 0").unionByName(rare.select("bucket", F.lit(0).cast("byte").alias("kind"), *zero, F.col("word").alias("words"), "n"))
-    columns = ("k_id", "k_text", "n_tokens", "n_known", "counts", "score", "n")
-    part = rows.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda b: _score_buckets(shared.value[1], mixture)(b), "k_id long, k_text long, n_tokens long, n_known long, counts double, score double, n long")
-    both = part.unionByName(dealt.where("bucket < 0").select(*columns))
-    sums = both.groupBy("k_id", "k_text").agg(*[F.sum(c).alias(c) for c in columns[2:]])
+    zero and every word is spelled."""
+    id_, body = F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    fold = F.pmod(F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+    # A row's key: its id and a hash of its text, of which the last bit says whether the id is missing.
+    k_text = F.xxhash64(body).bitwiseAND(F.lit(-2)).bitwiseOR(id_.isNull().cast("long"))
+    texts = docs.select(F.coalesce(id_.cast("long"), F.lit(0)).alias("k_id"), k_text.alias("k_text"), (fold == held_out).alias("held_out"), body.alias("body"))
+    counts = written(texts.where(~F.col("held_out")).select("body").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    total, distinct, once, twice, size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
+    scores, mixture = piece_scores(model), Mixture(total, distinct, once, twice)
+
+    is_end = F.col("word") == END
+    top = counts.where(~is_end).orderBy(F.col("n").desc(), "word").limit(common_words).toArrow()  # common_words rows at most
+    words, n = top["word"].to_pylist(), top["n"].to_numpy()
+    ends = counts.where(is_end).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = {"words": words, "logs": np.log10(n + 1), "scores": mixture.words(n, Lattice(scores).log_probabilities([w.encode() for w in words])), "end": (math.log10(ends + 1), mixture.end(ends))}
+
+    # An occurrence of another word takes some 30 bytes on its way; training texts hold all but one of the folds.
+    occurrences = (total - ends - int(n.sum())) * folds / max(folds - 1, 1)
+    buckets = max(8, math.ceil((size + 30 * occurrences + 8 * distinct) / bucket_bytes))
+    shared = docs.sparkSession.sparkContext.broadcast((common, scores))  # at most common_words words, and the vocabulary
+    dealt = texts.select("k_id", "k_text", "body").mapInArrow(lambda b: _deal_texts(shared.value[0], buckets)(b), _DEALT)
+    counted = counts.where(~is_end).mapInArrow(_deal_counts(buckets), _DEALT)
+    rows = dealt.unionByName(counted).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    sums = rows.mapInArrow(lambda b: _score_buckets(shared.value[1], mixture)(b), _SUMMED).groupBy("k_id", "k_text").agg(*[F.sum(c).alias(c) for c in _SUMS[2:]])
     # Copies of a row have summed as one; each gets its share, and a row of its own.
     each = sums.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    id_ = F.when(F.col("k_id") != -(2**63), F.col("k_id"))
+    id_ = F.when(F.col("k_text").bitwiseAND(F.lit(1)) == 0, F.col("k_id"))
     fold = F.pmod(F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     tokens = F.expr("n_tokens div n")
     return each.select(

@@ -72,12 +72,29 @@ def test_lattice_lm(spark, docs, rows, empty):
     counts = Counter(w for i, ws in tokens if not fold(i) for w in ws)
     n, v = sum(counts.values()), len(counts)
     want = Counter((i, fold(i), len(ws), sum(w in counts for w in ws), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in tokens)
-    got = lattice_lm.score_texts(docs, model, bucket_words=50, common_words=20).collect()
+    got = lattice_lm.score_texts(docs, model, bucket_bytes=2000, common_words=20).collect()
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got)
+    # Every text's score, summed over all ways to cut each word.
+    scores, spelled = lattice_lm.piece_scores(model), {}
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    discount = once / (once + 2 * twice)
+
+    def brute(word):
+        text, sums = b" " + word, [1.0]
+        for b in range(1, len(text) + 1):
+            sums.append(sum(sums[a] * math.exp(scores[text[a:b]]) for a in range(max(0, b - 60), b) if text[a:b] in scores))
+        return sums[-1]
+
+    def token(w):
+        if w not in spelled:
+            spelled[w] = (0.01 if w is None else 0.99 * brute(w)) * discount * v / n + max(counts[w] - discount, 0) / n
+        return math.log10(spelled[w])
+
+    expect = Counter((i, len(ws), round(sum(map(token, ws)), 5)) for i, ws in tokens)
+    assert Counter((r.doc_id, r.n_tokens, round(r.score, 5)) for r in got) == expect
     # What is looked up and what is sent to a bucket score alike.
-    other = {(r.doc_id, r.n_tokens): r.score for r in lattice_lm.score_texts(docs, model, common_words=1000).collect()}
-    assert all(other[r.doc_id, r.n_tokens] == pytest.approx(r.score, abs=1e-6) for r in got)
+    other = lattice_lm.score_texts(docs, model, common_words=1000).collect()
+    assert Counter((r.doc_id, r.n_tokens, round(r.score, 5)) for r in other) == expect
     assert lattice_lm.score_texts(empty, model).count() == 0
 
 
@@ -91,7 +108,6 @@ def test_lattice_sums_over_all_segmentations():
     some = [b"a", b"ab", b"abab", b"aabb", b"ba"]
     assert lattice.log_probabilities(some) == pytest.approx([math.log(brute(b" " + w)) for w in some])
     assert [lattice._long(w) for w in some] == pytest.approx([math.log(brute(b" " + w)) for w in some])
-    assert sum(lattice.expected([b"ab"], [1.0])) == pytest.approx(sum(k * p for k, p in ((1, 0.1), (2, 0.2 * 0.2 + 0.1 * 0.3), (3, 0.1 * 0.1 * 0.2))) / brute(b" ab"))
 
 
 def test_secret_scan(spark, empty):
@@ -300,18 +316,6 @@ def test_long_words_of_one_length_score_each():
     assert lattice.log_probabilities(some) == pytest.approx(want)
 
 
-def test_long_words_take_part_in_training():
-    lattice = lattice_lm.Lattice({p: math.log(q) for p, q in {b" ": 0.1, b" a": 0.2, b"a": 0.1, b"b": 0.2, b"ab": 0.3, b" ab": 0.1}.items()})
-    for word in (b"a" * 50 + b"b" * 20, b"ab" * 300):
-        uses = lattice.expected([word], [3.0])
-        assert sum(k * len(p) for p, k in zip(lattice.pieces, uses, strict=True)) == pytest.approx(3 * (len(word) + 1))
-        assert lattice.expected([word] * 16, [3.0] * 16) == pytest.approx(16 * uses)
-    short = b"abaab" * 10
-    one = [0.0] * len(lattice.pieces)
-    lattice._expect_long(short, 2.0, one)
-    assert one == pytest.approx(lattice.expected([short], [2.0]).tolist())
-
-
 def test_terms_of_abuse_count_beside_any_sign():
     for text in ("You “idiot”", "idiot/go", "moron—go", "an _idiot_ here", "the idiot’s way"):
         assert quality.measures(text)["abuse"] == 1 and quality.votes(quality.measures(text))[1][-1] == quality.NONE
