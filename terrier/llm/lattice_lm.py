@@ -28,8 +28,8 @@ from terrier.llm.common import small_batches, written
 HELD_OUT, FOLDS = 2, 7
 #: Words that are looked up without a shuffle, the commonest; bounds what each task is sent.
 COMMON_WORDS = 150_000
-#: Bytes of words, occurrences and counts in one bucket of the others, about.
-BUCKET_BYTES = 8 << 20
+#: Bytes of words, occurrences and counts in one bucket of the others, about; but as many buckets as this at least, so that what a text sends does not depend on the corpus before it is large.
+BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 256
 #: Bytes of text that are dealt to the buckets in one row each.
 SLICE = 8 << 20
 END = ""
@@ -357,7 +357,7 @@ def score_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
 
     # An occurrence of another word takes some 30 bytes on its way; training texts hold all but one of the folds.
     occurrences = (total - ends - int(n.sum())) * folds / max(folds - 1, 1)
-    buckets = max(8, math.ceil((size + 30 * occurrences + 8 * distinct) / bucket_bytes))
+    buckets = max(LEAST_BUCKETS, math.ceil((size + 30 * occurrences + 8 * distinct) / bucket_bytes))
     shared = docs.sparkSession.sparkContext.broadcast((common, scores))  # at most common_words words, and the vocabulary
     dealt = texts.select("k_id", "k_text", "body").mapInArrow(lambda b: _deal_texts(shared.value[0], buckets)(b), _DEALT)
     counted = counts.where(~is_end).mapInArrow(_deal_counts(buckets), _DEALT)

@@ -72,7 +72,7 @@ def test_lattice_lm(spark, docs, rows, empty):
     counts = Counter(w for i, ws in tokens if not fold(i) for w in ws)
     n, v = sum(counts.values()), len(counts)
     want = Counter((i, fold(i), len(ws), sum(w in counts for w in ws), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in tokens)
-    got = lattice_lm.score_texts(docs, model, bucket_bytes=2000, common_words=20).collect()
+    got = lattice_lm.score_texts(docs, model, bucket_bytes=20, common_words=20).collect()
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     # Every text's score, summed over all ways to cut each word.
     scores, spelled = lattice_lm.piece_scores(model), {}
