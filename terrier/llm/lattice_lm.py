@@ -346,13 +346,19 @@ def score_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     k_text = F.xxhash64(body).bitwiseAND(F.lit(-2)).bitwiseOR(id_.isNull().cast("long"))
     texts = docs.select(F.coalesce(id_.cast("long"), F.lit(0)).alias("k_id"), k_text.alias("k_text"), (fold == held_out).alias("held_out"), body.alias("body"))
     counts = written(texts.where(~F.col("held_out")).select("body").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    total, distinct, once, twice, size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
+    is_end = F.col("word") == END
+    total, distinct, once, twice, size, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)), F.coalesce(F.max(F.when(is_end, F.col("n"))), F.lit(0))).first()
     scores, mixture = piece_scores(model), Mixture(total, distinct, once, twice)
 
-    is_end = F.col("word") == END
-    top = counts.where(~is_end).orderBy(F.col("n").desc(), "word").limit(common_words).toArrow()  # common_words rows at most
+    # The commonest words, by levels of their counts: whole levels from the top as long as they hold common_words at most.
+    level = F.floor(F.log2("n") * 64)
+    held, lowest = 0, math.inf
+    for row in sorted(counts.where(~is_end).groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["level"]):
+        if (held := held + row["words"]) > common_words:
+            break
+        lowest = row["level"]
+    top = counts.where(~is_end & (level >= lowest)).toArrow()
     words, n = top["word"].to_pylist(), top["n"].to_numpy()
-    ends = counts.where(is_end).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     common = {"words": words, "logs": np.log10(n + 1), "scores": mixture.words(n, Lattice(scores).log_probabilities([w.encode() for w in words])), "end": (math.log10(ends + 1), mixture.end(ends))}
 
     # An occurrence of another word takes some 30 bytes on its way; training texts hold all but one of the folds.
