@@ -86,19 +86,59 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, sf).count() == last.count()
 
 
-def test_ann_reads_all_lists_within_the_ratio():
-    """At the largest number of lists, of which far more than 48 lie within the ratio."""
+def _recall(x, found):
+    scores = x[::20].astype(float) @ x.T.astype(float)
+    scores[np.arange(len(scores)), np.arange(0, len(x), 20)] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    return np.mean([len(found[20 * n] & set(w.tolist())) / 20 for n, w in enumerate(want)])
+
+
+def test_ann_reads_few_of_clustered_vectors(spark):
+    """On 24,000 vectors in 300 clusters: recall of 0.95 or more, under a fifth of all entries read, few copies."""
+    r = np.random.default_rng(8)
+    x = (r.normal(size=(300, 48))[r.integers(0, 300, 24_000)] + 0.25 * r.normal(size=(24_000, 48))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {}
+    for row in posting_ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(row.query_id, set()).add(row.vec_id)
+    assert len(found) == 1200 and _recall(x, found) >= 0.95
+    norm = float(np.sqrt((x.astype(float) ** 2).sum(axis=1).max()))
+    index = posting_ann.Centroids.fit(x[:20_000].astype(float), posting_ann.list_count(len(x)), norm)
+    _, lists = index.lists_of(x.astype(float))
+    sizes = np.bincount(lists, minlength=len(index.points))
+    read = [sizes[c].sum() for c in index.probe(x[::60].astype(float))]
+    assert np.mean(read) < 0.2 * len(x) and sizes.sum() < 2.5 * len(x)
+
+
+def test_ann_walk_finds_the_lists_within_the_ratio():
+    """Of all centroids within the ratio, measured one by one, the walk meets nearly all, and no other."""
     r = np.random.default_rng(4)
-    x = r.normal(size=(posting_ann.MAX_LISTS, 64))
+    x = r.normal(size=(1000, 64))
     norm = float(np.sqrt((x**2).sum(axis=1).max()))
-    index = posting_ann.Centroids(posting_ann.Centroids.lift(x, norm), norm)
-    asked = r.normal(size=(40, 64))
-    lifted = np.concatenate([asked * (norm / np.sqrt((asked**2).sum(axis=1)))[:, None], np.zeros((40, 1))], axis=1)
-    gaps = index._gaps(lifted)
-    want = {(i, c) for i, c in zip(*map(np.ndarray.tolist, np.nonzero(gaps <= posting_ann.RATIO * gaps.min(axis=1)[:, None])), strict=True)}
-    got = set(index.probe(asked))
-    assert len(want) > 48 * 40
-    assert len(want & got) >= 0.999 * len(want)
+    index = posting_ann.Centroids(posting_ann.Centroids.lift(x, norm), norm, ratio=1.1)
+    asked = r.normal(size=(60, 64))
+    gaps = index._gaps(index.as_queries(asked))
+    want = set(zip(*map(np.ndarray.tolist, np.nonzero(gaps <= 1.1 * gaps.min(axis=1)[:, None])), strict=True))
+    got = {(i, c) for i, lists in enumerate(index.probe(asked)) for c in lists.tolist()}
+    assert len(want & got) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+
+
+def test_ann_boundary_vectors_only_are_replicated():
+    index = posting_ann.Centroids(np.array([[0.0, 0.0, 1.0], [1.0, 0.0, 0.0]]), 1.0)
+    at, lists = index.lists_of(np.array([[0.1, 0.0], [0.5, 0.0], [0.95, 0.0]]))
+    gaps = index._gaps(index.lift(np.array([[0.1, 0.0], [0.5, 0.0], [0.95, 0.0]]), 1.0))
+    assert list(zip(at.tolist(), lists.tolist(), strict=True)) == [(i, c) for i in range(3) for c in np.argsort(gaps[i]).tolist() if gaps[i, c] <= posting_ann.BOUNDARY * gaps[i].min()]
+    assert len(set(at.tolist())) == 3
+
+
+def test_ann_shards_are_of_like_size():
+    sizes = np.array([5, 0, 100, 40_000, 7, 3])
+    shards = posting_ann.deal(sizes, shard=1000, least=4, chunk=500)
+    assert len(shards) == 6 and all(len(s) >= 1 for s in shards)
+    load = np.zeros(60)
+    for size, some in zip(sizes, shards, strict=True):
+        np.add.at(load, some, size / len(some))
+    assert load.max() <= 2000 and (load > 0).sum() >= 38
 
 
 def test_ann_uses_lists_as_soon_as_two_can_be_formed():
