@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,8 +11,6 @@ from terrier.functions.values import let
 
 #: Fixed value: endings that mark a unit on a lot.
 UNIT_ENDING = r"(?i)-(?:00[A-Z]|UIL|UI2|UI3|UB|MHL|PAR|BOL|MH)(?:-\d+)?$"
-#: Steps that the ladder takes towards the parent; a code with more parts than that is given up to there.
-MOST_PARTS = 8
 
 
 def normalize_lot(raw: Column) -> Column:
@@ -58,7 +58,7 @@ def lot_candidates(raw: Column) -> Column:
     def ladder(code: Column) -> Column:
         wide = padded(code)
         first = F.array(code, wide, F.when(F.size(F.split(wide, "-")) == 2, F.concat(wide, F.lit("-000"))))
-        steps = F.sequence(F.lit(1), F.lit(MOST_PARTS))
+        steps = F.sequence(F.lit(1), F.size(F.split(code, "-")))  # an ending is one part at least
         # Unit endings go first, one at a time; then the last part, again and again.
         plain = F.aggregate(steps, F.array(code), lambda s, _: let(F.regexp_replace(F.element_at(s, -1), UNIT_ENDING, ""), lambda n: F.when((n == "") | (n == F.element_at(s, -1)), s).otherwise(F.concat(s, F.array(n)))))
 
@@ -67,7 +67,7 @@ def lot_candidates(raw: Column) -> Column:
             parts = F.split(last, "-")
             up = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, F.size(parts) - k), "-"))
             up = F.when(F.size(parts) > 1, F.filter(up, lambda p: p != "")).otherwise(F.array().cast("array<string>"))
-            return F.concat(F.slice(stripped, 2, MOST_PARTS), F.flatten(F.transform(up, lambda p: F.array(p, padded(p)))))
+            return F.concat(F.slice(stripped, F.lit(2), F.size(stripped)), F.flatten(F.transform(up, lambda p: F.array(p, padded(p)))))
 
         every = F.concat(first, _with_ending(code), _on_grid(code), let(plain, parents))
         return F.array_distinct(F.filter(every, lambda c: c.isNotNull()))
@@ -88,16 +88,37 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Latin letters with marks, by the letter that is left without them.
+_MARKED = {chr(c): base for c in range(0xC0, 0x1F00) if (base := unicodedata.normalize("NFD", chr(c).lower())[0]).isascii() and base.isalpha() and not chr(c).isascii()}
 
 
 def normalize_place(text: Column) -> Column:
-    """Lower case without accents of Latin letters, signs as blanks, single blanks."""
-    t = F.translate(F.lower(text), _ACCENTED, _PLAIN)
+    """Lower case without marks on Latin letters, signs as blanks, single blanks. Marks that stand as characters of their own are dropped, too."""
+    t = F.regexp_replace(F.translate(F.lower(text), "".join(_MARKED), "".join(_MARKED.values())), r"\p{M}+", "")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
+def wide(digits: Column, places: int = 3) -> Column:
+    """Digits with zeros in front up to so many places; longer ones stay."""
+    return F.when(F.length(digits) < places, F.lpad(digits, places, "0")).otherwise(digits)
+
+
+def plan_lot_key(plan: Column, lot: Column) -> Column:
+    """plan-lot, the plan of two places at least, the lot in lower case without blanks."""
+    return F.concat(wide(plan, 2), F.lit("-"), F.lower(F.regexp_replace(lot, r"\s+", "")))
+
+
+def index_lot_key(map_: Column, lot: Column) -> Column:
+    """The lot code of an entry of an owner index: maps of figures have three places, lettered ones two before the letter; a lot's letter is a part of its own (67A is 067-00A), as is what follows a hyphen. Null for lots that begin with no figure."""
+    sheet, code = F.upper(F.trim(map_)), F.upper(F.regexp_replace(lot, r"\s+", ""))
+    lettered = r"^(\d+)([A-Z]+)$"
+    map_part = F.when(sheet.rlike(r"^\d+$"), wide(sheet)).when(sheet.rlike(lettered), F.concat(wide(F.regexp_extract(sheet, lettered, 1), 2), F.regexp_extract(sheet, lettered, 2))).otherwise(sheet)
+    head, tail = F.regexp_extract(code, r"^(\d+)-?(.*)$", 1), F.regexp_extract(code, r"^(\d+)-?(.*)$", 2)
+    rest = F.when(code.rlike(r"^\d+-\d+$"), wide(tail)).when(tail.rlike("^[A-Z]+$"), F.concat(F.lit("00"), tail)).otherwise(tail)
+    lot_part = F.when(code.rlike(r"^\d+$"), wide(code)).when(code.rlike(r"^\d+(-\d+|[A-Z0-9]+)$"), F.concat(wide(head), F.lit("-"), rest))
+    return normalize_lot(F.concat(F.nullif(map_part, F.lit("")), F.lit("-"), lot_part))
+
+
 def squeeze_code(text: Column) -> Column:
     """Upper case without blanks, signs kept; null for nothing."""
     return F.nullif(F.upper(F.regexp_replace(text, r"\s+", "")), F.lit(""))

@@ -32,26 +32,68 @@ def _name():
     return F.concat(F.upper(F.element_at(F.split("p_name", " "), 1)), F.lit(", "), F.upper(F.element_at(F.split("p_name", " "), 2)))
 
 
-@_r.query(f"""SELECT p_partkey // 20 AS doc_id, (100000 + p_partkey)::VARCHAR AS property_id, 'WA' || lpad((p_partkey % 50)::VARCHAR, 3, '0') || '|0' || (p_size % 9)::VARCHAR || '-' || unnest(CASE WHEN p_partkey % 4 = 0 THEN [p_partkey::VARCHAR, p_partkey || '.5'] ELSE [p_partkey::VARCHAR] END) AS map_key,
-    {_NAME_SQL} AS owner, 'PO BOX ' || p_size || ', DANFORTH ME 04424' AS mail, (p_size * 1000)::VARCHAR || '.00' AS land, floor(p_retailprice)::BIGINT::VARCHAR || '.00' AS taxable, CASE WHEN p_partkey % 3 = 0 THEN '25000.00' END AS exemption, 'DIV ' || p_brand AS division, CASE WHEN p_partkey % 4 = 0 THEN 'copied_full_assessment' ELSE 'single_lot' END AS allocation, 0.9::DOUBLE AS confidence FROM part""")
+@_r.query(f"""
+    WITH p AS (
+        SELECT *, p_partkey - p_partkey % 9 // 8 AS lot_no, CASE WHEN p_partkey % 7 = 0 THEN p_size + 100 ELSE p_size % 9 END AS plan FROM part
+    )
+    SELECT p_partkey // 20 AS doc_id, (100000 + p_partkey)::VARCHAR AS property_id,
+        'WA' || lpad((lot_no % 50)::VARCHAR, 3, '0') || '|' || CASE WHEN plan < 10 THEN '0' ELSE '' END || plan || '-'
+            || unnest(CASE WHEN p_partkey % 4 = 0 THEN [lot_no::VARCHAR, lot_no || '.5a'] ELSE [lot_no::VARCHAR] END) AS map_key,
+        {_NAME_SQL} AS owner, 'PO BOX ' || p_size || ', DANFORTH ME 04424' AS mail, (p_size * 1000)::VARCHAR || '.00' AS land,
+        floor(p_retailprice)::BIGINT::VARCHAR || '.00' AS taxable, CASE WHEN p_partkey % 3 = 0 THEN '25000.00' END AS exemption,
+        CASE WHEN p_partkey % 2 = 0 THEN '100.00' ELSE '33.34' END AS percent_ownership, '0.00' AS personal_property, 'DIV ' || p_brand AS division,
+        CASE WHEN p_partkey % 4 = 0 THEN 'copied_full_assessment' ELSE 'single_lot' END AS allocation, 0.9::DOUBLE AS confidence
+    FROM p""")
 def ut_block_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some properties share map, plan and lot with the one before; some plans have three digits; a second lot has a capital at its end."""
     k, size = F.col("p_partkey"), F.col("p_size")
+    lot = k - F.floor(k % 9 / 8).cast("long")
+    plan = F.when(k % 7 == 0, _s(size + 100)).otherwise(_s(size % 9))
     text = F.concat(
-        F.lit("Property ID: "), _s(100000 + k), F.lit(" Percent Ownership: 100.00%\nAccount ID: 12-"), _s(k), F.lit(" Land Value "), F.format_string("%,d.00", size * 1000), F.lit("\nBuilding Value 0.00\nAcres 1.10 Personal Property 0.00\nTotal Exemptions "), F.when(k % 3 == 0, "25,000.00").otherwise("0.00"),
-        F.lit("\nTaxable Value "), F.format_string("%,d.00", F.floor("p_retailprice").cast("long")), F.lit("\nTax 7.50\n"), _name(), F.lit("\nPO BOX "), _s(size), F.lit("\nDANFORTH ME 04424\nWashington\nDIV "), F.col("p_brand"), F.lit("\nMAP WA"), F.lpad(_s(k % 50), 3, "0"), F.lit(" PLAN 0"), _s(size % 9), F.lit(" LOT "), _s(k), F.when(k % 4 == 0, F.concat(F.lit(" "), _s(k), F.lit(".5"))).otherwise(""),
-    )
+        F.lit("Property ID: "),
+        _s(100000 + k),
+        F.lit(" Percent Ownership: "),
+        F.when(k % 2 == 0, "100.00").otherwise("33.34"),
+        F.lit("%\nAccount ID: 12-"),
+        _s(k),
+        F.lit(" Land Value "),
+        F.format_string("%,d.00", size * 1000),
+        F.lit("\nBuilding Value 0.00\nAcres 1.10 Personal Property 0.00\nTotal Exemptions "),
+        F.when(k % 3 == 0, "25,000.00").otherwise("0.00"),
+        F.lit("\nTaxable Value "),
+        F.format_string("%,d.00", F.floor("p_retailprice").cast("long")),
+        F.lit("\nTax 7.50\n"),
+        _name(),
+        F.lit("\nPO BOX "),
+        _s(size),
+        F.lit("\nDANFORTH ME 04424\nWashington\nDIV "),
+        F.col("p_brand"),
+        F.lit("\nMAP WA"),
+        F.lpad(_s(lot % 50), 3, "0"),
+        F.lit(" PLAN "),
+        plan,
+        F.lit(" LOT "),
+        _s(lot),
+        F.when(k % 4 == 0, F.concat(F.lit(" "), _s(lot), F.lit(".5A"))).otherwise(""),
+    )
     docs = _documents(table(spark, sf_dir, "part"), F.floor(k / 20).cast("long"), k, text, "VALUATION\n")
-    return parsers.parse_valuation_book(docs).select("doc_id", "property_id", "map_key", "owner", "mail", "land", "taxable", "exemption", "division", "allocation", "confidence")
+    return parsers.parse_valuation_book(docs).select("doc_id", "property_id", "map_key", "owner", "mail", "land", "taxable", "exemption", "percent_ownership", "personal_property", "division", "allocation", "confidence")
 
 
-@_r.query(f"""SELECT c_custkey // 30 AS doc_id, 'Section ' || (c_custkey // 10)::VARCHAR AS division, (500000 + c_custkey)::VARCHAR AS property_id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'WA' || lpad((c_custkey % 50)::VARCHAR, 3, '0') || '|0' || (c_custkey % 7)::VARCHAR || '-' || u END AS map_key, '1234.5' AS acres, c_name AS owner
-    FROM (SELECT *, unnest(CASE WHEN c_custkey % 5 = 0 THEN ['-'] WHEN c_custkey % 3 = 0 THEN ['1', '2.1'] ELSE ['7'] END) AS u FROM customer)""")
+@_r.query("""
+    SELECT c_custkey // 30 AS doc_id, 'Section ' || (c_custkey // 10)::VARCHAR || ' Township' AS division, (298500000 + c_custkey)::VARCHAR AS property_id,
+        CASE WHEN c_custkey % 5 = 0 THEN NULL
+             ELSE 'WA' || lpad((c_custkey % 50)::VARCHAR, 3, '0') || '|' || CASE WHEN c_custkey % 4 = 0 THEN '12' ELSE '0' END || (c_custkey % 7)::VARCHAR || '-' || u END AS map_key,
+        '1234.5' AS acres, c_name AS owner
+    FROM (SELECT *, unnest(CASE WHEN c_custkey % 5 = 0 THEN ['-'] WHEN c_custkey % 3 = 0 THEN ['1', '2.1'] ELSE ['7'] END) AS u FROM customer WHERE c_custkey >= 30)""")
 def map_index_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of one digit and of three; a line in eleven is followed by one whose id is of another county."""
     k = F.col("c_custkey")
-    head = F.when(k % 10 == 0, F.concat(F.lit("Section "), _s(F.floor(k / 10).cast("long")), F.lit(" Township, Washington\nAcreage\n"))).otherwise("")
-    place = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(" Plan "), _s(k % 7), F.lit(" Lot "), F.when(k % 3 == 0, "1 2.1").otherwise("7")))
-    text = F.concat(head, F.lit("Map WA"), F.lpad(_s(k % 50), 3, "0"), place, F.lit(" "), _s(500000 + k), F.when(k % 2 == 0, "P").otherwise(""), F.lit("\t1,234.5 "), F.col("c_name"))
-    docs = _documents(table(spark, sf_dir, "customer"), F.floor(k / 30).cast("long"), k, text)
+    head = F.when(k % 10 == 0, F.concat(F.lit("Map/Lot # Owner\nSection "), _s(F.floor(k / 10).cast("long")), F.lit(" Township, Washington\nAcreage\n"))).otherwise("")
+    place = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(" Plan "), F.when(k % 4 == 0, "12").otherwise(""), _s(k % 7), F.lit(" Lot "), F.when(k % 3 == 0, "1 2.1").otherwise("7")))
+    other = F.when(k % 11 == 0, F.concat(F.lit("\nMap WA001 Plan 1 Lot 1 "), _s(300500000 + k), F.lit(" 5 NOBODY"))).otherwise("")
+    text = F.concat(head, F.lit("Map WA"), F.lpad(_s(k % 50), 3, "0"), place, F.lit(" "), _s(298500000 + k), F.when(k % 2 == 0, "P").otherwise(""), F.lit("\t1,234.5 "), F.col("c_name"), other)
+    docs = _documents(table(spark, sf_dir, "customer").where(F.floor(k / 30) > 0), F.floor(k / 30).cast("long"), k, text)
     return parsers.parse_map_index(docs).select("doc_id", "division", "property_id", "map_key", "acres", "owner")
 
 
@@ -63,27 +105,37 @@ def card_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.parse_cards(table(spark, sf_dir, "part").select(k.alias("doc_id"), text.alias("text"))).select("doc_id", "lot", "account", "owner", "as_of")
 
 
-@_r.query(f"""SELECT DISTINCT doc_id, owner, lot_key FROM (SELECT p_partkey // 25 AS doc_id, {_NAME_SQL} AS owner, lpad((p_size)::VARCHAR, 3, '0') || '-' || unnest(CASE p_partkey % 4 WHEN 0 THEN ['001', '003'] WHEN 1 THEN ['010', '011', '012'] WHEN 2 THEN ['5-1'] ELSE ['67A'] END) AS lot_key FROM part)""")
+@_r.query(f"""
+    SELECT DISTINCT doc_id, owner, lot_key FROM (
+        SELECT p_partkey // 25 AS doc_id, {_NAME_SQL} AS owner,
+            CASE WHEN p_partkey % 3 = 0 THEN lpad(p_size::VARCHAR, 2, '0') || 'A' ELSE lpad(p_size::VARCHAR, 3, '0') END || '-'
+                || unnest(CASE p_partkey % 6 WHEN 0 THEN ['001', '003'] WHEN 1 THEN ['010', '011', '012'] WHEN 2 THEN ['005-001'] WHEN 3 THEN ['067-00A'] WHEN 4 THEN ['1234'] ELSE ['004-DEA2'] END) AS lot_key
+        FROM part)""")
 def owner_index_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of the documents are HTML, half Markdown."""
+    """Half of the documents are HTML, half Markdown; lots with letters, parts, ranges in either direction and of four digits; lettered maps."""
     k = F.col("p_partkey")
-    lot = F.when(k % 4 == 0, "1+3").when(k % 4 == 1, "10-12").when(k % 4 == 2, "5-1").otherwise("67a")
-    html = F.concat(F.lit("<tr class='x'><td><b>"), _name(), F.lit("</b></td> <td>"), _s(F.col("p_size")), F.lit("</td><td>"), lot, F.lit("</td></tr>"))
-    mark = F.concat(F.lit("| "), _name(), F.lit(" | "), _s(F.col("p_size")), F.lit(" | "), lot, F.lit("   |"))
+    lot = F.when(k % 6 == 0, "1+3").when(k % 6 == 1, F.when(k % 12 == 1, "12-10").otherwise("10-12")).when(k % 6 == 2, "5-1").when(k % 6 == 3, "67a").when(k % 6 == 4, "1234").otherwise("4 DEA2")
+    sheet = F.concat(_s(F.col("p_size")), F.when(k % 3 == 0, "a").otherwise(""))
+    html = F.concat(F.lit("<tr class='x'><td><b>"), _name(), F.lit("</b></td> <td>"), sheet, F.lit("</td><td>"), lot, F.lit("</td></tr>"))
+    mark = F.concat(F.lit("| "), _name(), F.lit(" | "), sheet, F.lit(" | "), lot, F.lit("   |"))
     doc = F.floor(k / 25).cast("long")
     docs = _documents(table(spark, sf_dir, "part"), doc, k, F.when(doc % 2 == 0, html).otherwise(mark), "| OWNER | MAP | LOT |\n| --- | --- | --- |\n")
     return parsers.parse_owner_index(docs).select("doc_id", "owner", "lot_key")
 
 
-@_r.query(f"""SELECT p_partkey AS doc_id, {_NAME_SQL} AS owner, 'SELLER, SAM' AS seller, (p_size)::VARCHAR AS map, (p_partkey % 900)::VARCHAR AS lot, CASE WHEN p_partkey % 2 = 0 THEN '2025' ELSE '2024' END || '-03-0' || (p_size % 9 + 1) AS date FROM part WHERE p_partkey % 8 <> 7""")
+@_r.query(f"""
+    SELECT p_partkey AS doc_id, {_NAME_SQL} || CASE WHEN p_partkey % 4 = 2 THEN ' / OTHER, ANN' ELSE '' END AS owner, CASE WHEN p_partkey % 4 = 2 THEN 'BOLD, SUE' ELSE 'SELLER, SAM' END AS seller, (p_size)::VARCHAR AS map,
+        (p_partkey % 900)::VARCHAR || CASE WHEN p_partkey % 4 = 1 THEN '2A' ELSE '' END AS lot, CASE WHEN p_partkey % 2 = 0 THEN '2025' ELSE '2024' END || '-03-0' || (p_size % 9 + 1) AS date
+    FROM part WHERE p_partkey % 8 <> 7""")
 def transfer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One declaration in eight is of another town; half have only the date of recording, its last digit misread."""
+    """One declaration in eight is of another town; half have only the date of recording, its last digit misread; forms with values below their labels, with a sub-lot, in bold, and with all figures of the property together."""
     k, size = F.col("p_partkey"), F.col("p_size")
-    date = F.when(k % 2 == 0, F.concat(F.lit("Date/Time Recorded: 3/"), _s(size % 9 + 1), F.lit("/202s\n"))).otherwise(F.concat(F.lit("7. DATE OF TRANSFER\n03-0"), _s(size % 9 + 1), F.lit("-2024\n")))
-    text = F.concat(
-        F.lit("MAINE REAL ESTATE TRANSFER TAX DECLARATION\n1. County WASHINGTON\n2. Municipality "), F.when(k % 8 == 7, "ELSEWHERE").otherwise("ELMTOWN"), F.lit("\n3. GRANTEE/PURCHASER\n3a. Last name or business name\n"), _name(), F.lit("\n3c. Federal ID\n4. GRANTOR/SELLER\n4a. Last name or business name\nSELLER, SAM\n4c. Federal ID\n5. PROPERTY Tax Map\n"),
-        _s(size), F.lit("\nBlock\nLot\n"), _s(k % 900), F.lit("\n"), date, F.lit("6. CURRENT USE none of these classifications apply to the property that is described in this declaration\n"),
-    )
+    date = F.when(k % 2 == 0, F.concat(F.lit("Date/Time Recorded: 3/"), _s(size % 9 + 1), F.lit("/202s\n"))).otherwise(F.concat(F.lit("7. DATE OF TRANSFER (MM-DD-YYYY)\n03-0"), _s(size % 9 + 1), F.lit("-2024\n")))
+    head = F.concat(F.lit("MAINE REAL ESTATE TRANSFER TAX DECLARATION\n1. County WASHINGTON\n2. Municipality "), F.when(k % 8 == 7, "ELSEWHERE").otherwise("ELMTOWN"))
+    below = F.concat(F.lit("\n3. GRANTEE/PURCHASER\n3a. Last name or business name\n"), _name(), F.lit(" TRUSTEE\n3c. Federal ID\n4. GRANTOR/SELLER\n4a. Last name or business name\nSELLER, SAM PR\n4c. Federal ID\n5. PROPERTY Tax Map\n"), _s(size), F.lit("\nBlock\nLot\n"), _s(k % 900), F.when(k % 4 == 1, "\nSub-lot\n2a\n").otherwise("\nSub-lot\n0\n"))
+    bold = F.concat(F.lit("\n3. GRANTEE/PURCHASER\n**"), _name(), F.lit("**\n**OTHER, ANN**\n**FEDERAL ID**\n4. GRANTOR/SELLER\n**BOLD, SUE**\n5. PROPERTY\n5a. Map\n**"), _s(size), F.lit("**\nBlock\nLot\n**"), _s(k % 900), F.lit("**\nSub-lot\n"))
+    inline = F.concat(F.lit("\n3. GRANTEE/PURCHASER Last name, first name, MI; or business name "), _name(), F.lit("\n4. GRANTOR/SELLER Last name, first name, MI; or business name SELLER, SAM\n5. PROPERTY Tax Map Block Lot Sub-lot Tax maps exist "), _s(size), F.lit(" 0 "), _s(k % 900), F.lit(" 0 for property: No\n"))
+    text = F.concat(head, F.when(k % 4 == 2, bold).when(k % 4 == 3, inline).otherwise(below), date, F.lit("6. CURRENT USE none of these classifications apply to the property that is described in this declaration\n"))
     return parsers.parse_transfers(table(spark, sf_dir, "part").select(k.alias("doc_id"), text.alias("text")), "Elmtown").drop("at")
 
 
@@ -93,16 +145,90 @@ def forest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), parsers.forest_lines(text).alias("f")).select("id", "f.*")
 
 
-@_r.query(f"""SELECT p_partkey // 15 AS doc_id, (p_partkey % 9000 + 1)::VARCHAR AS account, {_NAME_SQL} AS owner, p_size || ' HIGH ST, DANFORTH ME 04424' AS mail, (p_size * 1000)::VARCHAR AS land, floor(p_retailprice)::BIGINT::VARCHAR AS total, CASE WHEN p_partkey % 2 = 0 THEN '25000' END AS exemption, '14.50' AS tax, '0.76' AS acres, p_partkey % 2 = 0 AS homestead,
-    lpad((p_partkey % 90 + 10)::VARCHAR, 3, '0') || '-' || lpad((p_partkey // 90 % 900 + 1)::VARCHAR, 3, '0') AS lot, 0.9::DOUBLE AS confidence FROM part""")
+_LOT_SQL = "lpad((p_partkey % 90 + 10)::VARCHAR, 3, '0') || '-' || lpad((p_partkey // 90 % 900 + 1)::VARCHAR, 3, '0')"
+_BOOK_HEAD = "Real Estate Tax Commitment Book\nAccount Name & Address Land Building Exemption Assessment\n"
+_ACCOUNT_COLUMNS = ("doc_id", "account", "owner", "mail", "land", "total", "exemption", "tax", "acres", "homestead", "lot", "confidence")
+
+
+def _lot():
+    k = F.col("p_partkey")
+    return F.concat(F.lpad(_s(k % 90 + 10), 3, "0"), F.lit("-"), F.lpad(_s(F.floor(k / 90).cast("long") % 900 + 1), 3, "0"))
+
+
+def _money(c):
+    return F.format_string("%,d", c.cast("long"))
+
+
+def _book(spark: SparkSession, sf_dir: str, text, layout: str = "by_name") -> DataFrame:
+    k = F.col("p_partkey")
+    return parsers.parse_commitment_book(_documents(table(spark, sf_dir, "part"), F.floor(k / 15).cast("long"), k, text, _BOOK_HEAD), layout)
+
+
+@_r.query(f"""
+    SELECT p_partkey // 15 AS doc_id, (p_partkey % 9000 + 1)::VARCHAR AS account, {_NAME_SQL} AS owner, p_size || ' HIGH ST, DANFORTH ME 04424' AS mail, (p_size * 1000)::VARCHAR AS land,
+        floor(p_retailprice)::BIGINT::VARCHAR AS total, CASE WHEN p_partkey % 2 = 0 THEN '25000' END AS exemption, '14.50' AS tax, '0.76' AS acres, p_partkey % 2 = 0 AS homestead, {_LOT_SQL} AS lot,
+        CASE WHEN p_size * 1000 > 1.25 * floor(p_retailprice) AND 1100 > floor(p_retailprice) OR floor(p_retailprice) > p_size * 1000 + 11100 THEN 0.75 ELSE 0.9 END::DOUBLE AS confidence
+    FROM part""")
 def commitment_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers begin with the account; a page's totals end a block."""
     k, size = F.col("p_partkey"), F.col("p_size")
     text = F.concat(
-        _s(k % 9000 + 1), F.lit(" "), _name(), F.lit(" \t"), F.format_string("%,d", size * 1000), F.lit(" \t1,100 \t"), F.when(k % 2 == 0, "25,000").otherwise("0"), F.lit(" \t"), F.format_string("%,d", F.floor("p_retailprice").cast("long")), F.lit(" \t14.50\nAcres \t0.76 "), F.when(k % 2 == 0, "19 Homestead").otherwise(""), F.lit("\n"), _s(size), F.lit(" HIGH ST\nDANFORTH ME 04424\n"),
-        F.lpad(_s(k % 90 + 10), 3, "0"), F.lit("-"), F.lpad(_s(F.floor(k / 90).cast("long") % 900 + 1), 3, "0"), F.lit("-000\nB5152P32 11/14/2024"), F.when(k % 5 == 0, "\n12,000 Page Totals: 3\n999-999\nLeft Over").otherwise(""),
+        _s(k % 9000 + 1), F.lit(" "), _name(), F.lit(" \t"), _money(size * 1000), F.lit(" \t1,100 \t"), F.when(k % 2 == 0, "25,000").otherwise("0"), F.lit(" \t"), _money(F.floor("p_retailprice")), F.lit(" \t14.50\nAcres \t0.76 "),
+        F.when(k % 2 == 0, "19 Homestead").otherwise(""), F.lit("\n"), _s(size), F.lit(" HIGH ST\nDANFORTH ME 04424\n"), _lot(), F.lit("-000\nB5152P32 11/14/2024"), F.when(k % 5 == 0, "\n12,000 Page Totals: 3\n999-999\nLeft Over").otherwise(""),
     )
-    docs = _documents(table(spark, sf_dir, "part"), F.floor(k / 15).cast("long"), k, text, "Real Estate Tax Commitment Book\nAccount Name & Address Land Building Exemption Assessment\n")
-    return parsers.parse_commitment_book(docs).select("doc_id", "account", "owner", "mail", "land", "total", "exemption", "tax", "acres", "homestead", "lot", "confidence")
+    return _book(spark, sf_dir, text).select(*_ACCOUNT_COLUMNS)
+
+
+@_r.query(f"""
+    SELECT p_partkey // 15 AS doc_id, (p_partkey % 900 + 1)::VARCHAR AS account, CASE WHEN p_partkey % 4 = 3 THEN 'W/S ' || {_NAME_SQL} || ' LIMITED PARTNERSHIP' ELSE {_NAME_SQL} END AS owner,
+        ((p_size + 10) * 1000)::VARCHAR AS land, '1100' AS building, ((p_size + 10) * 1000 + 1100)::VARCHAR AS total, CASE WHEN p_partkey % 4 = 3 THEN 'row' ELSE 'header' END AS value_source, '3182.75' AS tax, '0.46' AS acres,
+        CASE WHEN p_partkey % 5 = 0 THEN 'G-0' || (p_partkey % 900 + 100) || '-' || u ELSE {_LOT_SQL} END AS lot, 0.9::DOUBLE AS confidence
+    FROM (SELECT *, unnest(CASE WHEN p_partkey % 5 = 0 THEN ['9', '10'] ELSE ['0'] END) AS u FROM part)""")
+def commitment_parse_land_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The land value in front of the account; partnerships whose name and figures go on below; lots on a grid with additions; a lot of the next page that no acres line binds."""
+    k, land = F.col("p_partkey"), (F.col("p_size") + 10) * 1000
+    figures = F.concat(F.lit(" 1,100 \t0 \t"), _money(land + 1100))
+    head = F.concat(_money(land), F.lit("\t"), _s(k % 900 + 1), F.lit(" "), F.when(k % 4 == 3, F.concat(F.lit("W/S "), _name(), F.lit("\nLIMITED PARTNERSHIP\n"), figures)).otherwise(F.concat(_name(), F.lit(" \t"), figures)))
+    lot = F.when(k % 5 == 0, F.concat(F.lit("G-0"), _s(k % 900 + 100), F.lit("-9+10"))).otherwise(_lot())
+    text = F.concat(head, F.lit("\n106 EVERGREEN CT\nHAMPDEN ME 04444\nB2469P327 10/01/1989\n3,182.75\n0.46\tAcres\n"), lot, F.when(k % 6 == 0, "\n888-888").otherwise(""), F.lit("\n406\tPage\n160,500\tPage Totals: \t695,600 25,000"))
+    return _book(spark, sf_dir, text).select("doc_id", "account", "owner", "land", "building", "total", "value_source", "tax", "acres", "lot", "confidence")
+
+
+@_r.query(f"""
+    SELECT p_partkey // 15 AS doc_id, (p_partkey % 9000 + 1)::VARCHAR AS account, {_NAME_SQL} AS owner, 'PO Box ' || p_size || ' Cutler ME 04626, ' || p_size || ' Cutler Road' AS mail, (p_size * 1000)::VARCHAR AS land, '1481.16' AS tax,
+        lpad((p_partkey % 90 + 10)::VARCHAR, 2, '0') || '-' || lpad((p_partkey // 90 % 90 + 10)::VARCHAR, 2, '0') || '-0' AS lot FROM part""")
+def commitment_parse_map_lot_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lot in front of the account, the mail address behind the figures."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    lot = F.concat(F.lpad(_s(k % 90 + 10), 2, "0"), F.lit("-"), F.lpad(_s(F.floor(k / 90).cast("long") % 90 + 10), 2, "0"), F.lit("-0"))
+    text = F.concat(lot, F.lit(" "), _s(k % 9000 + 1), F.lit(" "), _name(), F.lit(" "), _money(size * 1000), F.lit(" 1,100 0 "), _money(size * 1000 + 1100), F.lit(" PO Box "), _s(size), F.lit(" Cutler ME 04626\n\n"), _s(size), F.lit(" Cutler Road\n1,481.16\n"))
+    return _book(spark, sf_dir, text).select("doc_id", "account", "owner", "mail", "land", "tax", "lot")
+
+
+@_r.query(f"""
+    SELECT p_partkey // 15 AS doc_id, (p_partkey % 9000 + 1)::VARCHAR AS account, {_NAME_SQL} AS owner,
+        CASE p_partkey % 3 WHEN 2 THEN NULL ELSE ((p_size + 1) * 1000)::VARCHAR END AS land, CASE p_partkey % 3 WHEN 0 THEN '70500' WHEN 1 THEN '0' END AS building,
+        CASE p_partkey % 3 WHEN 0 THEN (p_size + 1) * 1000 + 70500 WHEN 1 THEN (p_size + 1) * 1000 ELSE 16300 END::VARCHAR AS total,
+        CASE p_partkey % 3 WHEN 0 THEN 'columnar' WHEN 1 THEN 'columnar_single' ELSE 'assessment_only' END AS value_source, {_LOT_SQL} AS lot, 0.9::DOUBLE AS confidence
+    FROM part""")
+def commitment_parse_columnar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers without figures; these stand one below the other after the lot: land and building, land alone, or a zero and the total."""
+    k, land = F.col("p_partkey"), _money((F.col("p_size") + 1) * 1000)
+    figures = F.when(k % 3 == 0, F.concat(land, F.lit("\n0.15\n0.00\n70,500\n0\n0"))).when(k % 3 == 1, F.concat(land, F.lit("\n0.00\n"), land, F.lit("\n0"))).otherwise("0 \t16,300")
+    text = F.concat(_s(k % 9000 + 1), F.lit(" \t"), _name(), F.lit("\n266 DIXIE ROAD\nLUBEC ME 04652\n"), _lot(), F.lit("\nAcres\nSoft:\nMixed:\nHard:\n"), figures, F.lit("\nB5059P91 09/28/2023\nTotal\n755,900"))
+    return _book(spark, sf_dir, text).select("doc_id", "account", "owner", "land", "building", "total", "value_source", "lot", "confidence")
+
+
+@_r.query(f"""
+    SELECT p_partkey // 15 AS doc_id, (p_partkey % 900 + 1)::VARCHAR AS account, CASE p_partkey % 3 WHEN 0 THEN 'SMITH & SONS OF MAINE' WHEN 1 THEN 'ELM HOLDINGS LLC' ELSE {_NAME_SQL} END AS owner,
+        CASE p_partkey % 3 WHEN 2 THEN 'mail-line' ELSE 'entity-line' END AS owner_source, '23970' AS land, '67030' AS building, '91000' AS total, {_LOT_SQL} AS lot, CASE p_partkey % 3 WHEN 2 THEN 0.85 ELSE 0.88 END::DOUBLE AS confidence
+    FROM part""")
+def commitment_parse_map_lot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers with the place; the owner is a line below: a body, a firm, or a person with an account in front."""
+    k = F.col("p_partkey")
+    owner = F.when(k % 3 == 0, "SMITH & SONS OF MAINE").when(k % 3 == 1, "ELM HOLDINGS LLC").otherwise(F.concat(F.lit("00129 "), _name()))
+    text = F.concat(_s(k % 900 + 1), F.lit("  CORN HILL\n"), owner, F.lit("\n"), _lot(), F.lit("\n23970\n67030\n91000"))
+    return _book(spark, sf_dir, text, "map_lot").select("doc_id", "account", "owner", "owner_source", "land", "building", "total", "lot", "confidence")
 
 
 @_r.query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM documents""")
