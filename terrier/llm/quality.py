@@ -51,10 +51,11 @@ def measures(text: str) -> dict[str, float]:
     bare = [w.strip(_STRIP).lower() for w in words]
     counts = Counter(bare)
     lines = [x for x in text.split("\n") if x.strip()]
-    letters = sum(map(str.isalpha, text)) if len(text) < 4000 else sum(map(len, _WORD.findall(text)))
+    runs = _WORD.findall(text)
+    letters = sum(map(len, runs))
     capitals = sum(len(x) for x in re.findall(r"[A-ZÀ-ÖØ-Þ]+", text))
     signs = len(re.findall(r"[#$%&*|!^~=<>{}\\@+]", text))
-    abuse = Counter(filter(ABUSE.__contains__, _WORD.findall(text.lower())))
+    abuse = Counter(filter(ABUSE.__contains__, map(str.lower, runs)))
     return {
         "words": len(words), "symbols": signs / max(1, len(text)), "bars": text.count("|") / n, "capitals": capitals / max(1, letters),
         "one_word": counts.most_common(1)[0][1] / n if words else 0.0, "variety": len(counts) / n, "stop_words": sum(w.rstrip(".,").lower() in STOP_WORDS for w in words) / n,

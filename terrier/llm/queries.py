@@ -19,9 +19,9 @@ from terrier.llm.simhash import near_duplicates
 from terrier.llm.substring_dedup import dedup_passages
 
 
-def _id(column: str):
-    """A k_id as the id that it stands for."""
-    return F.when(F.col(column) != -(2**63), F.col(column))
+def _id(column: str = "k_id"):
+    """A k_id as the id that it stands for, in rows that tell whether it is missing."""
+    return F.when(~F.col("null_id") | (F.col(column) != -(2**63)), F.col(column))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,18 +66,18 @@ def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 3-word shingles and their components at 2 bits."""
     out = near_duplicates(read_table(spark, sf_dir, "documents"))
-    return out.select(_id("k_id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), _id("root.k_id").alias("component_id"))
+    return out.select(_id().alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), _id("root.k_id").alias("component_id"))
 
 
 def op9_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents a scorer trained on weak labels keeps."""
-    return judge(read_table(spark, sf_dir, "documents")).select(_id("k_id").alias("doc_id"), "score", "posterior", "kept")
+    return judge(read_table(spark, sf_dir, "documents")).select(_id().alias("doc_id"), "score", "posterior", "kept")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of texts that are equal but for the case of A-Z."""
     out = exact_groups(read_table(spark, sf_dir, "documents"))
-    return out.select(_id("k_id").alias("doc_id"), _id("keep").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    return out.select(_id().alias("doc_id"), _id("keep").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_lattice_lm, op4_chat_format, op5_posting_ann, op6_secret_scan, op7_nnls_packing, op8_simhash, op9_weak_labels, op10_exact_dedup)}

@@ -331,3 +331,60 @@ def test_value_in_many_documents_of_one_source_is_copied(spark):
     kinds = lambda r: [secret_scan.KINDS[s.kind] for s in r.spans if s.kind > 2]
     assert kinds(got[0]) == ["copied", "live"] and kinds(got[9]) == ["copied"]
     assert [(s.owners, s.repositories) for s in got[0].spread] == [(1, 30), (1, 2)]
+
+
+def test_expectation_maximisation_finds_planted_accuracies():
+    """Votes of five labellers on 20,000 made-up documents, a fifth of them bad: the posterior is that of the true rates."""
+    import itertools
+
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    bad = r.random(20_000) < 0.2
+    rates = [(0.8, 0.05), (0.7, 0.02), (0.6, 0.1), (0.9, 0.08), (0.5, 0.01)]  # that a labeller says bad, of bad and of good ones
+    votes = np.stack([np.where(r.random(len(bad)) < np.where(bad, a, b), quality.BAD, quality.NONE) for a, b in rates], axis=1)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    got = quality.estimate(patterns, counts.astype(float))
+
+    def true(pattern):
+        p = [np.prod([q if v == quality.BAD else 1 - q for v, q in zip(pattern, side, strict=True)]) for side in zip(*rates, strict=True)]
+        return 0.2 * p[0] / (0.2 * p[0] + 0.8 * p[1])
+
+    assert max(abs(g - true(p)) for g, p, n in zip(got, patterns.tolist(), counts, strict=True) if n > 50) < 0.12
+    assert np.average([abs(g - true(p)) for g, p in zip(got, patterns.tolist(), strict=True)], weights=counts) < 0.01
+    assert len(list(itertools.product((0, 2), repeat=5))) >= len(patterns)
+
+
+def test_scorer_fits_soft_labels_as_brute_force_does():
+    """Plain gradient steps on the same loss reach the same probabilities."""
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    x = (r.random((400, 6)) < 0.4).astype(float)
+    y = 1 / (1 + np.exp(-(x @ np.array([2.0, -1.5, 0.5, 0.0, 1.0, -0.5]) - 0.5)))
+    x = np.concatenate([x, np.ones((400, 1))], axis=1)
+    row, at = np.nonzero(x)
+    w = quality.train(at, x[row, at], row, y, rounds=3000, decay=0.0)[:7]
+    v = np.zeros(7)
+    for _ in range(20_000):
+        v -= 1.0 * x.T @ (1 / (1 + np.exp(-x @ v)) - y) / len(y)
+    assert abs(1 / (1 + np.exp(-x @ w)) - 1 / (1 + np.exp(-x @ v))).max() < 0.02
+
+
+def test_measures_count_letters_alike_at_every_length():
+    short = "WORD word Word " * 10
+    for k in (1, 50, 500):
+        m = quality.measures(short * k)
+        assert m["capitals"] == pytest.approx(5 / 12) and m["abuse"] == 0
+
+
+def test_smallest_id_is_no_missing_one(spark):
+    from terrier.llm import queries
+
+    df = spark.createDataFrame([(-(2**63), "a b c d"), (None, "other words here"), (7, "A B C D")], "doc_id long, text string")
+    prints = simhash.near_duplicates(df).select(queries._id().alias("doc_id")).collect()
+    assert Counter(r.doc_id for r in prints) == Counter([-(2**63), None, 7])
+    scored = lattice_lm.score_texts(df, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert Counter(r.doc_id for r in scored) == Counter([-(2**63), None, 7])
+    groups = exact_dedup.exact_groups(df).select(queries._id().alias("doc_id"), queries._id("keep").alias("keep_id")).collect()
+    assert Counter((r.doc_id, r.keep_id) for r in groups) == Counter([(-(2**63), 7), (7, 7), (None, None)])
