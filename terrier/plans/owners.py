@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from terrier.plans.registry import Registry
 from terrier.plans.scoring import scores
 from terrier.plans.views import OWNERS_SQL, PARCELS_SQL, SCORES_SQL, table
 from terrier.plans.views import owners as owner_view
+from terrier.sources.scratch import written
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
@@ -132,9 +135,13 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = rows(spark, sf_dir).where("owner is not null")
+    return _owned_pairs(rows(spark, sf_dir), touches(spark, sf_dir))
+
+
+def _owned_pairs(every: DataFrame, touching: DataFrame) -> DataFrame:
+    r = every.where("owner is not null")
     a, b = r.select(F.col("parcel_id").alias("id"), F.col("owner").alias("oa")), r.select(F.col("parcel_id").alias("neighbour_id"), F.col("owner").alias("ob"))
-    return touches(spark, sf_dir).where("id < neighbour_id").join(a, "id").join(b, "neighbour_id").select("id", "neighbour_id", "oa", "ob")
+    return touching.where("id < neighbour_id").join(a, "id").join(b, "neighbour_id").select("id", "neighbour_id", "oa", "ob")
 
 
 @_r.query(f"WITH {PARCELS_SQL}, {TOUCH_SQL}, {ROWS_SQL} SELECT id, neighbour_id, a.owner FROM touch JOIN rows_ a ON a.parcel_id = id JOIN rows_ b ON b.parcel_id = neighbour_id WHERE id < neighbour_id AND a.owner = b.owner")
@@ -174,9 +181,13 @@ def obs_vacant_among_improved(spark: SparkSession, sf_dir: str) -> DataFrame:
     d AS (SELECT DISTINCT a.z AS a, b.z AS b FROM touch JOIN f a ON a.parcel_id = id JOIN f b ON b.parcel_id = neighbour_id WHERE a.z <> b.z)
     SELECT 'obs:township_join_gap:' || s.z AS id, s.k / s.n AS observed, s.n AS parcels FROM s WHERE s.k / s.n <= 0.05 AND EXISTS (SELECT 1 FROM d JOIN s o ON o.z = d.b WHERE d.a = s.z AND o.k / o.n >= 0.9)""")
 def obs_township_join_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _join_gaps(rows(spark, sf_dir), touches(spark, sf_dir)).select("id", "observed", "parcels")
+
+
+def _join_gaps(r: DataFrame, touching: DataFrame) -> DataFrame:
     zone = F.floor(F.col("gx") / 10)
-    zoned = rows(spark, sf_dir).withColumn("township", F.concat(F.lit("Z"), zone.cast("long").cast("string"))).withColumn("unjoined", ~((zone % 5 != 0) & F.col("joined")))
-    return obs.join_gaps(zoned, touches(spark, sf_dir)).select("id", "observed", "parcels")
+    zoned = r.withColumn("township", F.concat(F.lit("Z"), zone.cast("long").cast("string"))).withColumn("unjoined", ~((zone % 5 != 0) & F.col("joined")))
+    return obs.join_gaps(zoned, touching)
 
 
 @_r.query(f"WITH {PARCELS_SQL} SELECT 'obs:unjoined_tax_records:2025' AS id, count(*)::DOUBLE AS observed FROM features WHERE unjoined HAVING count(*) > 0")
@@ -187,9 +198,12 @@ def obs_unjoined_tax_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_r.query(f"""WITH {SCORES_SQL}, p AS (SELECT parcel_id, custkey, township, CASE WHEN band_n >= 12 THEN band_percentile WHEN town_n >= 12 THEN town_percentile END AS pct FROM scores)
     SELECT 'obs:mail_organized_peer_deviant:all' AS id, count(*)::DOUBLE AS observed FROM p WHERE custkey % 25 < 5 AND township NOT IN ('NATION_0', 'NATION_1', 'NATION_2', 'NATION_3', 'NATION_4') AND (pct <= 0.05 OR pct >= 0.95) HAVING count(*) > 0""")
 def obs_mail_organized_peer_deviant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mail_elsewhere(spark, sf_dir, scores(spark, sf_dir)).select("id", "observed")
+
+
+def _mail_elsewhere(spark: SparkSession, sf_dir: str, scored: DataFrame) -> DataFrame:
     towns = table(spark, sf_dir, "nation").where("n_nationkey < 5").select(F.col("n_name").alias("township"))
-    scored = scores(spark, sf_dir).withColumn("mail_town", F.concat(F.lit("NATION_"), (F.col("custkey") % 25).cast("string")))
-    return obs.mail_elsewhere(scored, towns).select("id", "observed")
+    return obs.mail_elsewhere(scored.withColumn("mail_town", F.concat(F.lit("NATION_"), (F.col("custkey") % 25).cast("string"))), towns)
 
 
 @_r.query(f"""WITH {SCORES_SQL}, {ROWS_SQL}, tt AS (SELECT township, sum(coalesce(acres, 0)) AS ta FROM rows_ GROUP BY 1), sh AS (SELECT owner, township, sum(coalesce(acres, 0)) / any_value(ta) AS share FROM rows_ JOIN tt USING (township) WHERE owner IS NOT NULL GROUP BY 1, 2),
@@ -208,23 +222,64 @@ def obs_high_share_low_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     e AS (SELECT a, b FROM sj WHERE j + p * 0.1 * (1 - j) >= 0.92), l AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), w AS (SELECT u AS n, u AS seen FROM l UNION SELECT w.n, l.v FROM w JOIN l ON l.u = w.seen), c AS (SELECT n, min(seen) AS root FROM w GROUP BY 1)
     SELECT 'obs:similar_name_adjacent:' || string_agg(n, '~' ORDER BY n) AS id, count(*) AS owners FROM c GROUP BY root""")
 def obs_similar_name_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _adjacent(spark, sf_dir).where("oa != ob").select(F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b"))
-    none = spark.createDataFrame([], "owner string, township string, mail string")
-    edges = ownership.similar_edges(ownership.candidate_pairs(none, pairs)).where("type = 'similar_name' and adjacent")
-    return obs.similar_neighbours(edges).select("id", F.size("owners").cast("long").alias("owners"))
+    return _similar_neighbours(spark, _adjacent(spark, sf_dir)).select("id", F.size("owners").cast("long").alias("owners"))
 
 
-def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = rows(spark, sf_dir)
-    found = obs.copied_acre_spread(r).unionByName(obs.parts_above_taxable(r), allowMissingColumns=True)
-    return obs.packets(found, r)
+def _similar_neighbours(spark: SparkSession, adjacent: DataFrame) -> DataFrame:
+    pairs = adjacent.where("oa != ob").select(F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b"))
+    none = spark.createDataFrame([], "owner string, township string, mail string")
+    return obs.similar_neighbours(ownership.similar_edges(ownership.candidate_pairs(none, pairs)).where("type = 'similar_name' and adjacent"))
 
 
-@_r.query(f"""WITH {PARCELS_SQL}, g AS (SELECT group_id, count(*) AS n, bool_or(coalesce(allocation = 'copied_full_assessment', FALSE)) AS c, min(acres) AS a, max(acres) AS z, count(*) FILTER (WHERE acres > 0) AS k FROM features GROUP BY 1),
-    o AS (SELECT 'obs:copied_multilot_acre_spread:' || f.group_id AS id, parcel_id FROM features f JOIN g USING (group_id) WHERE n >= 2 AND c AND k >= 2 AND z / a >= 3 AND z - a >= 10
-          UNION ALL SELECT 'obs:land_building_vs_taxable_exemption_null:' || township, parcel_id FROM features WHERE exemption IS NULL AND land_building - taxable >= 1000 AND (taxable <= 0 OR land_building / taxable >= 1.25)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY parcel_id) AS i FROM o)
-    SELECT id, string_agg(r.parcel_id, ',' ORDER BY r.parcel_id) AS parcels, sum(taxable) AS taxable, count(*) AS n FROM r JOIN features USING (parcel_id) WHERE i <= 25 GROUP BY 1""")
+def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of the observations of all nine rules. Parcels, touches and scores are written once."""
+    r, t, s = written(rows(spark, sf_dir), "rows"), written(touches(spark, sf_dir), "touches"), written(scores(spark, sf_dir), "scores")
+    found = [
+        obs.copied_acre_spread(r),
+        obs.parts_above_taxable(r),
+        obs.plat_holes(r, t),
+        obs.vacant_among_improved(r, t),
+        _join_gaps(r, t).drop("parcels"),
+        obs.unjoined_records(r, 2025),
+        _mail_elsewhere(spark, sf_dir, s),
+        obs.high_share_low_value(r, ownership.town_shares(r), s, min_share=0.02),
+        _similar_neighbours(spark, _owned_pairs(r, t)),
+    ]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+    return obs.packets(every.withColumn("parcels", F.coalesce("parcels", F.array().cast("array<string>"))), r)
+
+
+#: By query: the rule's name, whether its flags mark an artifact of the data, and its priority in SQL.
+_RULES = {
+    "obs_copied_multilot_acre_spread": ("copied_multilot_acre_spread", True, "'low'"),
+    "obs_land_building_vs_taxable": ("land_building_vs_taxable_exemption_null", True, "'low'"),
+    "obs_unjoined_plat_hole": ("unjoined_plat_hole", True, "'low'"),
+    "obs_vacant_among_improved": ("vacant_tract_among_improved", False, "priority"),
+    "obs_township_join_gap": ("township_join_gap", True, "'low'"),
+    "obs_unjoined_tax_records": ("unjoined_tax_records", True, "'low'"),
+    "obs_mail_organized_peer_deviant": ("mail_organized_peer_deviant", False, "'low'"),
+    "obs_high_share_low_value": ("high_local_share_low_vpa", False, "priority"),
+    "obs_similar_name_adjacent": ("similar_name_adjacent", False, "'medium'"),
+}
+#: A row for each observation, by the rules' own SQL.
+_EACH_SQL = " UNION ALL ".join(f"SELECT '{kind}' AS type, {artifact} AS artifact, id, {priority} AS priority FROM ({_r.sql[query]})" for query, (kind, artifact, priority) in _RULES.items())
+
+#: The parcels that each observation names, by the rules that name any.
+_NAMED_SQL = f"""SELECT 'obs:copied_multilot_acre_spread:' || f.group_id AS id, parcel_id FROM features f JOIN copied USING (group_id)
+    UNION ALL SELECT 'obs:land_building_vs_taxable_exemption_null:' || township, parcel_id FROM features WHERE exemption IS NULL AND land_building - taxable >= 1000 AND (taxable <= 0 OR land_building / taxable >= 1.25)
+    UNION ALL SELECT 'obs:unjoined_plat_hole:' || township, parcel_id FROM features JOIN around ON around.id = parcel_id WHERE unjoined AND n >= 3 AND mapped / n >= 0.75
+    UNION ALL SELECT 'obs:vacant_tract_among_improved:' || coalesce(owner, '_unknown'), parcel_id FROM rows_ JOIN around ON around.id = parcel_id WHERE vacant AND acres >= 100 AND n >= 3 AND improved / n >= 0.75
+    UNION ALL SELECT 'obs:high_local_share_low_vpa:' || r.owner || '~' || r.township, r.parcel_id FROM rows_ r JOIN scores s USING (parcel_id) JOIN sh ON sh.owner = r.owner AND sh.township = r.township
+              WHERE r.vacant AND s.town_vpa_n >= 12 AND s.town_vpa_percentile <= 0.1 AND share >= 0.02"""
+
+
+@_r.query(f"""WITH {SCORES_SQL}, {TOUCH_SQL}, {ROWS_SQL},
+    copied AS (SELECT group_id FROM (SELECT group_id, count(*) AS n, bool_or(coalesce(allocation = 'copied_full_assessment', FALSE)) AS c, min(acres) AS a, max(acres) AS z, count(*) FILTER (WHERE acres > 0) AS k FROM features GROUP BY 1) WHERE n >= 2 AND c AND k >= 2 AND z / a >= 3 AND z - a >= 10),
+    around AS (SELECT t.id, count(*) AS n, count(*) FILTER (WHERE f.family = 'wa_map' AND NOT f.unjoined) AS mapped, count(*) FILTER (WHERE NOT f.vacant AND NOT f.unjoined) AS improved FROM touch t LEFT JOIN features f ON f.parcel_id = t.neighbour_id GROUP BY 1),
+    tt AS (SELECT township, sum(coalesce(acres, 0)) AS ta FROM rows_ GROUP BY 1), sh AS (SELECT owner, township, sum(coalesce(acres, 0)) / any_value(ta) AS share FROM rows_ JOIN tt USING (township) WHERE owner IS NOT NULL GROUP BY 1, 2),
+    o AS ({_NAMED_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY parcel_id) AS i FROM o),
+    held AS (SELECT r.id, string_agg(r.parcel_id, ',' ORDER BY r.parcel_id) AS parcels, sum(coalesce(taxable, 0)) AS taxable, count(*) AS n FROM r JOIN features USING (parcel_id) WHERE i <= 25 GROUP BY 1)
+    SELECT e.id, coalesce(parcels, '') AS parcels, coalesce(taxable, 0.0) AS taxable, coalesce(n, 0) AS n FROM ({_EACH_SQL}) e LEFT JOIN held ON held.id = e.id""")
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _packets(spark, sf_dir)
     return p.select("id", F.array_join(F.transform("parcels", lambda x: x["parcel_id"]), ",").alias("parcels"), F.aggregate("parcels", F.lit(0.0), lambda s, x: s + F.coalesce(x["taxable"], F.lit(0.0))).alias("taxable"), F.size("parcels").cast("long").alias("n"))
@@ -236,18 +291,11 @@ def packet_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obs.validate(obs.hypotheses(_packets(spark, sf_dir)))
 
 
-_COUNTS_SQL = f"""WITH {PARCELS_SQL}, g AS (SELECT group_id, count(*) AS n, bool_or(coalesce(allocation = 'copied_full_assessment', FALSE)) AS c, min(acres) AS a, max(acres) AS z, count(*) FILTER (WHERE acres > 0) AS k FROM features GROUP BY 1)
-    SELECT 'copied_multilot_acre_spread' AS type, count(*) AS n FROM g WHERE n >= 2 AND c AND k >= 2 AND z / a >= 3 AND z - a >= 10 HAVING count(*) > 0
-    UNION ALL SELECT 'land_building_vs_taxable_exemption_null', count(DISTINCT township) FROM features WHERE exemption IS NULL AND land_building - taxable >= 1000 AND (taxable <= 0 OR land_building / taxable >= 1.25) HAVING count(*) > 0"""
-
-
-@_r.query(f"SELECT 'artifact' AS class, sum(n)::BIGINT AS n FROM ({_COUNTS_SQL})")
+@_r.query(f"SELECT CASE WHEN priority = 'suppressed' THEN 'institutional' WHEN artifact THEN 'artifact' ELSE 'unexplained' END AS class, count(*) AS n FROM ({_EACH_SQL}) GROUP BY 1")
 def packet_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packets(spark, sf_dir).groupBy(obs.classify().alias("class")).agg(F.count("*").alias("n"))
 
 
-@_r.query(_COUNTS_SQL)
+@_r.query(f"SELECT type, count(*) AS n FROM ({_EACH_SQL}) GROUP BY 1")
 def observation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packets(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
-
-

@@ -13,8 +13,10 @@ _own: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (tests), one of this machine."""
+    """The cluster's shared folder; only where none is named and all tasks run on this machine (tests), one of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
     if not root:
         root = _own.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='terrier-')}"
         _own[spark.sparkContext.applicationId] = root
