@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrier.functions.values import acreage_band, log1p_safe, number, per_acre
+from terrier.operators import ranks
+from terrier.sources.scratch import written
 
 #: Fixed values.
 MIN_PEERS, MAD_SCALE, K = 12, 0.6745, 25
 CATALOGUE = 25
+#: What is scored against whom.
+METRICS = {
+    "town": ("taxable", ["peer_town", "vacant"]),
+    "town_vpa": ("taxable_per_acre", ["peer_town", "vacant"]),
+    "band": ("taxable", ["peer_town", "vacant", "band"]),
+    "band_vpa": ("taxable_per_acre", ["peer_town", "vacant", "band"]),
+}
 
 
 def build_features(parcels: DataFrame) -> DataFrame:
@@ -32,33 +41,45 @@ def skip_reason() -> Column:
     return F.when(F.col("unjoined"), "unjoined").when(F.col("allocation") == "copied_full_assessment", "copied_full_assessment").when(F.col("taxable").isNull(), "no_taxable_value")
 
 
-def robust_scores(rows: DataFrame, keys: list[str], metric: str, prefix: str, at_least: int = MIN_PEERS) -> DataFrame:
-    """rows with <prefix>_n, _expected (median of the group), _residual, _percentile (share of the group strictly below), _mad (robust z of log1p) and _repeated added. Groups of fewer than `at_least` values have no percentile and no z. Rows without the metric get the group's n and median.
-
-    All windows share one shuffle by the group's key. For the median a group is sorted; it is spilled, not held as a list."""
-    w = Window.partitionBy(*keys)
-    x, n = F.col(metric), F.col(f"{prefix}_n")
-    out = rows.withColumn(f"{prefix}_n", F.count(metric).over(w)).withColumn(f"{prefix}_expected", F.median(metric).over(w)).withColumn(f"{prefix}_log_mid", F.median(log1p_safe(x)).over(w))
-    out = out.withColumn(f"{prefix}_spread", F.median(F.abs(log1p_safe(x) - F.col(f"{prefix}_log_mid"))).over(w))
-    below = F.rank().over(w.orderBy(x.asc_nulls_last())) - 1
-    powered = (n >= at_least) & x.isNotNull()
-    spread = F.col(f"{prefix}_spread")
-    return out.select(
-        *[c for c in out.columns if c not in (f"{prefix}_log_mid", f"{prefix}_spread")],
-        (x - F.col(f"{prefix}_expected")).alias(f"{prefix}_residual"),
-        F.when(powered, below / n).alias(f"{prefix}_percentile"),
-        F.when(powered & (spread > 0), MAD_SCALE * (log1p_safe(x) - F.col(f"{prefix}_log_mid")) / spread).alias(f"{prefix}_mad"),
-        F.coalesce(powered & (spread == 0), F.lit(False)).alias(f"{prefix}_repeated"),
-    )
-
-
-def peer_scores(features: DataFrame) -> DataFrame:
-    """Scores of taxable value and of value per acre against the township and against the township's acreage band, vacant and improved apart. Only rows without a skip_reason() take part."""
-    pool = features.where(skip_reason().isNull()).withColumn("peer_town", F.coalesce("township", F.lit("_none")))
-    out = robust_scores(pool, ["peer_town", "vacant"], "taxable", "town")
-    out = robust_scores(out, ["peer_town", "vacant"], "taxable_per_acre", "town_vpa")
-    out = robust_scores(out, ["peer_town", "vacant", "band"], "taxable", "band")
-    out = robust_scores(out, ["peer_town", "vacant", "band"], "taxable_per_acre", "band_vpa")
+def robust_scores(rows: DataFrame, metrics: dict[str, tuple[str, list[str]]], at_least: int = MIN_PEERS, spread: bool = True) -> DataFrame:
+    """rows with, for each prefix of metrics (prefix: value column and group keys), <prefix>_n, _expected (median of the group), _residual, _percentile (share of the group strictly below), _mad (robust z of log1p) and _repeated added. Groups of fewer than `at_least` values have no percentile and no z. Rows without the value get the group's n and median. Without `spread` there are no _mad and _repeated, which take a second pass over the counts.
+
+    Worked out for all metrics at once from counts per value, which are written once; no task holds a group (see ranks)."""
+    names = list(dict.fromkeys(k for _, keys in metrics.values() for k in keys))
+    types = {k: rows.schema[k].dataType for k in names}
+    views = [F.struct(F.lit(p).alias("metric"), *[(F.col(k) if k in keys else F.lit(None).cast(types[k])).alias(k) for k in names], F.col(x).cast("double").alias("value")) for p, (x, keys) in metrics.items()]
+    keys = ["metric", *names]
+    counts = rows.select(F.explode(F.array(*views)).alias("m")).select("m.*").where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    places = written(ranks.placed(counts, keys), "places")
+    mids = ranks.middles(places, keys).select(*keys, "total", ranks.half_way(F.col("low"), F.col("high")).alias("expected"), ranks.half_way(log1p_safe(F.col("low")), log1p_safe(F.col("high"))).alias("mid"))
+    if spread:
+        gaps = ranks.keyed(places.select(*keys, "value", "n"), mids.select(*keys, "mid"), keys).groupBy(*keys, F.abs(log1p_safe(F.col("value")) - F.col("mid")).alias("value")).agg(F.sum("n").alias("n"))
+        mids = ranks.keyed(mids, ranks.middles(ranks.placed(gaps, keys), keys).select(*keys, ranks.half_way(F.col("low"), F.col("high")).alias("spread")), keys)
+    groups = written(mids if spread else mids.withColumn("spread", F.lit(None).cast("double")), "groups")
+    out = rows
+    for prefix, (metric, own) in metrics.items():
+        mine = F.col("metric") == prefix
+        out = ranks.keyed(out, groups.where(mine).select(*own, *[F.col(c).alias(f"_{c}") for c in ("total", "expected", "mid", "spread")]), own, "left")
+        out = ranks.by_value(out, places.where(mine).select(*own, "value", F.col("below").alias("_below")), own, metric)
+        x, n, wide = F.col(metric), F.coalesce("_total", F.lit(0)), F.col("_spread")
+        powered = (n >= at_least) & x.isNotNull()
+        out = out.withColumns(
+            {
+                f"{prefix}_n": n,
+                f"{prefix}_expected": F.col("_expected"),
+                f"{prefix}_residual": x - F.col("_expected"),
+                f"{prefix}_percentile": F.when(powered, F.col("_below") / n),
+                f"{prefix}_mad": F.when(powered & (wide > 0), MAD_SCALE * (log1p_safe(x) - F.col("_mid")) / wide),
+                f"{prefix}_repeated": F.coalesce(powered & (wide == 0), F.lit(False)),
+            }
+        ).drop("_total", "_expected", "_mid", "_spread", "_below")
+    return out if spread else out.drop(*[f"{p}_{f}" for p in metrics for f in ("mad", "repeated")])
+
+
+def peer_scores(features: DataFrame, prefixes: tuple[str, ...] = tuple(METRICS), spread: bool = True) -> DataFrame:
+    """Scores of taxable value and of value per acre against the township and against the township's acreage band, vacant and improved apart. Only rows without a skip_reason() take part; those without a band have no peers in one. `prefixes` names those of METRICS that are wanted."""
+    pool = written(features.where(skip_reason().isNull()).withColumn("peer_town", F.coalesce("township", F.lit("_none"))), "pool")
+    out = robust_scores(pool, {p: METRICS[p] for p in prefixes}, spread=spread)
     no_band = [c for c in out.columns if c.startswith("band_")]
     return out.select(*[c for c in out.columns if c not in no_band], *[F.when(F.col("band").isNotNull(), F.col(c)).otherwise(F.lit(0) if c.endswith("_n") else F.lit(False) if c.endswith("_repeated") else F.lit(None)).alias(c) for c in no_band])
 
@@ -100,10 +121,14 @@ def explain(scores: DataFrame) -> DataFrame:
 
 
 def average_rank_percent(rows: DataFrame, cohorts: list[str], value: str, out: str) -> DataFrame:
-    """Percent from 0 to 100 within cohorts, ties at their average rank, a lone row at 50; -1 where the value is missing."""
-    ranked = rows.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*cohorts) if cohorts else Window.partitionBy(F.lit(1))
-    place = F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*cohorts, value)) - 1) / 2
-    n = F.count("*").over(w)
-    percent = F.when(n == 1, 50).otherwise(F.floor(100 * (place - 1) / F.nullif(n - 1, F.lit(0)) + 0.5)).cast("int")
-    return ranked.withColumn(out, percent).unionByName(rows.where(F.col(value).isNull()).withColumn(out, F.lit(-1)))
+    """Percent from 0 to 100 within cohorts, ties at their average rank, a lone row at 50; -1 where the value is missing. Worked out from counts per value, as cohorts may be few and hold all rows."""
+    places = ranks.placed(written(ranks.value_counts(rows, cohorts, value), "values"), cohorts)
+    place, total = F.col("below") + (F.col("n") - 1) / 2, F.col("total")
+    percent = F.when(total == 1, 50).otherwise(F.floor(100 * place / F.nullif(total - 1, F.lit(0)) + 0.5)).cast("int")
+    return ranks.by_value(rows, places.select(*cohorts, "value", percent.alias(out)), cohorts, value).withColumn(out, F.coalesce(out, F.lit(-1)))
+
+
+def upper_medians(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """keys and the middle value of each group, of an even number the upper of the two: not averaged."""
+    places = ranks.placed(written(ranks.value_counts(rows, keys, value), "values"), keys)
+    return ranks.middles(places, keys).select(*keys, F.col("high").alias(out))

@@ -198,7 +198,7 @@ def obs_unjoined_tax_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_r.query(f"""WITH {SCORES_SQL}, p AS (SELECT parcel_id, custkey, township, CASE WHEN band_n >= 12 THEN band_percentile WHEN town_n >= 12 THEN town_percentile END AS pct FROM scores)
     SELECT 'obs:mail_organized_peer_deviant:all' AS id, count(*)::DOUBLE AS observed FROM p WHERE custkey % 25 < 5 AND township NOT IN ('NATION_0', 'NATION_1', 'NATION_2', 'NATION_3', 'NATION_4') AND (pct <= 0.05 OR pct >= 0.95) HAVING count(*) > 0""")
 def obs_mail_organized_peer_deviant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mail_elsewhere(spark, sf_dir, scores(spark, sf_dir)).select("id", "observed")
+    return _mail_elsewhere(spark, sf_dir, scores(spark, sf_dir, "town", "band", spread=False)).select("id", "observed")
 
 
 def _mail_elsewhere(spark: SparkSession, sf_dir: str, scored: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def _mail_elsewhere(spark: SparkSession, sf_dir: str, scored: DataFrame) -> Data
 def obs_high_share_low_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a share of 2 % rather than 20 %, which no owner here has."""
     r = rows(spark, sf_dir)
-    found = obs.high_share_low_value(r, ownership.town_shares(r), scores(spark, sf_dir), min_share=0.02)
+    found = obs.high_share_low_value(r, ownership.town_shares(r), scores(spark, sf_dir, "town_vpa", spread=False), min_share=0.02)
     return found.select("id", F.col("share"), "percentile", "priority", F.size("parcels").cast("long").alias("parcels"))
 
 
@@ -233,7 +233,7 @@ def _similar_neighbours(spark: SparkSession, adjacent: DataFrame) -> DataFrame:
 
 def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets of the observations of all nine rules. Parcels, touches and scores are written once."""
-    r, t, s = written(rows(spark, sf_dir), "rows"), written(touches(spark, sf_dir), "touches"), written(scores(spark, sf_dir), "scores")
+    r, t, s = written(rows(spark, sf_dir), "rows"), written(touches(spark, sf_dir), "touches"), written(scores(spark, sf_dir, "town", "band", "town_vpa", spread=False), "scores")
     found = [
         obs.copied_acre_spread(r),
         obs.parts_above_taxable(r),

@@ -20,8 +20,8 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peers.build_features(parcels(spark, sf_dir))
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peers.peer_scores(features(spark, sf_dir))
+def scores(spark: SparkSession, sf_dir: str, *prefixes: str, spread: bool = True) -> DataFrame:
+    return peers.peer_scores(features(spark, sf_dir), prefixes or tuple(peers.METRICS), spread)
 
 
 @_r.query(f"WITH {PARCELS_SQL} SELECT parcel_id, {', '.join(_NUMBERS)}, vacant, unjoined, allocation, group_id FROM features")
@@ -41,12 +41,12 @@ def _scores_of(prefixes: tuple[str, ...]) -> list[str]:
 
 @_r.query(f"WITH {SCORES_SQL} SELECT parcel_id, {', '.join(_scores_of(('town', 'town_vpa')))} FROM scores")
 def peer_scores_township(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(spark, sf_dir).select("parcel_id", *_scores_of(("town", "town_vpa")))
+    return scores(spark, sf_dir, "town", "town_vpa").select("parcel_id", *_scores_of(("town", "town_vpa")))
 
 
 @_r.query(f"WITH {SCORES_SQL} SELECT parcel_id, {', '.join(_scores_of(('band', 'band_vpa')))} FROM scores")
 def peer_scores_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(spark, sf_dir).select("parcel_id", *_scores_of(("band", "band_vpa")))
+    return scores(spark, sf_dir, "band", "band_vpa").select("parcel_id", *_scores_of(("band", "band_vpa")))
 
 
 @_r.query(f"WITH {PARCELS_SQL} SELECT CASE WHEN unjoined THEN 'unjoined' WHEN allocation = 'copied_full_assessment' THEN allocation WHEN taxable IS NULL THEN 'no_taxable_value' ELSE 'scored' END AS reason, count(*) AS n FROM features GROUP BY 1")
@@ -63,17 +63,17 @@ def _catalogue_sql(order: str) -> str:
 
 @_r.query(_catalogue_sql("DESC"))
 def valuation_catalogue_high(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peers.catalogue(scores(spark, sf_dir), highest=True)
+    return peers.catalogue(scores(spark, sf_dir, "town", "band", spread=False), highest=True)
 
 
 @_r.query(_catalogue_sql("ASC"))
 def valuation_catalogue_low(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peers.catalogue(scores(spark, sf_dir), highest=False)
+    return peers.catalogue(scores(spark, sf_dir, "town", "band", spread=False), highest=False)
 
 
 @_r.query()
 def residual_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peers.explain(scores(spark, sf_dir))
+    return peers.explain(scores(spark, sf_dir, "town", "band", spread=False))
 
 
 _FLAGS = """flags AS (
@@ -227,12 +227,7 @@ def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_r.query(f"""WITH {POOL_SQL}, g AS (SELECT *, row_number() OVER (PARTITION BY township ORDER BY land) AS i, count(*) OVER (PARTITION BY township) AS n FROM pool) SELECT township, land AS upper_median FROM g WHERE i = n // 2 + 1""")
 def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The middle value, of an even number the upper of the two: not averaged."""
-    from pyspark.sql import Window
-
-    pool = features(spark, sf_dir).where(peers.skip_reason().isNull())
-    w = Window.partitionBy("township")
-    return pool.withColumn("i", F.row_number().over(w.orderBy("land"))).withColumn("n", F.count("*").over(w)).where("i = n div 2 + 1").select("township", F.col("land").alias("upper_median"))
+    return peers.upper_medians(features(spark, sf_dir).where(peers.skip_reason().isNull()), ["township"], "land", "upper_median")
 
 
 @_r.query(f"""WITH {PARCELS_SQL}, picks AS (
