@@ -10,6 +10,18 @@ from terrier.operators.components import connected_components
 from terrier.sources.scratch import written
 
 K = 25
+#: A first cell holds no more points than this many times k, where halving its width can bring that about.
+CROWD, HALVINGS = 8, 24
+
+
+def _first_width(places: DataFrame, width: float, k: int) -> float:
+    """The width, halved until no cell is crowded: a few points far out must not make one cell of a town."""
+    for _ in range(HALVINGS):
+        fullest = places.groupBy("part", F.floor(F.col("x") / width), F.floor(F.col("y") / width)).count().agg(F.max("count")).first()[0]
+        if fullest <= CROWD * (k + 1):
+            break
+        width /= 2 if fullest <= 4 * CROWD * (k + 1) else 4
+    return width
 
 
 def _nearest_once(asking: DataFrame, points: DataFrame, cell: float, reach: int, k: int) -> DataFrame:
@@ -32,18 +44,22 @@ def nearest(points: DataFrame, k: int = K, cell: float | None = None, part: str
 
     Points ask in their own cell of a grid and those around it. Those that can't be sure of their k nearest ask again,
     with cells twice as wide, until none is left; each round is written to the shared folder and fewer points take part.
+    The first cells are so narrow that none is crowded, and of points at one place only the first k + 1 are candidates.
     Ids must be unique. Points without coordinates have no neighbours."""
     base = written(points.where("x is not null and y is not null").select("id", "x", "y", (F.col(part) if part else F.lit(0)).alias("part")), "points")
     sizes = base.groupBy("part").agg(F.count("*").alias("n"), F.min("x").alias("w"), F.max("x").alias("e"), F.min("y").alias("s"), F.max("y").alias("t"))
+    # Of points at one place only the first k + 1 can be among anybody's k nearest.
+    here = Window.partitionBy("part", "x", "y").orderBy("id")
+    held = written(base.withColumn("turn", F.row_number().over(here)).where(F.col("turn") <= k + 1).drop("turn"), "held")
     n, span = sizes.agg(F.max("n"), F.max(F.greatest(F.col("e") - F.col("w"), F.col("t") - F.col("s")))).first()
     if not n:
         return base.select("id", F.col("id").alias("neighbour_id"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).where("false")
-    cell = cell or max(1e-9, (span or 1.0) * (k / n) ** 0.5)
+    cell = cell or _first_width(held, max(1e-9, (span or 1.0) * (k / n) ** 0.5), k)
     # A part of no more than k + 1 points is told from one whose points lie far apart.
     expected = sizes.select("part", F.least(F.col("n") - 1, F.lit(k)).alias("all"))
     asking, done = base, None
     while True:
-        found = written(_nearest_once(asking, base, cell, 1, k), "nearest")
+        found = written(_nearest_once(asking, held, cell, 1, k), "nearest")
         counts = found.groupBy("id").agg(F.count("*").alias("got"), F.max("sure").alias("sure"))
         state = asking.join(counts, "id", "left").join(expected, "part")
         settled = state.where((F.coalesce("sure", F.lit(False))) | ((F.coalesce("got", F.lit(0)) == F.col("all")) & (F.col("all") < k)))
@@ -53,7 +69,7 @@ def nearest(points: DataFrame, k: int = K, cell: float | None = None, part: str
         if asking.isEmpty():
             return done.select("id", "neighbour_id", "distance", "rank")
         if cell > 2 * (span or 1.0):  # one round over everything is sure even where no distance is
-            last = written(_nearest_once(asking, base, 4 * cell, 1, k), "nearest")
+            last = written(_nearest_once(asking, held, 4 * cell, 1, k), "nearest")
             return done.unionByName(last).select("id", "neighbour_id", "distance", "rank")
         cell *= 2
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrier.functions import geo
-from terrier.operators import linkage, ownership, peers, spatial
+from terrier.operators import linkage, ownership, peers, ranks, spatial
 from terrier.operators.components import connected_components
 
 
@@ -44,6 +44,17 @@ def test_nearest(spark, k):
         assert [got.get(i, {})[n] for n in sorted(got.get(i, {}))] == [j for _, j in near]
 
 
+def test_nearest_in_a_town_with_points_far_out_and_many_at_one_place(spark):
+    r = random.Random(9)
+    rows = [(i, r.random() * 10, r.random() * 10) for i in range(300)] + [(i, 4.0, 4.0) for i in range(300, 340)] + [(340, 1e5, -1e5), (341, -3e4, 2e4)]
+    got = {}
+    for x in spatial.nearest(spark.createDataFrame(rows, "id long, x double, y double"), k=3).collect():
+        got.setdefault(x.id, {})[x["rank"]] = x.neighbour_id
+    for i, x, y in rows:
+        near = sorted((((x - a) ** 2 + (y - b) ** 2) ** 0.5, j) for j, a, b in rows if j != i)[:3]
+        assert [got[i][n] for n in (1, 2, 3)] == [j for _, j in near]
+
+
 def test_touching(spark):
     corners = {"a": (0, 0), "b": (100, 0), "corner": (100, 100), "near": (-101.9, 0), "far": (0, -102.1), "inside": (10, 10)}
     df = spark.createDataFrame([(n, float(x), float(y)) for n, (x, y) in corners.items()], "id string, x double, y double").select("id", geo.square(F.col("x"), F.col("y"), 100.0).alias("ring"))
@@ -55,13 +66,28 @@ def test_touching(spark):
 
 def test_small_groups_are_not_scored(spark):
     rows = [("a", float(x)) for x in range(12)] + [("b", 1.0)] * 11 + [("c", 5.0)] * 12 + [("a", None)]
-    got = peers.robust_scores(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", "p").collect()
+    got = peers.robust_scores(spark.createDataFrame(rows, "g string, v double"), {"p": ("v", ["g"])}).collect()
     a, b, c = ([r for r in got if r.g == g] for g in "abc")
     assert {r.p_percentile for r in a if r.v is not None} == {i / 12 for i in range(12)} and all(r.p_n == 12 for r in a)
     assert all(r.p_percentile is None and r.p_mad is None and r.p_expected == 1 for r in b)
     assert all(r.p_mad is None and r.p_repeated and r.p_percentile == 0 for r in c)
 
 
+def test_ranks_and_medians_of_all_sorts_of_values(spark):
+    r = random.Random(5)
+    inf = float("inf")
+    values = [0.0, -1.0, -1000.0, -999.9999999, 999.9999999, 1000.0, 1e300, -1e300, 1e-300, inf, -inf, 12.5, 12.5, 12.5] + [r.uniform(-2000, 2000) for _ in range(200)] + [float(r.randrange(95, 105)) for _ in range(60)]
+    rows = [(r.choice(["a", "b", None]), v) for v in values]
+    counts = ranks.value_counts(spark.createDataFrame([*rows, ("a", None), ("c", None)], "g string, v double"), ["g"], "v")
+    places = ranks.placed(counts, ["g"])
+    for x in places.collect():
+        group = [v for g, v in rows if g == x.g]
+        assert (x.n, x.below, x.total) == (group.count(x.value), sum(v < x.value for v in group), len(group))
+    mids = {x.g: (x.low, x.high) for x in ranks.middles(places, ["g"]).collect()}
+    ordered = {g: sorted(v for h, v in rows if h == g) for g in ("a", "b", None)}
+    assert mids == {g: (v[(len(v) - 1) // 2], v[len(v) // 2]) for g, v in ordered.items()}
+
+
 def test_average_rank_percent(spark):
     rows = [(1, "x", 1.0), (2, "x", 2.0), (3, "x", 2.0), (4, "x", 3.0), (5, "y", 9.0), (6, "y", None)]
     got = {r.id: r.pct for r in peers.average_rank_percent(spark.createDataFrame(rows, "id long, c string, v double"), ["c"], "v", "pct").collect()}
