@@ -21,7 +21,8 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str, *prefixes: str, spread: bool = True) -> DataFrame:
-    return peers.peer_scores(features(spark, sf_dir), prefixes or tuple(peers.METRICS), spread)
+    needed = features(spark, sf_dir).select("parcel_id", "custkey", "township", "band", "vacant", "unjoined", "allocation", "taxable", "taxable_per_acre")
+    return peers.peer_scores(needed, prefixes or tuple(peers.METRICS), spread)
 
 
 @_r.query(f"WITH {PARCELS_SQL} SELECT parcel_id, {', '.join(_NUMBERS)}, vacant, unjoined, allocation, group_id FROM features")
