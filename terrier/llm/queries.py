@@ -10,13 +10,16 @@ from terrier.llm.chat_format import format_conversations, read_back, with_escape
 from terrier.llm.common import read_table
 from terrier.llm.exact_dedup import exact_groups
 from terrier.llm.lattice_lm import score_texts
+from terrier.llm.merkle import manifest, siblings_digest
 from terrier.llm.mixing import plan_mix
 from terrier.llm.packing import pack
 from terrier.llm.posting_ann import nearest
 from terrier.llm.quality import judge
+from terrier.llm.ranked_search import search
 from terrier.llm.secret_scan import scan_secrets, span_text
 from terrier.llm.simhash import near_duplicates
 from terrier.llm.substring_dedup import dedup_passages
+from terrier.llm.url_filter import filter_urls
 
 
 def _id(column: str = "k_id"):
@@ -80,7 +83,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(_id().alias("doc_id"), _id("keep").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_lattice_lm, op4_chat_format, op5_posting_ann, op6_secret_scan, op7_nnls_packing, op8_simhash, op9_weak_labels, op10_exact_dedup)}
+def op11_merkle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents; where 7 divides an id's crc32 the row is one character longer than it was."""
+    altered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    out = manifest(read_table(spark, sf_dir, "documents"), tampered={"n_chars": altered})
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", siblings_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rule fits each page's address, and what it says."""
+    return filter_urls(read_table(spark, sf_dir, "pages"))
+
+
+def op13_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all documents, the 50 that score highest for each benchmark item."""
+    return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_lattice_lm, op4_chat_format, op5_posting_ann, op6_secret_scan, op7_nnls_packing, op8_simhash, op9_weak_labels, op10_exact_dedup, op11_merkle_log, op12_url_automaton, op13_best_position)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": r"""
@@ -128,4 +148,81 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM n WINDOW g AS (PARTITION BY text_sha256)""",
+    "op11_merkle_log": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce('=' || lang, '') AS tree, n_chars,
+                   coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                   coalesce(strlen(text) || ':' || text, '-') AS tail,
+                   list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda c, b: list_reduce(range(8)::BIGINT[], lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295) AS crc
+            FROM documents
+        ), l AS (
+            SELECT doc_id, tree, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+                   CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) END AS altered FROM d
+        ), p AS (
+            SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l
+        ), nodes AS (
+            SELECT tree, 0 AS h, i, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM p
+            UNION ALL
+            SELECT tree, h + 1, i >> 1, sha256(string_agg(digest, '' ORDER BY i)), (any_value(n) + 1) >> 1 FROM nodes WHERE n > 1 GROUP BY tree, h, i >> 1
+        ), s AS (
+            SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i FROM nodes WHERE n = 1
+        ), tops AS (
+            SELECT 0 AS h, i, subroot AS digest, count(*) OVER () AS n FROM s
+            UNION ALL
+            SELECT h + 1, i >> 1, sha256(string_agg(digest, '' ORDER BY i)), (any_value(n) + 1) >> 1 FROM tops WHERE n > 1 GROUP BY h, i >> 1
+        ), level AS (
+            SELECT p.tree, p.doc_id, p.leaf, p.altered, p.i AS leaf_i, t.h, (t.i & 1) AS odd, b.digest AS sibling
+            FROM p JOIN nodes t ON t.tree = p.tree AND t.i = p.i >> t.h AND t.n > 1 LEFT JOIN nodes b ON b.tree = t.tree AND b.h = t.h AND b.i = xor(t.i, 1)
+            UNION ALL
+            SELECT p.tree, p.doc_id, p.leaf, p.altered, p.i, 1000 + t.h, (t.i & 1), b.digest
+            FROM p JOIN s ON s.tree = p.tree JOIN tops t ON t.i = s.i >> t.h AND t.n > 1 LEFT JOIN tops b ON b.h = t.h AND b.i = xor(t.i, 1)
+        ), ways AS (
+            SELECT tree, leaf_i, sha256(coalesce(string_agg(sibling, '' ORDER BY h), '')) AS proof_sha256,
+                   list({'odd': odd, 'sibling': sibling} ORDER BY h) AS way FROM level GROUP BY tree, leaf_i
+        ), folds AS (
+            SELECT p.tree, p.i, coalesce(p.altered, p.leaf) AS node, w.way, 1 AS k FROM p JOIN ways w ON w.tree = p.tree AND w.leaf_i = p.i
+            UNION ALL
+            SELECT tree, i, sha256(CASE WHEN way[k].odd = 1 THEN way[k].sibling || node ELSE node || coalesce(way[k].sibling, '') END), way, k + 1 FROM folds WHERE k <= len(way)
+        )
+        SELECT p.doc_id, p.leaf, s.subroot, r.digest AS root, coalesce(w.proof_sha256, sha256('')) AS proof_sha256,
+               coalesce(f.node, p.altered, p.leaf) AS folded_root, coalesce(f.node, p.altered, p.leaf) = r.digest AS verified
+        FROM p JOIN s ON s.tree = p.tree JOIN (SELECT digest FROM tops WHERE n = 1) r ON TRUE
+             LEFT JOIN ways w ON w.tree = p.tree AND w.leaf_i = p.i LEFT JOIN folds f ON f.tree = p.tree AND f.i = p.i AND f.k = len(w.way) + 1""",
+    "op12_url_automaton": r"""
+        WITH r AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN split_part(substr(url, strpos(url, '://') + 3), '#', 1) ELSE '' END AS rest FROM pages
+        ), u AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?]*([^?]*)', 1) AS path, regexp_extract(rest, '(?s)^[^?]*(.*)', 1) AS query FROM r
+        ), k AS (
+            SELECT *, CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                           WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+                           WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+                           WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+                           WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM u
+        )
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+                    WHEN regexp_matches(host || path || query, '^[^/?]*/robots[.]txt$') THEN 'allow'
+                    WHEN regexp_matches(host || path || query, '(?s)[.](zip|exe)$|/login$|/cart/|[?].*sessionid=') THEN 'block'
+                    ELSE 'allow' END AS verdict FROM k""",
+    "op13_best_position": r"""
+        WITH t AS (
+            SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+        ), f AS (
+            SELECT row, doc_id, term, count(*) AS tf FROM (SELECT row, doc_id, unnest(terms) AS term FROM t) GROUP BY ALL
+        ), s AS (
+            SELECT count_if(len(terms) > 0) AS docs, sum(len(terms))::BIGINT AS total FROM t
+        ), w AS (
+            SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term
+        ), m AS (
+            SELECT row, 50 + (50 * len(terms) * docs) // total AS m FROM t, s WHERE len(terms) > 0
+        ), q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ), x AS (
+            SELECT item_id, f.row, f.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+            FROM q JOIN f USING (term) JOIN w USING (term) JOIN m ON m.row = f.row GROUP BY ALL
+        )
+        SELECT item_id, rank::INT AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0) WHERE rank <= 50""",
 }
