@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrier.functions.lots import normalize_place
-from terrier.operators import parsers, serving
+from terrier.operators import commitments, parsers, serving
 from terrier.plans.registry import Registry
 from terrier.plans.views import table
 
@@ -20,7 +20,8 @@ def _s(c):
 
 def _documents(rows: DataFrame, key, order, text, head: str = "") -> DataFrame:
     """One document for each key: the texts of its rows in order. Keys have a bounded number of rows."""
-    each = rows.select(key.alias("doc_id"), order.alias("o"), text.alias("t")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("o", "t"))).alias("ts"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as given, so that small texts are parsed by all cores
+    each = rows.select(key.alias("doc_id"), order.alias("o"), text.alias("t")).repartition(parts, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("o", "t"))).alias("ts"))
     return each.select("doc_id", F.concat(F.lit(head), F.array_join(F.transform("ts", lambda x: x["t"]), "\n"), F.lit("\n")).alias("text"))
 
 
@@ -161,7 +162,7 @@ def _money(c):
 
 def _book(spark: SparkSession, sf_dir: str, text, layout: str = "by_name") -> DataFrame:
     k = F.col("p_partkey")
-    return parsers.parse_commitment_book(_documents(table(spark, sf_dir, "part"), F.floor(k / 15).cast("long"), k, text, _BOOK_HEAD), layout)
+    return commitments.parse_commitment_book(_documents(table(spark, sf_dir, "part"), F.floor(k / 15).cast("long"), k, text, _BOOK_HEAD), layout)
 
 
 @_r.query(f"""
@@ -180,12 +181,18 @@ def commitment_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_r.query(f"""
-    SELECT p_partkey // 15 AS doc_id, (p_partkey % 900 + 1)::VARCHAR AS account, CASE WHEN p_partkey % 4 = 3 THEN 'W/S ' || {_NAME_SQL} || ' LIMITED PARTNERSHIP' ELSE {_NAME_SQL} END AS owner,
-        ((p_size + 10) * 1000)::VARCHAR AS land, '1100' AS building, ((p_size + 10) * 1000 + 1100)::VARCHAR AS total, CASE WHEN p_partkey % 4 = 3 THEN 'row' ELSE 'header' END AS value_source, '3182.75' AS tax, '0.46' AS acres,
+    WITH p AS (
+        SELECT *, (p_size + 10) * 1000 AS land_value, p_partkey % 5 = 0 AND p_partkey % 4 <> 3 AS tail,
+               unnest(CASE WHEN p_partkey % 5 = 0 THEN ['9', '10'] ELSE ['0'] END) AS u FROM part
+    )
+    SELECT p_partkey // 15 AS doc_id, (p_partkey % 900 + 1)::VARCHAR AS account,
+        CASE WHEN p_partkey % 4 = 3 THEN 'W/S ' || {_NAME_SQL} || ' LIMITED PARTNERSHIP' ELSE {_NAME_SQL} END AS owner,
+        (land_value + CASE WHEN tail THEN 1100 ELSE 0 END)::VARCHAR AS land, CASE WHEN tail THEN '0' ELSE '1100' END AS building, (land_value + 1100)::VARCHAR AS total,
+        CASE WHEN p_partkey % 4 = 3 THEN 'row' WHEN tail THEN 'land_tail' ELSE 'header' END AS value_source, '3182.75' AS tax, '0.46' AS acres,
         CASE WHEN p_partkey % 5 = 0 THEN 'G-0' || (p_partkey % 900 + 100) || '-' || u ELSE {_LOT_SQL} END AS lot, 0.9::DOUBLE AS confidence
-    FROM (SELECT *, unnest(CASE WHEN p_partkey % 5 = 0 THEN ['9', '10'] ELSE ['0'] END) AS u FROM part)""")
+    FROM p""")
 def commitment_parse_land_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The land value in front of the account; partnerships whose name and figures go on below; lots on a grid with additions; a lot of the next page that no acres line binds."""
+    """The land value in front of the account; partnerships whose name and figures go on below; lots on a grid with additions, each of which gets the last figure as land; a lot of the next page that no acres line binds."""
     k, land = F.col("p_partkey"), (F.col("p_size") + 10) * 1000
     figures = F.concat(F.lit(" 1,100 \t0 \t"), _money(land + 1100))
     head = F.concat(_money(land), F.lit("\t"), _s(k % 900 + 1), F.lit(" "), F.when(k % 4 == 3, F.concat(F.lit("W/S "), _name(), F.lit("\nLIMITED PARTNERSHIP\n"), figures)).otherwise(F.concat(_name(), F.lit(" \t"), figures)))
@@ -194,6 +201,60 @@ def commitment_parse_land_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _book(spark, sf_dir, text).select("doc_id", "account", "owner", "land", "building", "total", "value_source", "tax", "acres", "lot", "confidence")
 
 
+_SECOND_LOT_SQL = "'7' || lpad((p_partkey % 90 + 10)::VARCHAR, 2, '0') || '-' || lpad((p_partkey // 90 % 900 + 1)::VARCHAR, 3, '0')"
+
+
+@_r.query(f"""
+    WITH p AS (
+        SELECT *, p_partkey % 6 AS way, unnest(CASE WHEN p_partkey % 6 IN (0, 1, 5) THEN [1, 2] ELSE [1] END) AS nth, (p_size + 10) * 1000 AS value FROM part
+    ), v AS (
+        SELECT *, CASE way WHEN 0 THEN value * nth WHEN 1 THEN value WHEN 2 THEN value WHEN 4 THEN value WHEN 5 THEN 4000 * nth END AS land FROM p
+    )
+    SELECT p_partkey // 15 AS doc_id, (p_partkey % 9000 + 1)::VARCHAR AS account, {_NAME_SQL} AS owner, 'PO BOX 5' AS mail,
+        land::VARCHAR AS land, CASE way WHEN 0 THEN 500 + nth WHEN 3 THEN NULL WHEN 4 THEN 900 WHEN 5 THEN 7000 ELSE 0 END::VARCHAR AS building,
+        CASE way WHEN 0 THEN land + 500 + nth WHEN 4 THEN land + 900 WHEN 5 THEN land + 7000 ELSE land END::VARCHAR AS total,
+        CASE way WHEN 0 THEN 'row' WHEN 1 THEN 'land_tail' WHEN 2 THEN 'land_tail' WHEN 3 THEN 'header' WHEN 4 THEN 'row' ELSE 'columnar' END AS value_source,
+        CASE way WHEN 0 THEN '3' || nth || '.50' WHEN 4 THEN '77.10' WHEN 5 THEN '1.25' END AS tax, CASE WHEN way IN (0, 1, 5) THEN nth || '.5' END AS acres,
+        CASE WHEN way = 0 THEN nth ELSE NULL END::DOUBLE AS soft_acres,
+        CASE WHEN way = 4 THEN 'H7-0B4-' || p_partkey WHEN nth = 1 THEN {_LOT_SQL} ELSE {_SECOND_LOT_SQL} END AS lot, CASE WHEN way = 3 THEN 0.3 ELSE 0.9 END::DOUBLE AS confidence
+    FROM v""")
+def commitment_parse_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts with lots of their own figures: a row, a tax, acres and woods for each of two lots; one header's figures over two lots, which leave each the land value; a land value at the end of a name; a total that is a zip; a lot on a square of a grid; figures one below the other for each of two lots."""
+    k, value = F.col("p_partkey"), (F.col("p_size") + 10) * 1000
+    second = F.concat(F.lit("7"), F.lpad(_s(k % 90 + 10), 2, "0"), F.lit("-"), F.lpad(_s(F.floor(k / 90).cast("long") % 900 + 1), 3, "0"))
+    head = F.concat(_s(k % 9000 + 1), F.lit(" "), _name())
+    mail = F.lit("\nPO BOX 5\n")
+    acres = lambda i: F.lit(f"Acres {i}.5\n")
+    row = lambda i: F.concat(F.lit("\n"), _money(value * i), F.lit(f"\t{500 + i}\t0\t"), _money(value * i + 500 + i), F.lit(f"\t3{i}.50\nSoft: {i} 300\n"))
+    below = lambda i: F.lit(f"\n{4 * i},000\n7,000\n{4 * i + 7},000\n{i}.25\n")
+    text = (
+        F.when(k % 6 == 0, F.concat(head, mail, acres(1), _lot(), row(1), acres(2), second, row(2)))
+        .when(k % 6 == 1, F.concat(head, F.lit(" "), _money(value), F.lit(" 300 0 "), _money(value + 300), mail, acres(1), _lot(), F.lit("\n"), acres(2), second))
+        .when(k % 6 == 2, F.concat(head, F.lit(" "), _money(value), mail, _lot()))
+        .when(k % 6 == 3, F.concat(head, F.lit(" 2,000 1,000 0 04652"), mail, _lot()))
+        .when(k % 6 == 4, F.concat(head, mail, F.lit("H7-0B4-"), _s(k), F.lit("\n"), _money(value), F.lit(" 900 0 "), _money(value + 900), F.lit(" 77.10")))
+        .otherwise(F.concat(head, mail, acres(1), _lot(), below(1), acres(2), second, below(2)))
+    )
+    columns = ("doc_id", "account", "owner", "mail", "land", "building", "total", "value_source", "tax", "acres", F.col("forest.soft_acres").alias("soft_acres"), "lot", "confidence")
+    return _book(spark, sf_dir, text).select(*columns)
+
+
+@_r.query(f"""
+    SELECT p_partkey // 15 AS doc_id, (p_partkey % 900 + 1)::VARCHAR AS account, CASE WHEN p_partkey % 4 = 3 THEN 'W/S ' || {_NAME_SQL} || ' MARKETPLACE' ELSE {_NAME_SQL} END AS owner,
+        ((p_size + 10) * 1000)::VARCHAR AS land, '1100' AS building, ((p_size + 10) * 1000 + 1100)::VARCHAR AS total, CASE WHEN p_partkey % 4 = 3 THEN 'row' ELSE 'header' END AS value_source, {_LOT_SQL} AS lot
+    FROM part WHERE NOT (p_partkey % 4 = 3 AND p_partkey % 15 IN (0, 5))""")
+def commitment_parse_partnerships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lot of a partnership stands before its header, as the last line of the account before; at the beginning of a book, and behind a page's end, there is none to take back."""
+    k, land = F.col("p_partkey"), (F.col("p_size") + 10) * 1000
+    figures = F.concat(F.lit(" 1,100 \t0 \t"), _money(land + 1100))
+    following = F.concat(F.lpad(_s((k + 1) % 90 + 10), 3, "0"), F.lit("-"), F.lpad(_s(F.floor((k + 1) / 90).cast("long") % 900 + 1), 3, "0"))
+    own = F.when(k % 4 != 3, F.concat(F.lit("\n"), _lot())).otherwise("")
+    ahead = F.when((k % 4 == 2) & (k % 15 != 14), F.concat(F.lit("\n"), following)).otherwise("")
+    head = F.when(k % 4 == 3, F.concat(F.lit("W/S "), _name(), F.lit("\nMARKETPLACE\n"), figures)).otherwise(F.concat(_name(), F.lit(" \t"), figures))
+    text = F.concat(_money(land), F.lit("\t"), _s(k % 900 + 1), F.lit(" "), head, F.lit("\nHAMPDEN ME 04444"), own, ahead, F.when(k % 15 == 4, "\n12 Page").otherwise(""))
+    return _book(spark, sf_dir, text).select("doc_id", "account", "owner", "land", "building", "total", "value_source", "lot")
+
+
 @_r.query(f"""
     SELECT p_partkey // 15 AS doc_id, (p_partkey % 9000 + 1)::VARCHAR AS account, {_NAME_SQL} AS owner, 'PO Box ' || p_size || ' Cutler ME 04626, ' || p_size || ' Cutler Road' AS mail, (p_size * 1000)::VARCHAR AS land, '1481.16' AS tax,
         lpad((p_partkey % 90 + 10)::VARCHAR, 2, '0') || '-' || lpad((p_partkey // 90 % 90 + 10)::VARCHAR, 2, '0') || '-0' AS lot FROM part""")

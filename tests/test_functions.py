@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrier.functions import geo, lots, names, owners, values
-from terrier.operators import parsers
+from terrier.operators import commitments, parsers
 
 
 @pytest.fixture
@@ -89,6 +89,6 @@ def test_parsers(spark):
     assert [(r.property_id, r.map_key, r.owner, r.allocation, r.confidence) for r in rows] == [("12", "WA001|02-5", None, "copied_full_assessment", pytest.approx(0.72))]
     assert parsers.parse_cards(docs("Map Lot 1-2 Account 7 1/2/23\nPrevious Owner\nDOE, JOHN")).count() == 0
     lined = "1 DOE, JOHN 10 20 0 30\n010-001\n5 Page\n010-002\n"
-    assert [r.lot for r in parsers.parse_commitment_book(docs(lined)).collect()] == ["010-001"]
+    assert [r.lot for r in commitments.parse_commitment_book(docs(lined)).collect()] == ["010-001"]
     assert [r[0] for r in spark.range(1).select(parsers.us_date(F.lit("13/1/2020"))).collect()] == [None]
     assert spark.range(1).select(parsers.lot_parts(F.lit("10-17"))).first()[0] == ["10-17"]
