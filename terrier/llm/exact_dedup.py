@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrier.llm.common import row_key, written
+from terrier.llm.common import fresh, row_key, written
 
 BATCHES = 3
 #: Keys in one filter, about 1.2 bytes each.
@@ -192,5 +192,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = rows.groupBy("k_id", "k_text").agg(F.max("kept").alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1").select("k_id", "k_text", "stays")
     joined = docs.join(marks, (k_id == marks.k_id) & (k_text == marks.k_text), "left").drop(marks.k_id, marks.k_text)
     alone = joined.where("stays is null").drop("stays")
-    repeated = joined.where("stays").drop("stays")
-    return alone.unionByName(repeated.dropDuplicates([id_col, text_col]))
+    # By their keys, so that a null and an empty text of one id are copies, too.
+    names = fresh(docs, "id_key", "text_key")
+    repeated = joined.where("stays").drop("stays").withColumns(dict(zip(names, (k_id, k_text))))
+    return alone.unionByName(repeated.dropDuplicates(names).drop(*names))

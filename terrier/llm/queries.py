@@ -69,7 +69,7 @@ def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 3-word shingles and their components at 2 bits."""
     out = near_duplicates(read_table(spark, sf_dir, "documents"))
-    return out.select(_id().alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), _id("root.k_id").alias("component_id"))
+    return out.select(_id().alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.when(~F.col("root.null_id"), F.col("root.k_id")).alias("component_id"))
 
 
 def op9_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

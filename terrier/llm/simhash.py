@@ -62,14 +62,14 @@ def link_prints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row per row of docs: k_id, k_text (see row_key), null_id, print (bigint), root (struct of the smallest k_id and k_text in its component).
+    """One row per row of docs: k_id, k_text (see row_key), null_id, print (bigint), root (struct of null_id, and the smallest k_id and k_text in its component).
 
-    Null and empty texts have print 0, which is linked like any other; a null id counts as the smallest. Components are
+    Null and empty texts have print 0, which is linked like any other; a row without an id is a root only where no row of its component has one. Components are
     those of the links between fingerprints that differ in at most `radius` bits. An empty table gives an empty one."""
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(*row_key(F.col(id_col), body), F.col(id_col).isNull().alias("null_id"), body.cast("binary").alias("body"))
     rows = written(texts.mapInArrow(_fingerprints(shingle), "k_id long, k_text long, null_id boolean, print long"), "prints")
-    prints = rows.groupBy("print").agg(F.min(F.struct("k_id", "k_text")).alias("root"))
+    prints = rows.groupBy("print").agg(F.min(F.struct("null_id", "k_id", "k_text")).alias("root"))
     labels = connected_components(link_prints(prints.select("print"), radius), "print", "least").withColumnRenamed("node", "print")
     labelled = prints.join(labels, "print", "left").withColumn("component", F.coalesce("component", "print"))
     roots = labelled.groupBy("component").agg(F.min("root").alias("root"))

@@ -388,3 +388,20 @@ def test_smallest_id_is_no_missing_one(spark):
     assert Counter(r.doc_id for r in scored) == Counter([-(2**63), None, 7])
     groups = exact_dedup.exact_groups(df).select(queries._id().alias("doc_id"), queries._id("keep").alias("keep_id")).collect()
     assert Counter((r.doc_id, r.keep_id) for r in groups) == Counter([(-(2**63), 7), (7, 7), (None, None)])
+
+
+def test_rows_without_an_id_share_components_with_others(spark):
+    """A component is named by the smallest id in it; one without any id has none."""
+    from terrier.llm import queries
+
+    text = "one two three four five"
+    df = spark.createDataFrame([(7, text), (None, text), (9, text), (None, "alone here with none near")], "doc_id long, text string")
+    got = simhash.near_duplicates(df).select(queries._id().alias("doc_id"), F.when(~F.col("root.null_id"), F.col("root.k_id")).alias("component_id")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(7, 7), (None, 7), (9, 7), (None, None)], key=str)
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == {7, None}
+
+
+def test_a_null_and_an_empty_text_of_one_id_are_copies(spark):
+    df = spark.createDataFrame([(5, None, 1), (5, "", 1), (4, "", 1), (6, "x", 1), (6, "x", 2)], "doc_id long, text string, id_key int")
+    left = exact_dedup.drop_copies(df)
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [5, 6]
