@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrier.functions.values import acreage_band, log1p_safe, number, per_acre
+from terrier.functions.values import acreage_band, band_label, log1p_safe, number, per_acre, round_half_up
 from terrier.operators import ranks
+from terrier.operators.spatial import nearest
 from terrier.sources.scratch import written
 
 #: Fixed values.
@@ -90,7 +91,7 @@ def preferred(*metrics: str, field: str, at_least: int = MIN_PEERS) -> Column:
 
 
 def knn_scores(features: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """features scored against their nearest peers. neighbours (parcel_id, neighbour_id): peers that are themselves scored."""
+    """features scored against their nearest peers. neighbours (parcel_id, neighbour_id): peers that are themselves scored; rows without any have none."""
     pool = features.where(skip_reason().isNull())
     peers = neighbours.join(pool.select(F.col("parcel_id").alias("neighbour_id"), F.col("taxable").alias("peer_taxable")), "neighbour_id")
     joined = pool.select("parcel_id", "vacant", "taxable").join(peers, "parcel_id", "left")
@@ -101,23 +102,58 @@ def knn_scores(features: DataFrame, neighbours: DataFrame) -> DataFrame:
     spread = F.when(F.size("logs") % 2 == 1, F.get(gaps, half)).otherwise((F.get(gaps, half - 1) + F.get(gaps, half)) / 2)
     powered = F.col("knn_n") >= MIN_PEERS
     z = MAD_SCALE * (log1p_safe(F.col("taxable")) - F.col("mid"))
-    return mid.withColumn("spread", spread).select("parcel_id", "vacant", "taxable", "knn_n", "knn_expected", (F.col("taxable") - F.col("knn_expected")).alias("knn_residual"), F.when(powered, F.col("below") / F.col("knn_n")).alias("knn_percentile"), F.when(powered & (F.col("spread") > 0), z / F.col("spread")).alias("knn_mad"))
+    return mid.withColumn("spread", spread).select(
+        "parcel_id", "vacant", "taxable", "knn_n", "knn_expected", (F.col("taxable") - F.col("knn_expected")).alias("knn_residual"), F.when(powered, F.col("below") / F.col("knn_n")).alias("knn_percentile"),
+        F.when(powered & (F.col("spread") > 0), z / F.col("spread")).alias("knn_mad"), F.coalesce(powered & (F.col("spread") == 0), F.lit(False)).alias("knn_repeated"),
+    )
+
+
+def with_nearest(scores: DataFrame, k: int = K) -> DataFrame:
+    """scores (with x and y, a place of each parcel) with the fields of knn_scores() where band and township are too thin: against the k nearest of all scored parcels of the same occupancy, whatever their township. Only thin rows ask."""
+    held = written(scores, "scores")
+    thin = (F.col("band_n") < MIN_PEERS) & (F.col("town_n") < MIN_PEERS)
+    near = nearest(held.select(F.col("parcel_id").alias("id"), "x", "y", "vacant", thin.alias("thin")), k, part="vacant", asks="thin")
+    asked = near.select(F.col("id").alias("parcel_id"), "neighbour_id")
+    peers = asked.join(held.select(F.col("parcel_id").alias("neighbour_id"), "taxable"), "neighbour_id")
+    # The peers' values and the thin rows' own are all that knn_scores() needs.
+    values = held.where(thin).select("parcel_id", "vacant", "taxable").unionByName(peers.select(F.col("neighbour_id").alias("parcel_id"), F.lit(None).cast("boolean").alias("vacant"), "taxable")).dropDuplicates(["parcel_id"])
+    scored = knn_scores(values.select("*", F.lit(False).alias("unjoined"), F.lit("single_lot").alias("allocation")), asked)
+    return held.join(scored.join(asked.select("parcel_id").distinct(), "parcel_id", "left_semi").drop("vacant", "taxable"), "parcel_id", "left")
+
+
+#: Peers in the order in which they are preferred, with what they are called.
+PREFERRED = {"band": "acreage_band", "town": "township", "knn": "knn"}
+
+
+def _preferred(scores: DataFrame, field: str) -> Column:
+    return preferred(*[p for p in PREFERRED if f"{p}_n" in scores.columns], field=field)
+
+
+def _peer_kind(scores: DataFrame) -> Column:
+    return F.coalesce(*[F.when(F.col(f"{p}_n") >= MIN_PEERS, name) for p, name in PREFERRED.items() if f"{p}_n" in scores.columns])
 
 
 def catalogue(scores: DataFrame, highest: bool, size: int = CATALOGUE) -> DataFrame:
-    """The rows with the largest (or smallest) residual against their preferred peers."""
-    pick = lambda f: preferred("band", "town", field=f)
-    rows = scores.select("parcel_id", "township", "vacant", F.col("taxable").alias("observed"), pick("expected").alias("expected"), pick("residual").alias("residual"), pick("percentile").alias("percentile"), F.when(F.col("band_n") >= MIN_PEERS, "acreage_band").when(F.col("town_n") >= MIN_PEERS, "township").alias("peer_kind"), pick("n").alias("peer_n")).where("residual is not null")
+    """The rows with the largest (or smallest) residual against their preferred peers: those of band, township or, with with_nearest(), the nearest."""
+    pick = lambda f: _preferred(scores, f)
+    rows = scores.select("parcel_id", "township", "vacant", F.col("taxable").alias("observed"), pick("expected").alias("expected"), pick("residual").alias("residual"), pick("percentile").alias("percentile"), _peer_kind(scores).alias("peer_kind"), pick("n").alias("peer_n")).where("residual is not null")
     return rows.orderBy(F.col("residual").desc() if highest else F.col("residual").asc(), "parcel_id").limit(size)
 
 
 def explain(scores: DataFrame) -> DataFrame:
     """One sentence a row on how its value stands to its preferred peers; null without any."""
-    pick = lambda f: preferred("band", "town", field=f)
-    share = F.floor(pick("percentile") * 100 + 0.5).cast("string")
-    side = F.when(pick("residual") > 0, "above").when(pick("residual") < 0, "below").otherwise("at")
-    sentence = F.concat(F.lit("Taxable value "), F.format_string("%.0f", F.col("taxable")), F.lit(" is "), side, F.lit(" the median "), F.format_string("%.0f", pick("expected")), F.lit(" of "), pick("n").cast("string"), F.lit(" peers ("), F.when(F.col("band_n") >= MIN_PEERS, "township and acreage band").otherwise("township"), F.lit("), higher than "), share, F.lit(" % of them."))
-    return scores.select("parcel_id", sentence.alias("explanation"))
+    pick = lambda f: _preferred(scores, f)
+    dollars = lambda x: F.format_string("$%,d", round_half_up(x).cast("long"))
+    kind = _peer_kind(scores)
+    peers = F.when(kind == "acreage_band", F.concat(F.lit(" acreage band "), band_label(F.col("band")))).when(kind == "knn", " (k-nearest comparable parcels)").otherwise("")
+    share = F.coalesce(F.format_string("%.1f", round_half_up(pick("percentile") * 1000) / 10), F.lit("n/a"))
+    deviation = F.when(pick("repeated"), "repeated-value class (MAD=0)").otherwise(F.coalesce(F.format_string("%.2f", round_half_up(pick("mad") * 100) / 100), F.lit("n/a")))
+    sentence = F.concat(
+        F.lit("Parcel "), F.col("parcel_id"), F.lit(" taxable value is "), dollars(F.col("taxable")), F.lit(". Expected (median of "), pick("n").cast("string"), F.when(F.col("vacant"), " vacant").otherwise(" improved"), F.lit(" parcels in "),
+        F.coalesce("township", F.lit("unknown township")), peers, F.lit(") is "), dollars(pick("expected")), F.lit(". Residual "), dollars(pick("residual")), F.lit(". Peer percentile "), share, F.lit(". MAD(log taxable) "), deviation,
+        F.lit(". This is a comparison to an appropriate peer group, not a finding of error or wrongdoing."),
+    )
+    return scores.select("parcel_id", F.when(kind.isNotNull(), sentence).alias("explanation"))
 
 
 def average_rank_percent(rows: DataFrame, cohorts: list[str], value: str, out: str) -> DataFrame:

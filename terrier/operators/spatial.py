@@ -39,25 +39,25 @@ def _nearest_once(asking: DataFrame, points: DataFrame, cell: float, reach: int,
     return top.withColumn("sure", (F.count("*").over(Window.partitionBy("id")) == k) & (F.max("distance").over(Window.partitionBy("id")) < room)).select("id", "neighbour_id", "distance", "rank", "sure")
 
 
-def nearest(points: DataFrame, k: int = K, cell: float | None = None, part: str | None = None) -> DataFrame:
-    """points (id, x, y): id, neighbour_id, distance, rank for the k nearest others (of the same `part`, if that column is given), ties to the smaller id; all others, if there are no more than k.
+def nearest(points: DataFrame, k: int = K, cell: float | None = None, part: str | None = None, asks: str | None = None) -> DataFrame:
+    """points (id, x, y): id, neighbour_id, distance, rank for the k nearest others (of the same `part`, if that column is given), ties to the smaller id; all others, if there are no more than k. With `asks`, a column of booleans, only for the points where it is true.
 
     Points ask in their own cell of a grid and those around it. Those that can't be sure of their k nearest ask again,
     with cells twice as wide, until none is left; each round is written to the shared folder and fewer points take part.
     The first cells are so narrow that none is crowded, and of points at one place only the first k + 1 are candidates.
     Ids must be unique. Points without coordinates have no neighbours."""
-    base = written(points.where("x is not null and y is not null").select("id", "x", "y", (F.col(part) if part else F.lit(0)).alias("part")), "points")
+    base = written(points.where("x is not null and y is not null").select("id", "x", "y", (F.col(part) if part else F.lit(0)).alias("part"), (F.col(asks) if asks else F.lit(True)).alias("asks")), "points")
     sizes = base.groupBy("part").agg(F.count("*").alias("n"), F.min("x").alias("w"), F.max("x").alias("e"), F.min("y").alias("s"), F.max("y").alias("t"))
     # Of points at one place only the first k + 1 can be among anybody's k nearest.
     here = Window.partitionBy("part", "x", "y").orderBy("id")
-    held = written(base.withColumn("turn", F.row_number().over(here)).where(F.col("turn") <= k + 1).drop("turn"), "held")
+    held = written(base.withColumn("turn", F.row_number().over(here)).where(F.col("turn") <= k + 1).drop("turn", "asks"), "held")
     n, span = sizes.agg(F.max("n"), F.max(F.greatest(F.col("e") - F.col("w"), F.col("t") - F.col("s")))).first()
     if not n:
         return base.select("id", F.col("id").alias("neighbour_id"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).where("false")
     cell = cell or _first_width(held, max(1e-9, (span or 1.0) * (k / n) ** 0.5), k)
     # A part of no more than k + 1 points is told from one whose points lie far apart.
     expected = sizes.select("part", F.least(F.col("n") - 1, F.lit(k)).alias("all"))
-    asking, done = base, None
+    asking, done = base.where("asks").drop("asks"), None
     while True:
         found = written(_nearest_once(asking, held, cell, 1, k), "nearest")
         counts = found.groupBy("id").agg(F.count("*").alias("got"), F.max("sure").alias("sure"))

@@ -9,7 +9,7 @@ from terrier.functions import owners as own
 from terrier.functions import values as v
 from terrier.operators import peers, serving
 from terrier.plans.registry import Registry
-from terrier.plans.views import PARCELS_SQL, POOL_SQL, SCORES_SQL, parcels
+from terrier.plans.views import NEAREST_SQL, PARCELS_SQL, POOL_SQL, SCORES_SQL, SIDE, parcels
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
@@ -55,26 +55,45 @@ def peer_skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).groupBy(F.coalesce(peers.skip_reason(), F.lit("scored")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def _nearest_scores(spark: SparkSession, sf_dir: str, spread: bool) -> DataFrame:
+    """Scores against band, township or the nearest; the parcels of one owner in 53 lie in places of their own, which are too thin."""
+    place = F.when(F.col("custkey") % 53 == 0, F.concat(F.lit("Outlying "), F.col("custkey").cast("string"))).otherwise(F.col("township"))
+    needed = features(spark, sf_dir).select("parcel_id", place.alias("township"), "band", "vacant", "unjoined", "allocation", "taxable", "taxable_per_acre", (F.col("gx") * SIDE).alias("x"), (F.col("gy") * SIDE).alias("y"))
+    return peers.with_nearest(peers.peer_scores(needed, ("town", "band"), spread))
+
+
 def _catalogue_sql(order: str) -> str:
-    pick = lambda f: f"CASE WHEN band_n >= 12 THEN band_{f} WHEN town_n >= 12 THEN town_{f} END"
-    return f"""WITH {SCORES_SQL} SELECT parcel_id, township, vacant, taxable AS observed, {pick('expected')} AS expected, {pick('residual')} AS residual, {pick('percentile')} AS percentile,
-        CASE WHEN band_n >= 12 THEN 'acreage_band' WHEN town_n >= 12 THEN 'township' END AS peer_kind, {pick('n')} AS peer_n
-        FROM scores WHERE band_n >= 12 OR town_n >= 12 ORDER BY residual {order}, parcel_id LIMIT 25"""
+    return f"WITH {NEAREST_SQL} SELECT parcel_id, township, vacant, taxable AS observed, expected, residual, percentile, peer_kind, n AS peer_n FROM best WHERE residual IS NOT NULL ORDER BY residual {order}, parcel_id LIMIT 25"
 
 
 @_r.query(_catalogue_sql("DESC"))
 def valuation_catalogue_high(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peers.catalogue(scores(spark, sf_dir, "town", "band", spread=False), highest=True)
+    return peers.catalogue(_nearest_scores(spark, sf_dir, spread=False), highest=True)
 
 
 @_r.query(_catalogue_sql("ASC"))
 def valuation_catalogue_low(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peers.catalogue(scores(spark, sf_dir, "town", "band", spread=False), highest=False)
+    return peers.catalogue(_nearest_scores(spark, sf_dir, spread=False), highest=False)
+
+
+@_r.query(f"WITH {NEAREST_SQL} SELECT parcel_id, knn_n, knn_expected, knn_residual, knn_percentile, round(knn_mad, 7) AS knn_mad, knn_repeated FROM scores WHERE knn_n IS NOT NULL")
+def thin_places_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels whose band and township are too thin, against their 25 nearest."""
+    return _nearest_scores(spark, sf_dir, spread=False).where("knn_n is not null").select("parcel_id", "knn_n", "knn_expected", "knn_residual", "knn_percentile", F.round("knn_mad", 7).alias("knn_mad"), "knn_repeated")
 
 
-@_r.query()
+@_r.query(f"""
+    WITH {NEAREST_SQL}
+    SELECT parcel_id, CASE WHEN peer_kind IS NOT NULL THEN
+        'Parcel ' || parcel_id || ' taxable value is $' || format('{{:,}}', floor(taxable + 0.5)::BIGINT) || '. Expected (median of ' || n || CASE WHEN vacant THEN ' vacant' ELSE ' improved' END || ' parcels in ' || township
+        || CASE peer_kind WHEN 'acreage_band' THEN ' acreage band ' || CASE band WHEN 'lt2' THEN '<2 ac' WHEN '2to10' THEN '2–10 ac' WHEN '10to40' THEN '10–40 ac' WHEN '40to200' THEN '40–200 ac' ELSE '≥200 ac' END
+                          WHEN 'knn' THEN ' (k-nearest comparable parcels)' ELSE '' END
+        || ') is $' || format('{{:,}}', floor(expected + 0.5)::BIGINT) || '. Residual $' || format('{{:,}}', floor(residual + 0.5)::BIGINT) || '. Peer percentile ' || coalesce(printf('%.1f', floor(percentile * 1000 + 0.5) / 10), 'n/a')
+        || '. MAD(log taxable) ' || CASE WHEN repeated THEN 'repeated-value class (MAD=0)' ELSE coalesce(printf('%.2f', floor(mad * 100 + 0.5) / 100), 'n/a') END
+        || '. This is a comparison to an appropriate peer group, not a finding of error or wrongdoing.' END AS explanation
+    FROM best""")
 def residual_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peers.explain(scores(spark, sf_dir, "town", "band", spread=False))
+    return peers.explain(_nearest_scores(spark, sf_dir, spread=True))
 
 
 _FLAGS = """flags AS (

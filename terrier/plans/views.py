@@ -119,3 +119,27 @@ SCORES_SQL = (
     + "), s3 AS (" + score_sql("s2", "township, vacant, band", "taxable", "band")
     + "), scores AS (" + score_sql("s3", "township, vacant, band", "taxable_per_acre", "band_vpa") + ")"
 )
+
+#: Scored parcels, those of some owners in places of their own that are too thin for peers, with the nearest 25 of the same occupancy for these.
+NEAREST_SQL = (
+    POOL_SQL
+    + ", outlying AS (SELECT * REPLACE (CASE WHEN custkey % 53 = 0 THEN 'Outlying ' || custkey ELSE township END AS township) FROM pool)"
+    + ", s1 AS (" + score_sql("outlying", "township, vacant", "taxable", "town")
+    + "), s2 AS (" + score_sql("s1", "township, vacant, band", "taxable", "band")
+    + """), near AS (
+        SELECT a.parcel_id, a.taxable AS own, b.taxable AS t FROM s2 a JOIN s2 b ON a.parcel_id <> b.parcel_id AND a.vacant = b.vacant
+        WHERE a.town_n < 12 AND a.band_n < 12
+        QUALIFY row_number() OVER (PARTITION BY a.parcel_id ORDER BY sqrt(power(100.0::DOUBLE * (a.gx - b.gx), 2) + power(100.0::DOUBLE * (a.gy - b.gy), 2)), b.parcel_id) <= 25
+    ), mids AS (
+        SELECT parcel_id, own, count(*) AS knn_n, median(t) AS knn_expected, own - median(t) AS knn_residual, count(*) FILTER (WHERE t < own) / count(*) AS below, median(ln(1 + greatest(0, t))) AS mid FROM near GROUP BY 1, 2
+    ), spreads AS (
+        SELECT parcel_id, median(abs(ln(1 + greatest(0, t)) - mid)) AS spread FROM near JOIN mids USING (parcel_id) GROUP BY 1
+    ), knn AS (
+        SELECT parcel_id, knn_n, knn_expected, knn_residual, CASE WHEN knn_n >= 12 THEN below END AS knn_percentile,
+               CASE WHEN knn_n >= 12 AND spread > 0 THEN 0.6745 * (ln(1 + greatest(0, own)) - mid) / spread END AS knn_mad, knn_n >= 12 AND spread = 0 AS knn_repeated
+        FROM mids JOIN spreads USING (parcel_id)
+    ), scores AS (SELECT * FROM s2 LEFT JOIN knn USING (parcel_id)), best AS (
+        SELECT *, CASE WHEN band_n >= 12 THEN 'acreage_band' WHEN town_n >= 12 THEN 'township' WHEN knn_n >= 12 THEN 'knn' END AS peer_kind, """
+    + ", ".join(f"CASE WHEN band_n >= 12 THEN band_{f} WHEN town_n >= 12 THEN town_{f} WHEN knn_n >= 12 THEN knn_{f} END AS {f}" for f in ("n", "expected", "residual", "percentile", "mad", "repeated"))
+    + " FROM scores)"
+)
