@@ -86,6 +86,33 @@ def polygon_length(rings: Column) -> Column:
     return _total(F.transform(rings, length))
 
 
+# Shapes of many parts: an array of polygons.
+
+
+def shape_area(parts: Column) -> Column:
+    """The sum of its parts'; parts of degrees must be projected first (project_shape)."""
+    return _total(F.transform(parts, polygon_area))
+
+
+def shape_box(parts: Column) -> Column:
+    return box(F.flatten(F.flatten(parts)))
+
+
+def shape_point(parts: Column) -> Column:
+    """Where a shape is shown: the mean of the corners of its first part's outer ring."""
+    return vertex_mean(parts[0][0])
+
+
+def project_shape(parts: Column) -> Column:
+    """Degrees to metres, point by point."""
+    return F.transform(parts, lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: project(p["x"], p["y"]))))
+
+
+def acres_text(acreage: Column) -> Column:
+    """To six places, without zeros at the end; null unless positive."""
+    return F.when((acreage > 0) & ~F.isnan(acreage), F.regexp_replace(F.format_string("%.6f", acreage), r"\.?0+$", ""))
+
+
 def compactness(area: Column, perimeter: Column) -> Column:
     """4 pi A / P²: 1 for a circle."""
     return F.when((area > 0) & (perimeter > 0), 4 * math.pi * area / (perimeter * perimeter))
@@ -152,6 +179,19 @@ def tile(lon: Column, lat: Column, zoom: int) -> Column:
     return F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), (n - 1 - y).cast("long").alias("tms_y"))
 
 
+def tile_range(b: Column, zoom: Column) -> Column:
+    """struct(zoom, west, north, east, south): the tiles that a box of degrees meets, within the map."""
+    n = F.pow(F.lit(2.0), zoom)
+
+    def row(lat: Column) -> Column:
+        r = F.radians(lat)
+        return F.floor((1 - F.ln(F.tan(r) + 1 / F.cos(r)) / math.pi) / 2 * n).cast("long")
+
+    column = lambda lon: F.floor((lon + 180.0) / 360.0 * n).cast("long")
+    last, zero = (n - 1).cast("long"), F.lit(0).cast("long")
+    return F.struct(zoom.alias("zoom"), F.greatest(zero, column(b["west"])).alias("west"), F.greatest(zero, row(b["north"])).alias("north"), F.least(last, column(b["east"])).alias("east"), F.least(last, row(b["south"])).alias("south"))
+
+
 def square(x: Column, y: Column, side: float) -> Column:
     """The closed ring of a square with its lower left corner at x, y."""
     corner = lambda dx, dy: F.struct((x + dx).cast("double").alias("x"), (y + dy).cast("double").alias("y"))

@@ -94,6 +94,14 @@ def log1p_safe(x: Column) -> Column:
     return F.log1p(F.greatest(F.lit(0.0), x))
 
 
+def merge_attributes(base: Column, over: Column) -> Column:
+    """Two JSON objects as one, as JSON text with its keys in order: what `over` says counts, nested values as a whole, a null too. What is no object adds nothing."""
+    entries = lambda text: F.coalesce(F.try_parse_json(text).try_cast("map<string, variant>"), F.expr("cast(map() as map<string, variant>)"))
+    a, b = entries(base), entries(over)
+    keys = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
+    return let(F.struct(a.alias("a"), b.alias("b"), keys.alias("k")), lambda s: F.to_json(F.map_from_arrays(s["k"], F.transform(s["k"], lambda k: F.when(F.map_contains_key(s["b"], k), F.try_element_at(s["b"], k)).otherwise(F.try_element_at(s["a"], k))))))
+
+
 # Exemption and cohort rules.
 
 NO_COHORT, UNIMPROVED, IMPROVED, NO_PERCENT = -1, 0, 1, -1
