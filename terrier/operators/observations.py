@@ -1,4 +1,4 @@
-"""Rules that note what stands out, packets of the evidence, and checks on what is said of it. Nothing here is a finding."""
+"""Rules that note what stands out. Nothing here is a finding."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from terrier.functions.owners import is_institution
 from terrier.operators.components import connected_components
 from terrier.operators.peers import MIN_PEERS, preferred
+from terrier.operators.ranks import keyed
+from terrier.sources.scratch import written
 
 #: The rules' thresholds.
 MIN_SHARE, MAX_PERCENTILE = 0.2, 0.1
@@ -17,20 +19,28 @@ SPREAD_LOTS, SPREAD_RATIO, SPREAD_RANGE = 2, 3, 10
 DEVIANT_LOW, DEVIANT_HIGH = 0.05, 0.95
 PARTS_RATIO, PARTS_GAP = 1.25, 1000
 TRACT_ACRES, TRACT_TOUCHES, TRACT_SHARE = 100, 3, 0.75
-PACKET_PARCELS, LONGEST_NUMBER, EXTREME = 25, 12, 0.999
-FORBIDDEN = r"(?i)\b(fraud|crime|criminal|illegal|corrupt|evade|evasion|suspicious|wrongdoer)\w*"
+PACKET_PARCELS = 25
+RELATION = "struct<type: string, source: string, target: string, score: double>"
 
 
 def _named(rule: str, key: Column, rows: DataFrame, *columns) -> DataFrame:
-    """Observations: id, type, scope, observed, priority, confidence, parcels, owners, flags; `columns` give those that differ from the defaults."""
+    """Observations: id, type, scope, observed, expected, percentile, priority, confidence, flags, owners, parcels (the first PACKET_PARCELS by id) and how many there are, relations (as many) and how many, and their highest score; `columns` give those that differ from the defaults."""
     given = {c._jc.toString().rpartition(" AS ")[2].strip("`"): c for c in columns}
-    defaults = {"observed": F.lit(None).cast("double"), "priority": F.lit("low"), "confidence": F.lit(0.5), "parcels": F.array().cast("array<string>"), "owners": F.array().cast("array<string>"), "flags": F.array().cast("array<string>")}
+    number, none = F.lit(None).cast("double"), F.array().cast("array<string>")
+    defaults = {
+        "observed": number, "expected": number, "percentile": number, "priority": F.lit("low"), "confidence": F.lit(0.5), "flags": none, "owners": none, "parcels": none, "parcel_count": F.lit(0).cast("long"),
+        "relations": F.array().cast(f"array<{RELATION}>"), "relation_count": F.lit(0).cast("long"), "top_score": number,
+    }
     rest = [c for n, c in given.items() if n not in defaults]
     return rows.select(F.concat(F.lit(f"obs:{rule}:"), key).alias("id"), F.lit(rule).alias("type"), key.alias("scope"), *[given.get(n, d).alias(n) for n, d in defaults.items()], *rest)
 
 
-def _members(column: str = "parcel_id") -> Column:
-    return F.array_sort(F.collect_set(column))
+def _members(hits: DataFrame, keys: list[str], *found, column: str = "parcel_id") -> DataFrame:
+    """A row for each group of hits (keys and `column`): how many as parcel_count, the first PACKET_PARCELS of `column` as members, and `found`. The first are picked before they meet, so a group may have any size."""
+    held = written(hits, "hits")
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(column))
+    first = held.withColumn("turn", turn).where(F.col("turn") <= PACKET_PARCELS).groupBy(*keys).agg(F.array_sort(F.collect_list(column)).alias("members"))
+    return keyed(held.groupBy(*keys).agg(F.count("*").alias("parcel_count"), *found), first, keys)
 
 
 def _around(touches: DataFrame, rows: DataFrame, counts: Column) -> DataFrame:
@@ -40,36 +50,50 @@ def _around(touches: DataFrame, rows: DataFrame, counts: Column) -> DataFrame:
     return each.select(F.col("id").alias("parcel_id"), "n", (F.col("hits") / F.col("n")).alias("share"))
 
 
+def _flags(*names: str) -> Column:
+    return F.array(*map(F.lit, names)).alias("flags")
+
+
+def _how_many() -> tuple[Column, ...]:
+    """What an observation on a number of parcels says of them."""
+    return F.col("parcel_count").cast("double").alias("observed"), F.col("parcel_count").alias("parcel_count"), F.col("members").alias("parcels")
+
+
 def copied_acre_spread(rows: DataFrame) -> DataFrame:
-    """Groups of lots with a copied value whose acres differ widely."""
+    """Groups of lots with a copied value whose acres differ widely; the first lot is related to each other one."""
     positive = F.when(F.col("acres") > 0, F.col("acres"))
-    groups = rows.where("group_id is not null").groupBy("group_id").agg(F.count("*").alias("n"), F.bool_or(F.coalesce(F.col("allocation") == "copied_full_assessment", F.lit(False))).alias("copied"), F.min(positive).alias("low"), F.max(positive).alias("high"), F.count(positive).alias("known"), _members().alias("members"))
+    groups = rows.where("group_id is not null").groupBy("group_id").agg(F.count("*").alias("n"), F.bool_or(F.coalesce(F.col("allocation") == "copied_full_assessment", F.lit(False))).alias("copied"), F.min(positive).alias("low"), F.max(positive).alias("high"), F.count(positive).alias("known"))
     hits = groups.where((F.col("n") >= SPREAD_LOTS) & F.col("copied") & (F.col("known") >= 2) & (F.col("high") / F.col("low") >= SPREAD_RATIO) & (F.col("high") - F.col("low") >= SPREAD_RANGE))
-    return _named("copied_multilot_acre_spread", F.col("group_id"), hits, (F.col("high") / F.col("low")).alias("observed"), F.lit(0.8).alias("confidence"), F.col("members").alias("parcels"), F.array(F.lit("copied_full_assessment")).alias("flags"))
+    lots = _members(rows.select("group_id", "parcel_id").join(hits.select("group_id", "low", "high"), "group_id"), ["group_id"], F.first("low").alias("low"), F.first("high").alias("high"))
+    related = F.transform(F.slice("members", 2, PACKET_PARCELS), lambda p: F.struct(F.lit("copied_assessment").alias("type"), F.col("members")[0].alias("source"), p.alias("target"), F.lit(None).cast("double").alias("score")))
+    _, *named = _how_many()
+    return _named("copied_multilot_acre_spread", F.col("group_id"), lots, (F.col("high") / F.col("low")).alias("observed"), F.lit(1.0).alias("expected"), F.lit(0.8).alias("confidence"), *named, related.alias("relations"), (F.col("parcel_count") - 1).alias("relation_count"), _flags("copied_full_assessment"))
 
 
 def parts_above_taxable(rows: DataFrame) -> DataFrame:
     """Land and building far above the taxable value although no exemption is known, by township. A taxable value of 0 or less passes any ratio."""
     gap, ratio = F.col("land_building") - F.col("taxable"), F.when(F.col("taxable") > 0, F.col("land_building") / F.col("taxable"))
     hits = rows.where(F.col("exemption").isNull() & (gap >= PARTS_GAP) & ((F.col("taxable") <= 0) | (ratio >= PARTS_RATIO)))
-    towns = hits.groupBy(F.coalesce("township", F.lit("_none")).alias("town")).agg(_members().alias("members"))
-    return _named("land_building_vs_taxable_exemption_null", F.col("town"), towns, F.size("members").cast("double").alias("observed"), F.lit(0.6).alias("confidence"), F.col("members").alias("parcels"), F.array(F.lit("exemption_null")).alias("flags"))
+    towns = _members(hits.select(F.coalesce("township", F.lit("_none")).alias("town"), "parcel_id"), ["town"])
+    return _named("land_building_vs_taxable_exemption_null", F.col("town"), towns, *_how_many(), F.lit(0.6).alias("confidence"), _flags("exemption_null"))
 
 
 def plat_holes(rows: DataFrame, touches: DataFrame) -> DataFrame:
     """Parcels without a tax record most of whose neighbours on the book's maps have one, by township."""
     around = _around(touches, rows, ~F.col("unjoined") & (F.col("family") == "wa_map"))
     hits = rows.where("unjoined").join(around, "parcel_id").where((F.col("n") >= HOLE_TOUCHES) & (F.col("share") >= HOLE_SHARE))
-    towns = hits.groupBy(F.coalesce("township", F.lit("_none")).alias("town")).agg(_members().alias("members"))
-    return _named("unjoined_plat_hole", F.col("town"), towns, F.size("members").cast("double").alias("observed"), F.lit(0.85).alias("confidence"), F.col("members").alias("parcels"), F.array(F.lit("unjoined"), F.lit("plat_join_gap")).alias("flags"))
+    towns = _members(hits.select(F.coalesce("township", F.lit("_none")).alias("town"), "parcel_id"), ["town"])
+    return _named("unjoined_plat_hole", F.col("town"), towns, *_how_many(), F.lit(0.85).alias("confidence"), _flags("unjoined", "plat_join_gap"))
 
 
 def vacant_among_improved(rows: DataFrame, touches: DataFrame) -> DataFrame:
     """Large vacant tracts most of whose neighbours are improved, by owner."""
     around = _around(touches, rows, ~F.col("vacant") & ~F.col("unjoined"))
     hits = rows.where(F.col("vacant") & (F.col("acres") >= TRACT_ACRES)).join(around, "parcel_id").where((F.col("n") >= TRACT_TOUCHES) & (F.col("share") >= TRACT_SHARE))
-    each = hits.groupBy("owner").agg(_members().alias("members"))
-    return _named("vacant_tract_among_improved", F.coalesce("owner", F.lit("_unknown")), each, F.size("members").cast("double").alias("observed"), F.when(is_institution(F.col("owner")), "suppressed").otherwise("low").alias("priority"), F.col("members").alias("parcels"), F.array_compact(F.array("owner")).alias("owners"), F.array(F.lit("vacant")).alias("flags"))
+    each = _members(hits.select("owner", "parcel_id"), ["owner"])
+    institution = is_institution(F.col("owner"))
+    flags = F.when(institution, F.array(F.lit("vacant"), F.lit("institutional_baseline"))).otherwise(F.array(F.lit("vacant")))
+    return _named("vacant_tract_among_improved", F.coalesce("owner", F.lit("_unknown")), each, *_how_many(), F.when(institution, "suppressed").otherwise("low").alias("priority"), F.array_compact(F.array("owner")).alias("owners"), flags.alias("flags"))
 
 
 def join_gaps(rows: DataFrame, touches: DataFrame) -> DataFrame:
@@ -79,68 +103,54 @@ def join_gaps(rows: DataFrame, touches: DataFrame) -> DataFrame:
     pairs = touches.select("id", "neighbour_id").join(town.select(F.col("parcel_id").alias("id"), "township"), "id").join(town.select(F.col("parcel_id").alias("neighbour_id"), F.col("township").alias("beside")), "neighbour_id").where("township != beside").select("township", "beside").distinct()
     full = rates.where(F.col("rate") >= GAP_NEIGHBOUR_RATE).select(F.col("township").alias("beside"))
     hits = rates.where(F.col("rate") <= GAP_RATE).join(pairs.join(full, "beside", "left_semi").select("township").distinct(), "township", "left_semi")
-    return _named("township_join_gap", F.col("township"), hits, F.col("rate").alias("observed"), F.lit(0.9).alias("confidence"), F.array(F.lit("unjoined"), F.lit("township_join_gap")).alias("flags")).drop("parcels").join(hits.select(F.col("township").alias("scope"), F.col("n").alias("parcels")), "scope")
+    gaps = _members(town.join(hits.select("township", "rate"), "township"), ["township"], F.first("rate").alias("rate"))
+    _, *named = _how_many()
+    return _named("township_join_gap", F.col("township"), gaps, F.col("rate").alias("observed"), *named, F.lit(0.9).alias("confidence"), _flags("unjoined", "township_join_gap"))
 
 
 def unjoined_records(rows: DataFrame, year: int) -> DataFrame:
-    """One observation on how many records have no land, if there are any."""
+    """One observation on how many records have no land, if there are any. It names none."""
     count = rows.where("unjoined").agg(F.count("*").alias("n")).where("n > 0")
-    return _named("unjoined_tax_records", F.lit(str(year)), count, F.col("n").cast("double").alias("observed"), F.lit(0.95).alias("confidence"), F.array(F.lit("unjoined_tax")).alias("flags"))
+    return _named("unjoined_tax_records", F.lit(str(year)), count, F.col("n").cast("double").alias("observed"), F.lit(0.0).alias("expected"), F.lit(0.95).alias("confidence"), _flags("unjoined_tax", "records_without_land"))
 
 
 def mail_elsewhere(scores: DataFrame, organized: DataFrame) -> DataFrame:
     """One observation on parcels outside organized townships whose mail goes to one and whose value stands out. organized (township)."""
     percentile = preferred("band", "town", field="percentile")
     away = scores.join(organized.select(F.col("township").alias("mail_town")), "mail_town", "left_semi").join(organized, "township", "left_anti")
-    count = away.where((percentile <= DEVIANT_LOW) | (percentile >= DEVIANT_HIGH)).agg(F.count("*").alias("n")).where("n > 0")
-    return _named("mail_organized_peer_deviant", F.lit("all"), count, F.col("n").cast("double").alias("observed"), F.lit(0.45).alias("confidence"), F.array(F.lit("mail_city_ne_gis_town")).alias("flags"))
+    hits = away.where((percentile <= DEVIANT_LOW) | (percentile >= DEVIANT_HIGH))
+    count = _members(hits.select(F.lit("all").alias("scope"), "parcel_id"), ["scope"])
+    return _named("mail_organized_peer_deviant", F.col("scope"), count, *_how_many(), F.lit(0.45).alias("confidence"), _flags("mail_city_ne_gis_town"))
 
 
 def high_share_low_value(rows: DataFrame, shares: DataFrame, scores: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """Owners of a large share of a township's acres whose vacant land there is worth little an acre. What it says of the metric is that of the first such parcel."""
     low = rows.where("vacant and owner is not null").select("owner", "township", "parcel_id", "ordinal").join(scores.where((F.col("town_vpa_n") >= MIN_PEERS) & (F.col("town_vpa_percentile") <= MAX_PERCENTILE)).select("parcel_id", "town_vpa_percentile"), "parcel_id")
-    each = low.groupBy("owner", "township").agg(F.min_by("town_vpa_percentile", "ordinal").alias("percentile"), _members().alias("members"))
-    hits = shares.where(F.col("acre_share") >= min_share).join(each, ["owner", "township"])
+    large = low.join(shares.where(F.col("acre_share") >= min_share).select("owner", "township", "acre_share"), ["owner", "township"])
+    hits = _members(large, ["owner", "township"], F.first("acre_share").alias("acre_share"), F.min_by("town_vpa_percentile", "ordinal").alias("first_percentile"))
     institution = is_institution(F.col("owner"))
-    return _named("high_local_share_low_vpa", F.concat_ws("~", "owner", "township"), hits, F.when(institution, "suppressed").otherwise("medium").alias("priority"), F.when(institution, 0.7).otherwise(0.5).alias("confidence"), F.col("members").alias("parcels"), F.array("owner").alias("owners"), F.when(institution, F.array(F.lit("institutional_baseline"), F.lit("vacant"))).otherwise(F.array(F.lit("vacant"))).alias("flags"), F.col("acre_share").alias("share"), F.col("percentile").alias("percentile"))
-
-
-def similar_neighbours(edges: DataFrame) -> DataFrame:
-    """Groups of owners whose names are similar and whose land touches, from edges (a, b)."""
-    groups = connected_components(edges, "a", "b").groupBy("component").agg(_members("node").alias("names"))
-    return _named("similar_name_adjacent", F.array_join("names", "~"), groups, F.lit("medium").alias("priority"), F.lit(0.55).alias("confidence"), F.col("names").alias("owners"), F.array(F.lit("similar_name_not_same_entity")).alias("flags"))
-
-
-def packets(observations: DataFrame, rows: DataFrame) -> DataFrame:
-    """Each observation with the first parcels it names, at most PACKET_PARCELS, and what is known of them."""
-    named = observations.select("id", F.posexplode(F.slice("parcels", 1, PACKET_PARCELS)).alias("at", "parcel_id"))
-    known = rows.select("parcel_id", "township", "owner", "land", "building", "taxable", "acres", "vacant")
-    held = named.join(known, "parcel_id", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "parcel_id", "township", "owner", "land", "building", "taxable", "acres", "vacant"))).alias("held"))
-    return observations.withColumnRenamed("parcels", "named").join(held, "id", "left").select("id", "type", "scope", "observed", "priority", "confidence", "owners", "flags", F.size("named").alias("parcel_count"), F.coalesce("held", F.expr("cast(array() as array<struct<at:int,parcel_id:string,township:string,owner:string,land:double,building:double,taxable:double,acres:double,vacant:boolean>>)")).alias("parcels"))
-
-
-def classify() -> Column:
-    """The first that fits: institutional, artifact of the data, ordinary for extreme scores, or unexplained."""
-    artifacts = F.array(*map(F.lit, ("copied_full_assessment", "unjoined", "unjoined_tax", "exemption_null", "plat_join_gap")))
-    return F.when(F.col("priority") == "suppressed", "institutional").when(F.arrays_overlap("flags", artifacts), "artifact").when(F.col("confidence") >= EXTREME, "ordinary").otherwise("unexplained")
-
-
-def hypotheses(packets_: DataFrame) -> DataFrame:
-    """A sentence on each packet that cites only what is in it, and the fields that are missing."""
-    names = ("land", "building", "taxable", "acres")
-    lacks = lambda n: F.exists("parcels", lambda p: p[n].isNull())
-    missing = F.array_compact(F.array(*[F.when(lacks(n), F.lit(n)) for n in names]))
-    text = F.concat(F.col("type"), F.lit(" notes "), F.col("parcel_count").cast("string"), F.lit(" parcels; observed value "), F.coalesce(F.format_string("%.4f", F.col("observed")), F.lit("none")), F.lit(". Requires review."))
-    return packets_.select("id", "parcel_count", "observed", classify().alias("class"), text.alias("text"), missing.alias("missing"))
-
-
-def validate(said: DataFrame) -> DataFrame:
-    """said (id, text, observed, parcel_count): id, text and errors: words that accuse, and numbers that aren't in the packet. Very long tokens are skipped."""
-    numbers = F.filter(F.regexp_extract_all("text", F.lit(r"(?<![\w.])\d+(?:\.\d+)?(?![\w])"), F.lit(0)), lambda t: F.length(t) <= LONGEST_NUMBER)
-    cited = F.array(F.col("parcel_count").cast("double"), F.round("observed", 4))
-    strange = F.filter(numbers, lambda t: ~F.coalesce(F.exists(cited, lambda c: F.abs(c - t.cast("double")) < 1e-4), F.lit(False)))
-    errors = F.concat(F.when(F.col("text").rlike(FORBIDDEN), F.array(F.lit("forbidden_word"))).otherwise(F.array().cast("array<string>")), F.transform(strange, lambda t: F.concat(F.lit("uncited:"), t)))
-    return said.select("id", "text", F.array_join(errors, ",").alias("errors"))
+    _, *named = _how_many()
+    return _named(
+        "high_local_share_low_vpa", F.concat_ws("~", "owner", "township"), hits, F.when(institution, "suppressed").otherwise("medium").alias("priority"), F.when(institution, 0.7).otherwise(0.5).alias("confidence"), F.array("owner").alias("owners"), *named,
+        F.when(institution, F.array(F.lit("institutional_baseline"), F.lit("vacant"))).otherwise(F.array(F.lit("vacant"))).alias("flags"), F.col("acre_share").alias("share"), F.col("first_percentile").alias("percentile"),
+    )
+
+
+def similar_neighbours(edges: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Groups of owners whose names are similar and whose land touches, from edges (a, b, score), with the edges as relations and, from rows (parcel_id, owner), the owners' parcels."""
+    held = written(edges.select("a", "b", "score"), "similar")
+    nodes = written(connected_components(held, "a", "b"), "groups")
+    groups = nodes.groupBy("component").agg(F.array_sort(F.collect_set("node")).alias("names"))
+    inside = held.join(nodes.select(F.col("node").alias("a"), "component"), "a")
+    turn = F.row_number().over(Window.partitionBy("component").orderBy("a", "b"))
+    first = inside.withColumn("turn", turn).where(F.col("turn") <= PACKET_PARCELS).groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "score"))), lambda e: F.struct(F.lit("similar_name").alias("type"), e["a"].alias("source"), e["b"].alias("target"), e["score"].alias("score"))).alias("edges"))
+    out = groups.join(inside.groupBy("component").agg(F.count("*").alias("edge_count"), F.max("score").alias("top")), "component").join(first, "component")
+    named = [F.col("edges").alias("relations"), F.col("edge_count").alias("relation_count"), F.col("top").alias("top_score")]
+    if rows is not None:
+        owned = _members(rows.select("parcel_id", F.col("owner").alias("node")).join(nodes, "node").select("component", "parcel_id"), ["component"])
+        out = out.join(owned, "component", "left")
+        named += [F.coalesce("parcel_count", F.lit(0)).cast("long").alias("parcel_count"), F.coalesce("members", F.array().cast("array<string>")).alias("parcels")]
+    return _named("similar_name_adjacent", F.array_join("names", "~"), out, F.lit("medium").alias("priority"), F.lit(0.55).alias("confidence"), F.col("names").alias("owners"), *named, _flags("similar_name_not_same_entity"))
 
 
 def newest(rows: DataFrame, key: str, date: str, ordinal: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terrier.functions import owners as own
 from terrier.operators import observations as obs
 from terrier.operators import ownership, spatial
+from terrier.operators import packets as pk
 from terrier.plans.places import OWNER_NORM_SQL, TOUCH_SQL, owned, points, touches
 from terrier.plans.registry import Registry
 from terrier.plans.scoring import scores
@@ -181,7 +182,7 @@ def obs_vacant_among_improved(spark: SparkSession, sf_dir: str) -> DataFrame:
     d AS (SELECT DISTINCT a.z AS a, b.z AS b FROM touch JOIN f a ON a.parcel_id = id JOIN f b ON b.parcel_id = neighbour_id WHERE a.z <> b.z)
     SELECT 'obs:township_join_gap:' || s.z AS id, s.k / s.n AS observed, s.n AS parcels FROM s WHERE s.k / s.n <= 0.05 AND EXISTS (SELECT 1 FROM d JOIN s o ON o.z = d.b WHERE d.a = s.z AND o.k / o.n >= 0.9)""")
 def obs_township_join_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _join_gaps(rows(spark, sf_dir), touches(spark, sf_dir)).select("id", "observed", "parcels")
+    return _join_gaps(rows(spark, sf_dir), touches(spark, sf_dir)).select("id", "observed", F.col("parcel_count").alias("parcels"))
 
 
 def _join_gaps(r: DataFrame, touching: DataFrame) -> DataFrame:
@@ -213,56 +214,70 @@ def obs_high_share_low_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a share of 2 % rather than 20 %, which no owner here has."""
     r = rows(spark, sf_dir)
     found = obs.high_share_low_value(r, ownership.town_shares(r), scores(spark, sf_dir, "town_vpa", spread=False), min_share=0.02)
-    return found.select("id", F.col("share"), "percentile", "priority", F.size("parcels").cast("long").alias("parcels"))
+    return found.select("id", F.col("share"), "percentile", "priority", F.col("parcel_count").alias("parcels"))
 
 
-@_r.query(f"""WITH RECURSIVE {PARCELS_SQL}, {TOUCH_SQL}, {ROWS_SQL}, adj AS (SELECT DISTINCT least(a.owner, b.owner) AS a, greatest(a.owner, b.owner) AS b FROM touch JOIN rows_ a ON a.parcel_id = id JOIN rows_ b ON b.parcel_id = neighbour_id WHERE a.owner <> b.owner),
-    sc AS (SELECT a, b, array_to_string(list_sort(string_split(a, ' ')), ' ') AS x, array_to_string(list_sort(string_split(b, ' ')), ' ') AS y FROM adj),
-    sj AS (SELECT a, b, jaro_similarity(x, y) AS j, (CASE WHEN substr(x,1,1)=substr(y,1,1) THEN 1 ELSE 0 END) + (CASE WHEN substr(x,1,2)=substr(y,1,2) THEN 1 ELSE 0 END) + (CASE WHEN substr(x,1,3)=substr(y,1,3) THEN 1 ELSE 0 END) + (CASE WHEN substr(x,1,4)=substr(y,1,4) THEN 1 ELSE 0 END) AS p FROM sc),
-    e AS (SELECT a, b FROM sj WHERE j + p * 0.1 * (1 - j) >= 0.92), l AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), w AS (SELECT u AS n, u AS seen FROM l UNION SELECT w.n, l.v FROM w JOIN l ON l.u = w.seen), c AS (SELECT n, min(seen) AS root FROM w GROUP BY 1)
-    SELECT 'obs:similar_name_adjacent:' || string_agg(n, '~' ORDER BY n) AS id, count(*) AS owners FROM c GROUP BY root""")
+#: Pairs of owners (a < b) with similar names whose land touches, with their score; and each owner's group.
+_SIMILAR_SQL = """adj AS (
+        SELECT DISTINCT least(a.owner, b.owner) AS a, greatest(a.owner, b.owner) AS b FROM touch JOIN rows_ a ON a.parcel_id = id JOIN rows_ b ON b.parcel_id = neighbour_id WHERE a.owner <> b.owner
+    ), sc AS (
+        SELECT a, b, array_to_string(list_sort(string_split(a, ' ')), ' ') AS x, array_to_string(list_sort(string_split(b, ' ')), ' ') AS y FROM adj
+    ), sj AS (
+        SELECT a, b, jaro_similarity(x, y) AS j, (substr(x, 1, 1) = substr(y, 1, 1))::INT + (substr(x, 1, 2) = substr(y, 1, 2))::INT + (substr(x, 1, 3) = substr(y, 1, 3))::INT + (substr(x, 1, 4) = substr(y, 1, 4))::INT AS p FROM sc
+    ), e AS (
+        SELECT a, b, j + p * 0.1 * (1 - j) AS score FROM sj WHERE j + p * 0.1 * (1 - j) >= 0.92
+    ), l AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e), w AS (SELECT u AS n, u AS seen FROM l UNION SELECT w.n, l.v FROM w JOIN l ON l.u = w.seen), c AS (SELECT n, min(seen) AS root FROM w GROUP BY 1),
+    edges AS (SELECT root, count(*) AS edges, max(score) AS top FROM e JOIN c ON c.n = e.a GROUP BY 1)"""
+
+
+@_r.query(f"""WITH RECURSIVE {PARCELS_SQL}, {TOUCH_SQL}, {ROWS_SQL}, {_SIMILAR_SQL}
+    SELECT 'obs:similar_name_adjacent:' || string_agg(n, '~' ORDER BY n) AS id, count(*) AS owners, any_value(edges) AS edges, round(any_value(top), 6) AS top_score FROM c JOIN edges USING (root) GROUP BY root""")
 def obs_similar_name_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _similar_neighbours(spark, _adjacent(spark, sf_dir)).select("id", F.size("owners").cast("long").alias("owners"))
+    return _similar_neighbours(spark, _adjacent(spark, sf_dir)).select("id", F.size("owners").cast("long").alias("owners"), F.col("relation_count").alias("edges"), F.round("top_score", 6).alias("top_score"))
 
 
-def _similar_neighbours(spark: SparkSession, adjacent: DataFrame) -> DataFrame:
+def _similar_neighbours(spark: SparkSession, adjacent: DataFrame, every: DataFrame | None = None) -> DataFrame:
     pairs = adjacent.where("oa != ob").select(F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b"))
     none = spark.createDataFrame([], "owner string, township string, mail string")
-    return obs.similar_neighbours(ownership.similar_edges(ownership.candidate_pairs(none, pairs)).where("type = 'similar_name' and adjacent"))
+    return obs.similar_neighbours(ownership.similar_edges(ownership.candidate_pairs(none, pairs)).where("type = 'similar_name' and adjacent"), every)
 
 
-def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets of the observations of all nine rules. Parcels, touches and scores are written once."""
+def _observations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The observations of all nine rules, and the parcels. Parcels, touches and scores are written once."""
     r, t, s = written(rows(spark, sf_dir), "rows"), written(touches(spark, sf_dir), "touches"), written(scores(spark, sf_dir, "town", "band", "town_vpa", spread=False), "scores")
     found = [
         obs.copied_acre_spread(r),
         obs.parts_above_taxable(r),
         obs.plat_holes(r, t),
         obs.vacant_among_improved(r, t),
-        _join_gaps(r, t).drop("parcels"),
+        _join_gaps(r, t),
         obs.unjoined_records(r, 2025),
         _mail_elsewhere(spark, sf_dir, s),
         obs.high_share_low_value(r, ownership.town_shares(r), s, min_share=0.02),
-        _similar_neighbours(spark, _owned_pairs(r, t)),
+        _similar_neighbours(spark, _owned_pairs(r, t), r),
     ]
-    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
-    return obs.packets(every.withColumn("parcels", F.coalesce("parcels", F.array().cast("array<string>"))), r)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found), r
 
 
-#: By query: the rule's name, whether its flags mark an artifact of the data, and its priority in SQL.
+def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every, r = _observations(spark, sf_dir)
+    return pk.build_packets(written(every, "observations"), r, ownership.entities(r))
+
+
+#: By query: the rule's name, what its flags make of it, and whether a row is an institution's, in SQL.
 _RULES = {
-    "obs_copied_multilot_acre_spread": ("copied_multilot_acre_spread", True, "'low'"),
-    "obs_land_building_vs_taxable": ("land_building_vs_taxable_exemption_null", True, "'low'"),
-    "obs_unjoined_plat_hole": ("unjoined_plat_hole", True, "'low'"),
-    "obs_vacant_among_improved": ("vacant_tract_among_improved", False, "priority"),
-    "obs_township_join_gap": ("township_join_gap", True, "'low'"),
-    "obs_unjoined_tax_records": ("unjoined_tax_records", True, "'low'"),
-    "obs_mail_organized_peer_deviant": ("mail_organized_peer_deviant", False, "'low'"),
-    "obs_high_share_low_value": ("high_local_share_low_vpa", False, "priority"),
-    "obs_similar_name_adjacent": ("similar_name_adjacent", False, "'medium'"),
+    "obs_copied_multilot_acre_spread": ("copied_multilot_acre_spread", "'artifact'"),
+    "obs_land_building_vs_taxable": ("land_building_vs_taxable_exemption_null", "'unexplained'"),
+    "obs_unjoined_plat_hole": ("unjoined_plat_hole", "'artifact'"),
+    "obs_vacant_among_improved": ("vacant_tract_among_improved", "CASE WHEN priority = 'suppressed' THEN 'institutional_baseline' ELSE 'unexplained' END"),
+    "obs_township_join_gap": ("township_join_gap", "'artifact'"),
+    "obs_unjoined_tax_records": ("unjoined_tax_records", "'artifact'"),
+    "obs_mail_organized_peer_deviant": ("mail_organized_peer_deviant", "'unexplained'"),
+    "obs_high_share_low_value": ("high_local_share_low_vpa", "CASE WHEN priority = 'suppressed' THEN 'institutional_baseline' ELSE 'unexplained' END"),
+    "obs_similar_name_adjacent": ("similar_name_adjacent", "CASE WHEN top_score >= 0.999 THEN 'ordinary' ELSE 'unexplained' END"),
 }
 #: A row for each observation, by the rules' own SQL.
-_EACH_SQL = " UNION ALL ".join(f"SELECT '{kind}' AS type, {artifact} AS artifact, id, {priority} AS priority FROM ({_r.sql[query]})" for query, (kind, artifact, priority) in _RULES.items())
+_EACH_SQL = " UNION ALL ".join(f"SELECT '{kind}' AS type, {class_} AS class, id FROM ({_r.sql[query]})" for query, (kind, class_) in _RULES.items())
 
 #: The parcels that each observation names, by the rules that name any.
 _NAMED_SQL = f"""SELECT 'obs:copied_multilot_acre_spread:' || f.group_id AS id, parcel_id FROM features f JOIN copied USING (group_id)
@@ -270,32 +285,65 @@ _NAMED_SQL = f"""SELECT 'obs:copied_multilot_acre_spread:' || f.group_id AS id,
     UNION ALL SELECT 'obs:unjoined_plat_hole:' || township, parcel_id FROM features JOIN around ON around.id = parcel_id WHERE unjoined AND n >= 3 AND mapped / n >= 0.75
     UNION ALL SELECT 'obs:vacant_tract_among_improved:' || coalesce(owner, '_unknown'), parcel_id FROM rows_ JOIN around ON around.id = parcel_id WHERE vacant AND acres >= 100 AND n >= 3 AND improved / n >= 0.75
     UNION ALL SELECT 'obs:high_local_share_low_vpa:' || r.owner || '~' || r.township, r.parcel_id FROM rows_ r JOIN scores s USING (parcel_id) JOIN sh ON sh.owner = r.owner AND sh.township = r.township
-              WHERE r.vacant AND s.town_vpa_n >= 12 AND s.town_vpa_percentile <= 0.1 AND share >= 0.02"""
-
-
-@_r.query(f"""WITH {SCORES_SQL}, {TOUCH_SQL}, {ROWS_SQL},
-    copied AS (SELECT group_id FROM (SELECT group_id, count(*) AS n, bool_or(coalesce(allocation = 'copied_full_assessment', FALSE)) AS c, min(acres) AS a, max(acres) AS z, count(*) FILTER (WHERE acres > 0) AS k FROM features GROUP BY 1) WHERE n >= 2 AND c AND k >= 2 AND z / a >= 3 AND z - a >= 10),
-    around AS (SELECT t.id, count(*) AS n, count(*) FILTER (WHERE f.family = 'wa_map' AND NOT f.unjoined) AS mapped, count(*) FILTER (WHERE NOT f.vacant AND NOT f.unjoined) AS improved FROM touch t LEFT JOIN features f ON f.parcel_id = t.neighbour_id GROUP BY 1),
-    tt AS (SELECT township, sum(coalesce(acres, 0)) AS ta FROM rows_ GROUP BY 1), sh AS (SELECT owner, township, sum(coalesce(acres, 0)) / any_value(ta) AS share FROM rows_ JOIN tt USING (township) WHERE owner IS NOT NULL GROUP BY 1, 2),
-    o AS ({_NAMED_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY parcel_id) AS i FROM o),
-    held AS (SELECT r.id, string_agg(r.parcel_id, ',' ORDER BY r.parcel_id) AS parcels, sum(coalesce(taxable, 0)) AS taxable, count(*) AS n FROM r JOIN features USING (parcel_id) WHERE i <= 25 GROUP BY 1)
-    SELECT e.id, coalesce(parcels, '') AS parcels, coalesce(taxable, 0.0) AS taxable, coalesce(n, 0) AS n FROM ({_EACH_SQL}) e LEFT JOIN held ON held.id = e.id""")
+              WHERE r.vacant AND s.town_vpa_n >= 12 AND s.town_vpa_percentile <= 0.1 AND share >= 0.02
+    UNION ALL SELECT g.id, parcel_id FROM ({_r.sql['obs_township_join_gap']}) g JOIN features ON g.id = 'obs:township_join_gap:Z' || (gx // 10)
+    UNION ALL SELECT 'obs:mail_organized_peer_deviant:all', parcel_id FROM (SELECT *, CASE WHEN band_n >= 12 THEN band_percentile WHEN town_n >= 12 THEN town_percentile END AS pct FROM scores)
+              WHERE custkey % 25 < 5 AND township NOT IN ('NATION_0', 'NATION_1', 'NATION_2', 'NATION_3', 'NATION_4') AND (pct <= 0.05 OR pct >= 0.95)
+    UNION ALL SELECT id, parcel_id FROM holds JOIN rows_ USING (owner) WHERE starts_with(id, 'obs:similar_name_adjacent:')"""
+
+#: The owners that each observation names.
+_HOLDS_SQL = f"""SELECT id, substr(id, 33) AS owner FROM ({_r.sql['obs_vacant_among_improved']}) WHERE id <> 'obs:vacant_tract_among_improved:_unknown'
+    UNION ALL SELECT id, split_part(substr(id, 30), '~', 1) FROM ({_r.sql['obs_high_share_low_value']})
+    UNION ALL SELECT id, unnest(string_split(substr(id, 27), '~')) FROM ({_r.sql['obs_similar_name_adjacent']})"""
+
+
+@_r.query(f"""
+    WITH RECURSIVE {SCORES_SQL}, {TOUCH_SQL}, {ROWS_SQL}, {_SIMILAR_SQL}, copied AS (
+        SELECT group_id, n FROM (SELECT group_id, count(*) AS n, bool_or(coalesce(allocation = 'copied_full_assessment', FALSE)) AS c, min(acres) AS a, max(acres) AS z, count(*) FILTER (WHERE acres > 0) AS k FROM features GROUP BY 1)
+        WHERE n >= 2 AND c AND k >= 2 AND z / a >= 3 AND z - a >= 10
+    ), around AS (
+        SELECT t.id, count(*) AS n, count(*) FILTER (WHERE f.family = 'wa_map' AND NOT f.unjoined) AS mapped, count(*) FILTER (WHERE NOT f.vacant AND NOT f.unjoined) AS improved FROM touch t LEFT JOIN features f ON f.parcel_id = t.neighbour_id GROUP BY 1
+    ), tt AS (SELECT township, sum(coalesce(acres, 0)) AS ta FROM rows_ GROUP BY 1
+    ), sh AS (SELECT owner, township, sum(coalesce(acres, 0)) / any_value(ta) AS share FROM rows_ JOIN tt USING (township) WHERE owner IS NOT NULL GROUP BY 1, 2
+    ), holds AS ({_HOLDS_SQL}), o AS ({_NAMED_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY parcel_id) AS i, count(*) OVER (PARTITION BY id) AS named FROM o
+    ), held AS (
+        SELECT r.id, string_agg(r.parcel_id, ',' ORDER BY r.parcel_id) AS parcels, sum(coalesce(taxable, 0)) AS taxable, count(*) AS n, any_value(named) AS named FROM r JOIN features USING (parcel_id) WHERE i <= 25 GROUP BY 1
+    ), firsts AS (
+        SELECT id, owner FROM holds QUALIFY row_number() OVER (PARTITION BY id ORDER BY owner) <= 25
+    ), owned AS (SELECT id, sum(k)::BIGINT AS owner_parcels FROM firsts JOIN (SELECT owner, count(*) AS k FROM rows_ GROUP BY 1) USING (owner) GROUP BY 1
+    ), related AS (
+        SELECT 'obs:copied_multilot_acre_spread:' || group_id AS id, n - 1 AS relations FROM copied UNION ALL SELECT id, edges FROM ({_r.sql['obs_similar_name_adjacent']})
+    )
+    SELECT e.id, coalesce(parcels, '') AS parcels, coalesce(taxable, 0.0) AS taxable, coalesce(n, 0) AS n, coalesce(named, 0) AS named, coalesce(owner_parcels, 0) AS owner_parcels, coalesce(relations, 0) AS relations, least(25, coalesce(relations, 0)) AS shown_relations
+    FROM ({_EACH_SQL}) e LEFT JOIN held USING (id) LEFT JOIN owned USING (id) LEFT JOIN related USING (id)""")
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packets hold: the first parcels and how many are named, what the named owners hold, and relations."""
     p = _packets(spark, sf_dir)
-    return p.select("id", F.array_join(F.transform("parcels", lambda x: x["parcel_id"]), ",").alias("parcels"), F.aggregate("parcels", F.lit(0.0), lambda s, x: s + F.coalesce(x["taxable"], F.lit(0.0))).alias("taxable"), F.size("parcels").cast("long").alias("n"))
+    total = lambda of, c, zero: F.aggregate(of, zero, lambda s, x: s + F.coalesce(x[c], zero))
+    return p.select(
+        "id", F.array_join(F.transform("parcels", lambda x: x["parcel_id"]), ",").alias("parcels"), total("parcels", "taxable", F.lit(0.0)).alias("taxable"), F.size("parcels").cast("long").alias("n"),
+        F.col("parcel_count").alias("named"), total("owners", "parcel_count", F.lit(0).cast("long")).alias("owner_parcels"), F.col("relation_count").alias("relations"), F.size("relations").cast("long").alias("shown_relations"),
+    )
 
 
-@_r.query()
+@_r.query(f"""SELECT id, way, CASE way WHEN 'accuses' THEN 'forbidden vocabulary' WHEN 'invents' THEN 'uncited number 987654321' WHEN 'foreign' THEN 'observation id mismatch' WHEN 'all' THEN 'forbidden vocabulary,uncited number 987654.5,observation id mismatch' ELSE '' END AS errors
+    FROM ({_EACH_SQL}), (SELECT unnest(['told', 'accuses', 'invents', 'foreign', 'long', 'all']) AS way) w""")
 def packet_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hypotheses on all packets, with what is wrong with them: nothing."""
-    return obs.validate(obs.hypotheses(_packets(spark, sf_dir)))
+    """What is said of each packet, as it is and made wrong in each of the ways that count; a number of more than twelve places isn't checked."""
+    p = written(_packets(spark, sf_dir), "packets")
+    ways = {"told": "", "accuses": " That is FRAUD.", "invents": " It was 987654321.", "foreign": "", "long": " See 1234567890123.", "all": " Stolen: 987654.5"}
+    each = pk.hypotheses(p).select("id", "about", "text", F.explode(F.array(*[F.struct(F.lit(w).alias("way"), F.lit(t).alias("more")) for w, t in ways.items()])).alias("w"))
+    said = each.select("id", F.when(F.col("w.way").isin("foreign", "all"), "obs:other").otherwise(F.col("about")).alias("about"), F.concat("text", F.col("w.more")).alias("text"), "w.way")
+    return pk.validate(p, said).select("id", "way", F.array_join("errors", ",").alias("errors"))
 
 
-@_r.query(f"SELECT CASE WHEN priority = 'suppressed' THEN 'institutional' WHEN artifact THEN 'artifact' ELSE 'unexplained' END AS class, count(*) AS n FROM ({_EACH_SQL}) GROUP BY 1")
+@_r.query(f"SELECT class, count(*) AS n FROM ({_EACH_SQL}) GROUP BY 1")
 def packet_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packets(spark, sf_dir).groupBy(obs.classify().alias("class")).agg(F.count("*").alias("n"))
+    every, _ = _observations(spark, sf_dir)
+    return every.groupBy(pk.classify().alias("class")).agg(F.count("*").alias("n"))
 
 
 @_r.query(f"SELECT type, count(*) AS n FROM ({_EACH_SQL}) GROUP BY 1")
 def observation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packets(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
+    every, _ = _observations(spark, sf_dir)
+    return every.groupBy("type").agg(F.count("*").alias("n"))
