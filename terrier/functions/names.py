@@ -49,5 +49,14 @@ def jaro_winkler(a: Column, b: Column, scale: float = PREFIX_SCALE) -> Column:
     return j + common_prefix(a, b) * scale * (1 - j)
 
 
+def can_reach(a: Column, b: Column, least: float, scale: float = PREFIX_SCALE) -> Column:
+    """Whether jaro_winkler() of two texts may be `least` or more, by their lengths, their common prefix and the letters of each that the other has at all: never false where it is. Columns only, so that few pairs are left to be worked out."""
+    left = lambda x, y: F.length(x) - F.length(F.call_function("translate", x, y, F.lit("")))  # noqa: E731  letters of x that y has, too
+    common = F.least(left(a, b), left(b, a))
+    bonus = common_prefix(a, b) * scale
+    needed = 3 * (least - bonus) / (1 - bonus) - 1
+    return (a == b) | ((F.length(a) > 0) & (F.length(b) > 0) & (common / F.length(a) + common / F.length(b) >= needed - 1e-9))
+
+
 def token_sorted(text: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(text, " "), lambda t: t != "")), " ")

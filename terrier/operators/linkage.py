@@ -100,3 +100,23 @@ def replace_group(old: DataFrame, new: DataFrame, column: str) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """new, and the rows of old whose key it doesn't bring."""
     return new.unionByName(old.join(new.select(key).distinct(), key, "left_anti"))
+
+
+def write_back(tax: DataFrame, matches: DataFrame) -> DataFrame:
+    """tax (tax_id) with geometry_id, the geometry of the last of its matches (tax_id, geometry_id, ordinal), null without any; matches of no tax row count for nothing."""
+    last = matches.where("tax_id is not null").groupBy("tax_id").agg(F.max_by("geometry_id", "ordinal").alias("geometry_id"))
+    return tax.drop("geometry_id").join(last, "tax_id", "left")
+
+
+def patch_stats(stats: DataFrame, rows: DataFrame, key: str, **measured: Column) -> DataFrame:
+    """stats (key, ...) with those columns that are measured anew on rows replaced; batches without rows, and columns that aren't measured, stay. Batches that stats doesn't know are left out."""
+    fresh = rows.groupBy(key).agg(*[c.alias(f"new_{n}") for n, c in measured.items()])
+    out = stats.join(fresh, key, "left")
+    return out.select(key, *[F.coalesce(f"new_{c}", c).alias(c) if c in measured else c for c in stats.columns if c != key])
+
+
+def coverage_manifest(rows: DataFrame, key: str, **tests: Column) -> DataFrame:
+    """A row for each group and one (`*`) for all: n, how many rows pass each test, and the share of them."""
+    counts = [F.count("*").alias("n"), *[F.count_if(F.coalesce(t, F.lit(False))).alias(name) for name, t in tests.items()]]
+    every = rows.withColumn(key, F.coalesce(key, F.lit("_none"))).rollup(key).agg(*counts)
+    return every.select(F.coalesce(key, F.lit("*")).alias(key), "n", *tests, *[F.round(F.col(t) / F.col("n"), 6).alias(f"{t}_rate") for t in tests]).where("n > 0")

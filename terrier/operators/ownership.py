@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrier.functions.names import jaro_winkler, token_sorted
+from terrier.functions.names import can_reach, jaro_winkler, token_sorted
 from terrier.functions.owners import AGENCIES, is_institution, owner_kind
 
 #: Fixed values.
@@ -85,7 +85,8 @@ def is_agency_variant(a: Column, b: Column) -> Column:
 
 def similar_edges(pairs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """Of candidate pairs: agency variants as possible_related, others whose names with sorted words are similar enough as similar_name; with score and flags."""
-    scored = pairs.withColumn("score", jaro_winkler(token_sorted(F.col("a")), token_sorted(F.col("b")))).withColumn("agency", is_agency_variant(F.col("a"), F.col("b")))
+    named = pairs.withColumns({"x": token_sorted(F.col("a")), "y": token_sorted(F.col("b")), "agency": is_agency_variant(F.col("a"), F.col("b"))})
+    scored = named.where(F.col("agency") | can_reach(F.col("x"), F.col("y"), threshold)).withColumn("score", jaro_winkler(F.col("x"), F.col("y"))).drop("x", "y")
     kind = F.when(F.col("agency"), "possible_related").when(F.col("score") >= threshold, "similar_name")
     return scored.withColumn("type", kind).where("type is not null").drop("agency")
 

@@ -99,6 +99,7 @@ _NAMES_SQL = """w AS (SELECT *, upper(split_part(p_name, ' ', 1)) AS w1, upper(s
     nm AS (SELECT DISTINCT * FROM (SELECT w1 || ' ' || w2 AS owner, t AS township FROM w UNION ALL SELECT w1 || ' ' || w2 || ' BGS', 'T9' FROM w WHERE p_partkey % 7 = 0 UNION ALL SELECT w2 || ' ' || w1 || 'S', t FROM w WHERE p_partkey % 5 = 0))"""
 
 
+# No SQL: DuckDB's jaro_similarity rounds halves of transpositions down, which this measure doesn't.
 @_r.query()
 def name_similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = spark.createDataFrame([], "a string, b string")
