@@ -1,7 +1,7 @@
 """Ranks and medians of large groups, from counts per value instead of whole groups in one task.
 
 A group's values are counted first, before and after the shuffle. The counts are dealt to blocks of values that share sign,
-power of ten and three leading digits; sums over blocks tell how many rows lie below each block, and running sums stay within
+power of ten and four leading digits; sums over blocks tell how many rows lie below each block, and running sums stay within
 one. A group of any size is so spread over many tasks, and a value that a third of all rows have is one row of counts."""
 
 from __future__ import annotations
@@ -13,14 +13,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: More than the block of any finite double.
-LAST_BLOCK = 1_000_000
+LAST_BLOCK = 10_000_000
+#: Digits that a block's values share, and the least power of ten that counts: what is smaller shares blocks with it.
+DIGITS, LEAST_POWER = 4, -300
 
 
 def block(value: Column) -> Column:
-    """A number that grows with the value: power of ten and three leading digits. NaN comes last, as in Spark's order."""
+    """A number that grows with the value: power of ten and leading digits. NaN comes last, as in Spark's order."""
     size = F.abs(value)
-    power = F.floor(F.log10(size))
-    of_size = (power + 400) * 1000 + F.floor(size / F.pow(F.lit(10.0), power) * 100)
+    power = F.greatest(F.floor(F.log10(size)), F.lit(LEAST_POWER))
+    of_size = (power + 400) * 10**DIGITS + F.floor(size / F.pow(F.lit(10.0), power) * 10 ** (DIGITS - 1))
     return F.when(F.isnan(value), LAST_BLOCK + 1).when(size == float("inf"), F.signum(value) * LAST_BLOCK).when(value == 0, 0).otherwise(F.signum(value) * of_size).cast("long")
 
 

@@ -77,6 +77,7 @@ def test_ranks_and_medians_of_all_sorts_of_values(spark):
     r = random.Random(5)
     inf = float("inf")
     values = [0.0, -1.0, -1000.0, -999.9999999, 999.9999999, 1000.0, 1e300, -1e300, 1e-300, inf, -inf, 12.5, 12.5, 12.5] + [r.uniform(-2000, 2000) for _ in range(200)] + [float(r.randrange(95, 105)) for _ in range(60)]
+    values += [5e-324, -5e-324, 1e-310, -1e-301, 1.7e308] + [20240000.0 + r.randrange(1300) for _ in range(200)]
     rows = [(r.choice(["a", "b", None]), v) for v in values]
     counts = ranks.value_counts(spark.createDataFrame([*rows, ("a", None), ("c", None)], "g string, v double"), ["g"], "v")
     places = ranks.placed(counts, ["g"])
