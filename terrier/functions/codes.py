@@ -51,6 +51,11 @@ def decode_tpl(code: Column, plan_lot: Column) -> Column:
     return F.when(F.nullif(code, F.lit("")).isNotNull(), let(F.upper(F.trim(code)), read))
 
 
+def map_sheet(code: Column, plan_lot: Column) -> Column:
+    """The map that a code's key begins with, or else its plat."""
+    return let(decode_tpl(code, plan_lot), lambda d: F.when(d["map_key"].isNotNull(), F.get(F.split(d["map_key"], r"\|"), F.lit(0))).otherwise(d["plat_code"]))
+
+
 def scoped_lot_key(municipality: Column, plan: Column, lot: Column) -> Column:
     return F.concat(municipality, F.lit("|"), plan_lot_key(plan, lot))
 

@@ -99,6 +99,13 @@ def agency_edges(owners: DataFrame) -> DataFrame:
     return names.join(stems, "owner").select(F.least("owner", "long").alias("a"), F.greatest("owner", "long").alias("b")).distinct()
 
 
+def adjacent_edges(pairs: DataFrame, similar: DataFrame) -> DataFrame:
+    """pairs (id, neighbour_id, oa, ob) of touching parcels and their owners, those of one owner (same_owner) and those of two with similar names (similar_name), from edges (a, b)."""
+    same = pairs.where("oa = ob").select("id", "neighbour_id", F.lit(True).alias("same_owner"), F.lit(False).alias("similar_name"))
+    across = pairs.where("oa != ob").select("id", "neighbour_id", F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b"))
+    return same.unionByName(across.join(similar.select("a", "b").distinct(), ["a", "b"]).select("id", "neighbour_id", F.lit(False).alias("same_owner"), F.lit(True).alias("similar_name")))
+
+
 def same_mail_edges(rows: DataFrame) -> DataFrame:
     each = rows.where("owner is not null and mail is not null").select("owner", "mail").distinct()
     return each.select(F.col("owner").alias("a"), "mail").join(each.select(F.col("owner").alias("b"), "mail"), "mail").where("a < b").select("a", "b", "mail")

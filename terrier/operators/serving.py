@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrier.functions.lots import normalize_place, squeeze_code
@@ -15,6 +15,9 @@ from terrier.functions.values import IMPROVED, NO_COHORT, confidence_level
 WARNINGS = (("owner_property_card", "warn"), ("parent_join", "warn"), ("low_confidence", "warn"), ("owner_without_assessment", "info"), ("acreage_discrepancy", "info"), ("missing_owner", "info"), ("likely_public_owner", "info"))
 SHORTEST_QUERY, LONGEST_QUERY, PER_TYPE, RESULTS = 2, 80, 5, 10
 #: Stops of the colour ramp in percent, with red, green and blue.
+#: Fill and line of a ramp over percentiles, and of parcels outside it.
+EXEMPT_COLOURS, NO_COLOURS = ((107, 76, 154), (61, 42, 92)), ((138, 164, 176), (74, 106, 114))
+LINE_RAMP = ((0, (2, 26, 51)), (25, (5, 48, 97)), (50, (214, 96, 77)), (75, (178, 24, 43)), (100, (59, 0, 18)))
 RAMP = ((0, (5, 48, 97)), (25, (33, 102, 172)), (50, (244, 165, 130)), (75, (214, 96, 77)), (100, (103, 0, 31)))
 
 
@@ -43,12 +46,33 @@ def homestead_visible(mode: int | None, is_homestead: Column, cohort: Column) ->
     return is_homestead if mode is None else is_homestead & (cohort == mode)
 
 
-def ramp(percent: Column) -> Column:
+def valuation_colours(percent: Column, exempt: Column) -> Column:
+    """struct(fill, line) of structs r, g, b: those of exempt parcels, of parcels without a rank, or on the ramp."""
+
+    def colour(i: int, stops: tuple) -> Column:
+        fixed = lambda c: F.struct(*[F.lit(x).cast("int").alias(n) for n, x in zip("rgb", c[i], strict=True)])
+        return F.when(F.coalesce(exempt, F.lit(False)), fixed(EXEMPT_COLOURS)).when(percent.isNull() | (percent < 0), fixed(NO_COLOURS)).otherwise(ramp(percent, stops))
+
+    return F.struct(colour(0, RAMP).alias("fill"), colour(1, LINE_RAMP).alias("line"))
+
+
+def representatives(rows: DataFrame, tests: dict[str, Column], ordinal: str, key: str, size: int) -> DataFrame:
+    """(label, key): the first row by ordinal that each test holds for, and then, labelled by their keys, the first rows that aren't picked, until there are `size`. Tests are worked out in one pass; no more than size and the number of tests are ever sorted out."""
+    firsts = rows.agg(*[F.min_by(key, F.when(F.coalesce(t, F.lit(False)), F.col(ordinal))).alias(name) for name, t in tests.items()])
+    picked = firsts.unpivot([], list(tests), "label", key).where(F.col(key).isNotNull())
+    more = rows.select(key, ordinal).orderBy(ordinal).limit(size + len(tests))
+    left = more.join(picked.select(key).distinct(), key, "left_anti").withColumn("turn", F.row_number().over(Window.orderBy(ordinal)))
+    # One row with the number of labels, beside at most size + len(tests) rows.
+    filled = left.crossJoin(F.broadcast(picked.agg(F.count("*").alias("labels")))).where(F.col("turn") + F.col("labels") <= size)
+    return picked.unionByName(filled.select(F.col(key).alias("label"), key))
+
+
+def ramp(percent: Column, stops: tuple = RAMP) -> Column:
     """struct(r, g, b) on the piecewise-linear ramp; null below 0."""
 
     def channel(i: int) -> Column:
         out = F.when(percent < 0, None)
-        for (low, a), (high, b) in zip(RAMP, RAMP[1:], strict=False):
+        for (low, a), (high, b) in zip(stops, stops[1:], strict=False):
             out = out.when(percent <= high, a[i] + (b[i] - a[i]) * (percent - low) / float(high - low))
         return F.floor(out + 0.5).cast("int")
 

@@ -87,6 +87,11 @@ def touching(shapes: DataFrame, snap: float = geo.SNAP, cell: float = geo.CELL)
     return near.unionByName(near.select(F.col("neighbour_id").alias("id"), F.col("id").alias("neighbour_id"), "distance"))
 
 
+def touch_lists(touches: DataFrame) -> DataFrame:
+    """id and its neighbours as structs (distance, neighbour_id), the nearest first, of equal ones by id. A parcel's neighbours are as many as touch it."""
+    return touches.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour_id"))).alias("neighbours"))
+
+
 def can_lag() -> Column:
     """Whether a feature counts in its neighbours' lags."""
     return ~F.col("unjoined") & (F.coalesce("allocation", F.lit("")) != "copied_full_assessment") & F.col("taxable").isNotNull()

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrier.plans import codes, linkage, lookups, owners, places, scoring, shapes, texts
+from terrier.plans import codes, linkage, lookups, owners, places, scoring, shapes, shown, texts
 
-_PARTS = (scoring, places, owners, linkage, texts, codes, shapes, lookups)
+_PARTS = (scoring, places, owners, linkage, texts, codes, shapes, lookups, shown)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
 
