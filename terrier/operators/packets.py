@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrier.functions.values import let
 from terrier.operators.observations import PACKET_PARCELS
 
-#: Flags that mark an artifact of the data; the score from which similar names are ordinary; words that accuse; tokens that are too long to be checked.
+#: Flags that mark an artifact of the data; the score from which similar names are ordinary; words that accuse; what counts as a number; tokens that are too long to be checked.
 ARTIFACTS = ("plat_join_gap", "township_join_gap", "copied_full_assessment", "unjoined_tax", "records_without_land")
 INSTITUTIONAL, EXTREME, LONGEST_NUMBER = "institutional_baseline", 0.999, 12
 FORBIDDEN = r"(?i)\b(fraud|evasion|illegal|crime|criminal|steal|stolen|launder|tax.?cheat)\b"

@@ -141,7 +141,7 @@ def catalogue(scores: DataFrame, highest: bool, size: int = CATALOGUE) -> DataFr
 
 
 def explain(scores: DataFrame) -> DataFrame:
-    """One sentence a row on how its value stands to its preferred peers; null without any."""
+    """What is told of each row's value and its preferred peers, in a fixed wording; null without any."""
     pick = lambda f: _preferred(scores, f)
     dollars = lambda x: F.format_string("$%,d", round_half_up(x).cast("long"))
     kind = _peer_kind(scores)
