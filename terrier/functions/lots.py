@@ -75,8 +75,9 @@ def lot_candidates(raw: Column) -> Column:
     return F.coalesce(let(normalize_lot(raw), lambda c: F.when(c.isNotNull(), ladder(c))), F.array().cast("array<string>"))
 
 
-def lot_key(geocode: Column, lot: Column) -> Column:
-    return F.upper(F.concat(geocode, F.lit("|"), normalize_lot(lot)))
+def lot_key(geocode: Column, candidate: Column) -> Column:
+    """The key of one of a lot's candidates, as it stands: cutting another -000 off would take lot 000 of a map for the map, under which all its lots are filed."""
+    return F.upper(F.concat(geocode, F.lit("|"), candidate))
 
 
 def is_suffix_parent(geometry: Column, tax: Column) -> Column:
