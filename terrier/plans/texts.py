@@ -88,14 +88,14 @@ def ut_block_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         '1234.5' AS acres, c_name AS owner
     FROM (SELECT *, unnest(CASE WHEN c_custkey % 5 = 0 THEN ['-'] WHEN c_custkey % 3 = 0 THEN ['1', '2.1'] ELSE ['7'] END) AS u FROM customer WHERE c_custkey >= 30)""")
 def map_index_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans of one digit and of three; a line in eleven is followed by one whose id is of another county."""
+    """Plans of one digit and of three; a line in eleven is followed by one whose id is of another county. The county's ids go on from 298,500,000 to 399,999,999, those of the other county lie below 298,000,000."""
     k = F.col("c_custkey")
     head = F.when(k % 10 == 0, F.concat(F.lit("Map/Lot # Owner\nSection "), _s(F.floor(k / 10).cast("long")), F.lit(" Township, Washington\nAcreage\n"))).otherwise("")
     place = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(" Plan "), F.when(k % 4 == 0, "12").otherwise(""), _s(k % 7), F.lit(" Lot "), F.when(k % 3 == 0, "1 2.1").otherwise("7")))
-    other = F.when(k % 11 == 0, F.concat(F.lit("\nMap WA001 Plan 1 Lot 1 "), _s(300500000 + k), F.lit(" 5 NOBODY"))).otherwise("")
+    other = F.when(k % 11 == 0, F.concat(F.lit("\nMap WA001 Plan 1 Lot 1 "), _s(100500000 + k), F.lit(" 5 NOBODY"))).otherwise("")
     text = F.concat(head, F.lit("Map WA"), F.lpad(_s(k % 50), 3, "0"), place, F.lit(" "), _s(298500000 + k), F.when(k % 2 == 0, "P").otherwise(""), F.lit("\t1,234.5 "), F.col("c_name"), other)
     docs = _documents(table(spark, sf_dir, "customer").where(F.floor(k / 30) > 0), F.floor(k / 30).cast("long"), k, text)
-    return parsers.parse_map_index(docs).select("doc_id", "division", "property_id", "map_key", "acres", "owner")
+    return parsers.parse_map_index(docs, r"29[89]\d{6}|3\d{8}").select("doc_id", "division", "property_id", "map_key", "acres", "owner")
 
 
 @_r.query(f"""SELECT p_partkey AS doc_id, lpad((p_size)::VARCHAR, 3, '0') || '-' || lpad((p_partkey % 900 + 1)::VARCHAR, 3, '0') AS lot, (p_partkey % 9999 + 1)::VARCHAR AS account, {_NAME_SQL} AS owner, '2023-0' || (p_size % 9 + 1) || '-12' AS as_of FROM part WHERE p_partkey % 6 <> 0""")
