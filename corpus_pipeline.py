@@ -24,7 +24,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, whose five-word shingles have a Jaccard similarity of 0.8 or more, the one with the smallest id."""
+    """Of each group of near copies, whose five-word shingles have a Jaccard similarity of 0.8 or more, the one with the smallest id: operator 8's balls of fingerprints come first, each link verified, then bands."""
     return drop_near_copies(docs)
 
 

@@ -1,6 +1,8 @@
-"""Near-dedup by the Jaccard similarity of five-word shingles: min-hash bands find pairs, exact similarity decides.
+"""Near-dedup by SimHash balls over five-word shingles, verified by exact Jaccard similarity, with min-hash bands for what lies outside a ball.
 
-Texts with the same set of shingles are one node. A node has BANDS keys, each of BAND_ROWS minima of its shingles under
+Texts with the same set of shingles are one node. A node has the SimHash fingerprint of its set; fingerprints that operator 8's
+ball hashing links (at most 2 bits apart) make the first pairs, and those whose sets are similar enough are connected. Five-word
+sets of similarity 0.8 mostly lie some ten bits apart, so bands bring the rest: a node has BANDS keys, each of BAND_ROWS minima of its shingles under
 random permutations; nodes that agree in a key share a bucket. A pair of similarity s shares none with probability
 (1 - s ** BAND_ROWS) ** BANDS, which is 7e-5 at 0.8 and less above. Every pair of a bucket whose nodes are not connected
 yet is compared in rounds: by a bound on the similarity that small bitmaps of the sets give, by the same from large ones, and by
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrier.llm.common import drop_written, row_key, written
+from terrier.llm.simhash import link_prints, majority
 from terrier.operators.components import connected_components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -81,7 +84,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(x.as_py() or b"") for x in batch.column("body")]
         keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("k_id"), batch.column("k_text"), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), keys, pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))], ["k_id", "k_text", "node", "size", "keys", "bits"])
+        prints = pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("k_id"), batch.column("k_text"), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), prints, keys, pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))], ["k_id", "k_text", "node", "size", "print", "keys", "bits"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,6 +95,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in sets], pa.int32()), pa.array(wide, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["node", "size", "wide", "shingles"])
 
 
+def ball_pairs(prints: DataFrame) -> DataFrame:
+    """prints (node, print): pairs (a, b) of nodes to verify, one or two a node and ball: each node with the least one of its fingerprint, and the least ones of fingerprints that ball hashing links."""
+    heads = prints.groupBy("print").agg(F.min("node").alias("head"))
+    same = prints.join(heads, "print").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    ends = heads.select(F.col("print").alias("least"), F.col("head").alias("other"))
+    across = link_prints(heads.select("print")).join(heads, "print").join(ends, "least").select(F.least("head", "other").alias("a"), F.greatest("head", "other").alias("b"))
+    return same.unionByName(across).distinct()
+
+
 def _may_be_similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """Those of pairs (a, b) that the bound from large bitmaps doesn't rule out. A bitmap is a few hundred bytes where a set may have many thousand, so most pairs go without their sets being sent for."""
     a, b = (sets.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("wide").alias(f"{n}_wide")) for n in ("a", "b"))
@@ -116,37 +129,36 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives an empty one."""
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(*row_key(F.col(id_col), body), body.cast("binary").alias("body"))
-    rows = written(texts.mapInArrow(_signed, "k_id long, k_text long, node long, size int, keys array<long>, bits array<long>"), "signed")
+    rows = written(texts.mapInArrow(_signed, "k_id long, k_text long, node long, size int, print long, keys array<long>, bits array<long>"), "signed")
     nodes = rows.groupBy("node").agg(F.min(F.struct("k_id", "k_text")).alias("root"))
 
     each = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("bits").alias("bits")).select("node", "size", *[F.col("bits")[i].alias(f"w{i}") for i in range(BITMAP)], F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node"))
     met = written(each.join(shared, "key").withColumn("turn", turn), "met")
-    firsts = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "root.k_id", "root.k_text")
+    balls = written(ball_pairs(rows.where("size > 0").groupBy("node").agg(F.first("print").alias("print"))), "balls")
+    asked = met.select("node").union(balls.select("a")).union(balls.select("b")).distinct()
+    firsts = nodes.join(asked, "node", "left_semi").select("node", "root.k_id", "root.k_text")
     sets = written(texts.join(firsts, ["k_id", "k_text"]).select("node", "body").dropDuplicates(["node"]).mapInArrow(_sets, "node long, size int, wide array<long>, shingles array<long>"), "sets")
 
-    links, labels, done, most = None, None, 0, met.agg(F.max("turn")).first()[0] or 0
+    links = written(_similar(balls, sets, similar), "similar")
+    labels, done, most = written(connected_components(links, "a", "b"), "labels"), 0, met.agg(F.max("turn")).first()[0] or 0
     while done < most - 1:
         upto = done * GROWTH or 1
-        named = met.withColumn("component", F.col("node")) if labels is None else met.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = met.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         # What is in one component already is not compared, so a bucket in one piece drops out.
         open_ = named.join(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key"), "key")
-        if labels is not None and not open_.limit(1).count():
+        if not open_.limit(1).count():
             break
         leaders = open_.where((F.col("turn") > done) & (F.col("turn") <= upto)).select("key", F.col("node").alias("leader"), F.col("size").alias("leader_size"), F.col("turn").alias("leader_turn"), F.col("component").alias("of"), *[F.col(f"w{i}").alias(f"leader_w{i}") for i in range(BITMAP)])
         words, others = ([F.col(f"{side}w{i}") for i in range(BITMAP)] for side in ("", "leader_"))
         fit = _at_most(F.col("size"), words, F.col("leader_size"), others) >= similar - 1e-9
         across = open_.join(leaders, "key").where((F.col("turn") > F.col("leader_turn")) & (F.col("component") != F.col("of")) & fit)
         pairs = across.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        found = written(_similar(pairs, sets, similar), "similar")
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(written(_similar(pairs, sets, similar), "similar"))
         old, labels = labels, written(connected_components(links, "a", "b"), "labels")
-        if old is not None:
-            drop_written(docs.sparkSession, old)
+        drop_written(docs.sparkSession, old)
         done = upto
-    if labels is None:
-        return rows.join(nodes, "node").select("k_id", "k_text", "node", "root")
     labelled = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     roots = labelled.groupBy("component").agg(F.min("root").alias("root"))
     of_node = labelled.select("node", "component").join(roots, "component").select("node", "root")

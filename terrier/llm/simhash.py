@@ -33,7 +33,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
         return 0
     shingles = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
     join = b" ".join
-    hashes = np.array([xxh64_intdigest(join(s), seed) for s in shingles], np.uint64)
+    return majority(np.array([xxh64_intdigest(join(s), seed) for s in shingles], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
