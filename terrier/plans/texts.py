@@ -18,6 +18,11 @@ def _s(c):
     return c.cast("string")
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over as many parts as shuffles have: a small file is one task, however long its texts take to parse."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _documents(rows: DataFrame, key, order, text, head: str = "") -> DataFrame:
     """One document for each key: the texts of its rows in order. Keys have a bounded number of rows."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as given, so that small texts are parsed by all cores
@@ -103,7 +108,7 @@ def card_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A card in six has its owner after a line that ends the owner's."""
     k, size = F.col("p_partkey"), F.col("p_size")
     text = F.concat(F.lit("Sale Data\nMap Lot \t"), F.lpad(_s(size), 3, "0"), F.lit("-"), F.lpad(_s(k % 900 + 1), 3, "0"), F.lit("-000 \tAccount \t"), _s(k % 9999 + 1), F.lit(" \tLocation \tCard \t1 \tOf \t1 \t"), _s(size % 9 + 1), F.lit("/12/2023\n"), F.when(k % 6 == 0, "Previous Owner\n").otherwise("12 HIGH ST\n"), _name(), F.lit("\nDANFORTH ME 04424\nSMITH, OTHER\n"))
-    return parsers.parse_cards(table(spark, sf_dir, "part").select(k.alias("doc_id"), text.alias("text"))).select("doc_id", "lot", "account", "owner", "as_of")
+    return parsers.parse_cards(_spread(table(spark, sf_dir, "part"), "p_partkey").select(k.alias("doc_id"), text.alias("text"))).select("doc_id", "lot", "account", "owner", "as_of")
 
 
 @_r.query(f"""
@@ -137,7 +142,7 @@ def transfer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     bold = F.concat(F.lit("\n3. GRANTEE/PURCHASER\n**"), _name(), F.lit("**\n**OTHER, ANN**\n**FEDERAL ID**\n4. GRANTOR/SELLER\n**BOLD, SUE**\n5. PROPERTY\n5a. Map\n**"), _s(size), F.lit("**\nBlock\nLot\n**"), _s(k % 900), F.lit("**\nSub-lot\n"))
     inline = F.concat(F.lit("\n3. GRANTEE/PURCHASER Last name, first name, MI; or business name "), _name(), F.lit("\n4. GRANTOR/SELLER Last name, first name, MI; or business name SELLER, SAM\n5. PROPERTY Tax Map Block Lot Sub-lot Tax maps exist "), _s(size), F.lit(" 0 "), _s(k % 900), F.lit(" 0 for property: No\n"))
     text = F.concat(head, F.when(k % 4 == 2, bold).when(k % 4 == 3, inline).otherwise(below), date, F.lit("6. CURRENT USE none of these classifications apply to the property that is described in this declaration\n"))
-    return parsers.parse_transfers(table(spark, sf_dir, "part").select(k.alias("doc_id"), text.alias("text")), "Elmtown").drop("at")
+    return parsers.parse_transfers(_spread(table(spark, sf_dir, "part"), "p_partkey").select(k.alias("doc_id"), text.alias("text")), "Elmtown").drop("at")
 
 
 @_r.query("""SELECT p_partkey AS id, p_size::DOUBLE AS soft_acres, (p_size * 1000)::DOUBLE AS soft_value, CASE WHEN p_partkey % 2 = 0 THEN 2.5 END::DOUBLE AS mixed_acres, CASE WHEN p_partkey % 2 = 0 THEN 300 END::DOUBLE AS mixed_value, 0.0::DOUBLE AS hard_acres, 0.0::DOUBLE AS hard_value FROM part""")
