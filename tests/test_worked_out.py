@@ -1,10 +1,10 @@
 """Columns that a filter reads after them are worked out once a row."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from terrier.functions.values import worked_out
-from terrier.plans import texts
+from terrier.operators import spatial
+from terrier.plans import places
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,8 +15,22 @@ def test_worked_out_is_not_copied_into_readers(spark):
     assert plan.count("only-here-") == 1
 
 
-@pytest.mark.parametrize("name, pattern", [("card_parse", "Map Lot"), ("transfer_parse", "DATE OF TRANSFER")])
-def test_parsers_look_for_a_label_once(spark, name, pattern):
-    """What is looked for stood in the plan once for each column and filter that read what was found; the text itself has it too."""
-    plan = texts.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count(pattern) <= 8 and "RepartitionByExpression" in plan
+def test_touches_are_measured_once(spark):
+    """Each pair's distance was worked out for the filter, for the column, and again for the other way round."""
+    plan = places.touches(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_nearest_makes_no_row_of_a_pair_in_its_first_round(spark, monkeypatch):
+    """An even lattice is sure of its nearest at once, without the join that makes pairs."""
+    monkeypatch.setattr(spatial, "_nearest_once", None)
+    points = spark.range(2500).select("id", (F.col("id") % 50 + F.rand(1) / 9).alias("x"), (F.floor(F.col("id") / 50) + F.rand(2) / 9).alias("y")).cache()
+    rows = {x.id: (x.x, x.y) for x in points.collect()}
+    inside = points.withColumn("asks", F.col("x").between(10, 40) & F.col("y").between(10, 40))
+    got = {}
+    for x in spatial.nearest(inside, k=5, asks="asks").collect():
+        got.setdefault(x.id, {})[x.rank] = x.neighbour_id
+    assert len(got) > 800
+    for i in list(got)[::50]:
+        d = sorted(((rows[i][0] - a) ** 2 + (rows[i][1] - b) ** 2, j) for j, (a, b) in rows.items() if j != i)
+        assert [got[i][r] for r in range(1, 6)] == [j for _, j in d[:5]]
