@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrier.functions import geo
 from terrier.functions.lots import normalize_place, slug
+from terrier.functions.values import worked_out
 
 # Tags that make an area, and ranks of places by kind.
 WATER = {"natural": "water", "waterway": "riverbank", "landuse": "reservoir"}
@@ -65,9 +66,11 @@ def place_index(municipalities: DataFrame, places: DataFrame, home: str | None)
 
 def tile_cover(boxes: DataFrame, zooms: range, most: int = 256) -> DataFrame:
     """boxes (id, box in degrees): id, asked, zoom, x, y, tms_y, a row for each tile that a box meets at each of zooms. Where that would be more than `most`, the finest coarser level that has fewer stands for it, so that no box makes more rows than that. A null box has none."""
-    asked = boxes.where("box is not null").select("id", "box", F.explode(F.sequence(F.lit(zooms.start), F.lit(zooms.stop - 1))).alias("asked"))
+    # Dealt over as many parts as shuffles have: a small file of boxes is one task, but makes very many tiles.
+    dealt = boxes.where("box is not null").repartition(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    asked = dealt.select("id", "box", F.explode(F.sequence(F.lit(zooms.start), F.lit(zooms.stop - 1))).alias("asked"))
     tried = F.filter(F.transform(F.sequence(F.lit(0), F.col("asked")), lambda z: geo.tile_range(F.col("box"), z)), lambda r: (r["east"] - r["west"] + 1) * (r["south"] - r["north"] + 1) <= most)
-    found = asked.withColumn("r", F.element_at(tried, -1)).where("r.east >= r.west and r.south >= r.north")
+    found = worked_out(asked, F.element_at(tried, -1).alias("r")).where("r.east >= r.west and r.south >= r.north")
     across = found.select("id", "asked", "r", F.explode(F.sequence("r.west", "r.east")).alias("x"))
     down = across.select("id", "asked", F.col("r.zoom").alias("zoom"), "x", F.explode(F.sequence("r.north", "r.south")).alias("y"))
     return down.select("*", (F.pow(F.lit(2.0), F.col("zoom")).cast("long") - 1 - F.col("y")).alias("tms_y"))

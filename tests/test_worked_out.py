@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from terrier.functions.values import worked_out
-from terrier.operators import spatial
+from terrier.operators import features, spatial
 from terrier.plans import places
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +34,8 @@ def test_nearest_makes_no_row_of_a_pair_in_its_first_round(spark, monkeypatch):
     for i in list(got)[::50]:
         d = sorted(((rows[i][0] - a) ** 2 + (rows[i][1] - b) ** 2, j) for j, (a, b) in rows.items() if j != i)
         assert [got[i][r] for r in range(1, 6)] == [j for _, j in d[:5]]
+
+
+def test_tiles_of_a_small_file_are_dealt_over_all_parts(spark):
+    boxes = spark.range(20).coalesce(1).select("id", F.expr("named_struct('west', -67.6D, 'south', 45.0D, 'east', -67.4D, 'north', 45.2D)").alias("box"))
+    assert features.tile_cover(boxes, range(8, 11), 16).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
