@@ -147,8 +147,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         upto = done * GROWTH or 1
         named = met.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         # What is in one component already is not compared, so a bucket in one piece drops out.
-        open_ = named.join(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key"), "key")
-        if not open_.limit(1).count():
+        # Written, as all that follows reads it: its plan would else stand in the driver's memory several times over.
+        open_ = written(named.join(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key"), "key"), "open")
+        if open_.isEmpty():
+            drop_written(docs.sparkSession, open_)
             break
         leaders = open_.where((F.col("turn") > done) & (F.col("turn") <= upto)).select("key", F.col("node").alias("leader"), F.col("size").alias("leader_size"), F.col("turn").alias("leader_turn"), F.col("component").alias("of"), *[F.col(f"w{i}").alias(f"leader_w{i}") for i in range(BITMAP)])
         words, others = ([F.col(f"{side}w{i}") for i in range(BITMAP)] for side in ("", "leader_"))
@@ -158,6 +160,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links = links.unionByName(written(_similar(pairs, sets, similar), "similar"))
         old, labels = labels, written(connected_components(links, "a", "b"), "labels")
         drop_written(docs.sparkSession, old)
+        drop_written(docs.sparkSession, open_)
         done = upto
     labelled = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     roots = labelled.groupBy("component").agg(F.min("root").alias("root"))
