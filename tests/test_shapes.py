@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrier.functions import geo, values
-from terrier.operators import features
+from terrier.operators import features, spatial
 from terrier.sources import geojson
 
 SQUARE = [[-69.0, 45.0], [-68.999, 45.0], [-68.999, 45.001], [-69.0, 45.001], [-69.0, 45.0]]
@@ -76,3 +76,19 @@ def test_attributes_are_merged_right_over_left(spark):
     cases = [('{"b":1,"a":{"x":1,"y":2}}', '{"a":{"z":null}}', '{"a":{"z":null},"b":1}'), (None, '{"a":"1"}', '{"a":"1"}'), ('{"a":1}', None, '{"a":1}'), ("oops", "[]", "{}"), ('{"a":1.50}', '{"a":null}', '{"a":null}'), ('{"é":"\\"q"}', "{}", '{"é":"\\"q"}')]
     df = spark.createDataFrame([(a, b) for a, b, _ in cases], "a string, b string").coalesce(1)
     assert [r[0] for r in df.select(values.merge_attributes(F.col("a"), F.col("b"))).collect()] == [w for _, _, w in cases]
+
+
+def test_touching_measures_no_rings_that_share_a_corner(spark, monkeypatch):
+    """Rings with a corner in common are 0 apart as they stand; those without one are measured, and a corner that is no number is shared with none."""
+    measure, sent = geo.min_ring_distance, []
+    monkeypatch.setattr(geo, "min_ring_distance", lambda a, b: sent.append(True) or measure(a, b) + F.raise_error("measured"))
+    rows = spark.createDataFrame([("a", 0.0, 0.0), ("b", 100.0, 0.0), ("c", 100.0, 100.0)], "id string, x double, y double")
+    squares = lambda df: df.select("id", geo.square(F.col("x"), F.col("y"), 100.0).alias("ring"))
+    got = {(r.id, r.neighbour_id): r.distance for r in spatial.touching(squares(rows)).collect()}
+    assert got == {(i, j): 0.0 for i in "abc" for j in "abc" if i != j} and sent
+    monkeypatch.undo()
+    more = spark.createDataFrame([("d", -101.5, 0.0), ("e", 50.0, -100.0)], "id string, x double, y double")
+    odd = spark.createDataFrame([(i, [(0.0, 0.0), (float("nan"), 1.0), (0.0, 0.0)]) for i in "mn"], "id string, ring array<struct<x: double, y: double>>")
+    got = {(r.id, r.neighbour_id): r.distance for r in spatial.touching(squares(rows.unionByName(more)).unionByName(odd)).collect()}
+    want = {("a", "b"): 0.0, ("a", "c"): 0.0, ("b", "c"): 0.0, ("a", "d"): 1.5, ("a", "e"): 0.0, ("b", "e"): 0.0}
+    assert {k: v for k, v in got.items() if k[0] < k[1]} == want and len(got) == 2 * len(want)
