@@ -108,3 +108,15 @@ def test_similar_names(spark):
     got = {(r.a, r.b): r.type for r in ownership.similar_edges(ownership.candidate_pairs(rows, none)).collect()}
     assert got == {("DOE JOHN", "JOHN DOE"): "similar_name", ("STATE OF MAINE", "STATE OF MAINE DOT"): "possible_related", ("SMITH MARGARET", "SMITH MARGARETA"): "similar_name"}
     assert [tuple(r) for r in ownership.agency_edges(rows).collect()] == [("STATE OF MAINE", "STATE OF MAINE DOT")]
+
+
+def test_entities_read_their_rows_once(spark, monkeypatch):
+    """All sums, shares and spellings come of one table of sums; each used to parse every parcel again."""
+    read = []
+    keep = ownership.written
+    monkeypatch.setattr(ownership, "written", lambda df, name: read.append(name) or keep(df, name))
+    rows = spark.createDataFrame([("DOE", "Doe", "T", 1.0, 5.0, 3), ("DOE", "doe", "T", 2.0, None, 1), ("DOE", "Doe", "U", None, 5.0, 2), ("ROE", "Roe", None, 1.0, 1.0, 5), (None, None, "T", 1.0, 4.0, 4)], "owner string, owner_raw string, township string, acres double, taxable double, ordinal int")
+    out = ownership.entities(rows)
+    got = {r.owner: (r.examples, r.parcels, r.acres, r.taxable, r.townships, r.max_town_share, r.acre_share) for r in out.collect()}
+    assert got == {"DOE": ("doe;Doe", 3, 3.0, 10.0, 2, 0.75, 0.6), "ROE": ("Roe", 1, 1.0, 1.0, 0, None, 0.2)}
+    assert read == ["held"] and "LogicalRDD" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -54,3 +54,14 @@ def test_what_is_said_of_a_packet(spark):
 def test_packets_are_serialised_in_full(spark):
     whole = {json.loads(r.json)["scope"]: json.loads(r.json) for r in packets.packet_json(_found(spark)).collect()}
     assert len(whole["G1"]["parcels"]) == 25 and whole["G1"]["parcels"][0]["allocation"] == "copied_full_assessment" and whole["DOE JOHN~JOHN DOE"]["relations"][0]["target"] == "JOHN DOE"
+
+
+def test_observations_read_line_items_once(spark, monkeypatch):
+    """Touches and scores are made of the parcels as written; each used to sum all line items again."""
+    from terrier.plans import owners as plans
+    from terrier.plans import views
+
+    read, table = [], views.table
+    monkeypatch.setattr(views, "table", lambda s, d, name: read.append(name) or table(s, d, name))
+    every, _ = plans._observations(spark, "/root/testdata/sf0.001")
+    assert every.where("type is null").count() == 0 and read.count("lineitem") == 1

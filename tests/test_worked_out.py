@@ -39,3 +39,15 @@ def test_nearest_makes_no_row_of_a_pair_in_its_first_round(spark, monkeypatch):
 def test_tiles_of_a_small_file_are_dealt_over_all_parts(spark):
     boxes = spark.range(20).coalesce(1).select("id", F.expr("named_struct('west', -67.6D, 'south', 45.0D, 'east', -67.4D, 'north', 45.2D)").alias("box"))
     assert features.tile_cover(boxes, range(8, 11), 16).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_names_of_owners_are_worked_out_once_an_owner(spark):
+    """Below the join that gives each parcel its owner, and in one place only: an owner has ten parcels or more."""
+    from terrier.plans import owners as plans
+
+    plan = plans.rows(spark, "/root/testdata/sf0.001").where("owner is not null").select("owner", "parcel_id")._jdf.queryExecution().optimizedPlan().toString()
+    name = [line for line in plan.splitlines() if "ET AL" in line]
+    assert len(name) == 1
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    parcels = next(line for line in plan.splitlines() if "Join" in line and "o_custkey" in line)
+    assert depth(parcels) < depth(name[0])
