@@ -120,3 +120,12 @@ def test_entities_read_their_rows_once(spark, monkeypatch):
     got = {r.owner: (r.examples, r.parcels, r.acres, r.taxable, r.townships, r.max_town_share, r.acre_share) for r in out.collect()}
     assert got == {"DOE": ("doe;Doe", 3, 3.0, 10.0, 2, 0.75, 0.6), "ROE": ("Roe", 1, 1.0, 1.0, 0, None, 0.2)}
     assert read == ["held"] and "LogicalRDD" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lags_make_no_table_of_counts_a_pair(spark):
+    rows = spark.createDataFrame([("a", 1.0, 9.0), ("b", 4.0, None), ("c", 2.0, 1.0), ("d", 10.0, 3.0), ("e", None, 5.0)], "parcel_id string, taxable double, taxable_per_acre double").selectExpr("*", "false as unjoined", "'single_lot' as allocation")
+    near = spark.createDataFrame([("a", x) for x in "bcd"] + [("b", "a"), ("b", "d"), ("b", "e"), ("c", "e"), ("d", "b")], "id string, neighbour_id string")
+    out = spatial.lags(rows, near)
+    got = {r.parcel_id: (r.lag_taxable, r.lag_per_acre, r.lag_n, r.lag_residual) for r in out.collect()}
+    assert got == {"a": (4.0, 2.0, 3, -3.0), "b": (5.5, 6.0, 2, -1.5), "c": (None, None, 0, None), "d": (4.0, None, 1, 6.0), "e": (None, None, 0, None)}
+    assert "ObjectHashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
