@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrier.functions import codes, display
 from terrier.functions import values as v
 from terrier.operators import ownership, serving, spatial
-from terrier.plans.owners import _SIMILAR_SQL, ROWS_SQL, _owned_pairs, rows
+from terrier.plans.owners import _SIMILAR_SQL, ROWS_SQL, _adjacent
 from terrier.plans.places import TOUCH_SQL, touches
 from terrier.plans.registry import Registry
 from terrier.plans.scoring import _FLAGS, _PERCENT, _percents
@@ -102,7 +102,7 @@ def touch_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, neighbour_id, TRUE AS same_owner, FALSE AS similar_name FROM pairs WHERE oa = ob UNION ALL SELECT id, neighbour_id, FALSE, TRUE FROM pairs JOIN e ON e.a = least(oa, ob) AND e.b = greatest(oa, ob) WHERE oa <> ob""")
 def adjacent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Touching parcels of one owner, and of two with similar names."""
-    pairs = written(_owned_pairs(rows(spark, sf_dir), touches(spark, sf_dir)), "pairs")
+    pairs = written(_adjacent(spark, sf_dir), "pairs")
     across = pairs.where("oa != ob").select(F.least("oa", "ob").alias("a"), F.greatest("oa", "ob").alias("b"))
     none = spark.createDataFrame([], "owner string, township string, mail string")
     return ownership.adjacent_edges(pairs, ownership.similar_edges(ownership.candidate_pairs(none, across)).where("type = 'similar_name'"))

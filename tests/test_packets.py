@@ -65,3 +65,30 @@ def test_observations_read_line_items_once(spark, monkeypatch):
     monkeypatch.setattr(views, "table", lambda s, d, name: read.append(name) or table(s, d, name))
     every, _ = plans._observations(spark, "/root/testdata/sf0.001")
     assert every.where("type is null").count() == 0 and read.count("lineitem") == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_on_touches_join_no_parcels(spark, monkeypatch):
+    """What is asked of either end goes along with a touch; tables of touches were joined six times before."""
+    known = "struct<unjoined: boolean, family: string, vacant: boolean, acres: double, township: string, owner: string>"
+    hole, full, tract = (True, "plat", False, None, "T", "A"), (False, "wa_map", False, 1.0, "U", "B"), (False, "wa_map", True, 100.0, "T", None)
+    touches = spark.createDataFrame([("a", "b", hole, full), ("a", "c", hole, full), ("b", "t", full, tract), ("c", "t", full, tract), ("a", "t", hole, tract), ("d", "t", full, tract), ("e", "t", full, tract)], f"id string, neighbour_id string, own {known}, other {known}")
+    plans, written = [], observations.written
+    monkeypatch.setattr(observations, "written", lambda df, name: plans.append(_plan(df)) or written(df, name))
+    holes = [tuple(r) for r in observations.plat_holes(touches).select("scope", "observed", "parcels").collect()]
+    tracts = [tuple(r) for r in observations.vacant_among_improved(touches).select("scope", "observed", "parcels").collect()]
+    assert holes == [("T", 1.0, ["a"])] and tracts == [("_unknown", 1.0, ["t"])]
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
+
+
+def test_names_are_compared_once_a_pair_of_owners(spark):
+    """A filter on a pair's names used to be pushed down below the sums, to every touch."""
+    from terrier.operators import ownership
+
+    none = spark.createDataFrame([], "owner string, township string, mail string")
+    edges = ownership.similar_edges(ownership.candidate_pairs(none, spark.createDataFrame([("ANN ROE", "ANNA ROE")] * 9, "a string, b string")))
+    assert [(r.a, r.b, r.type) for r in edges.collect()] == [("ANN ROE", "ANNA ROE", "similar_name")]
+    assert "Aggregate" not in _plan(edges)
