@@ -92,3 +92,17 @@ def test_touching_measures_no_rings_that_share_a_corner(spark, monkeypatch):
     got = {(r.id, r.neighbour_id): r.distance for r in spatial.touching(squares(rows.unionByName(more)).unionByName(odd)).collect()}
     want = {("a", "b"): 0.0, ("a", "c"): 0.0, ("b", "c"): 0.0, ("a", "d"): 1.5, ("a", "e"): 0.0, ("b", "e"): 0.0}
     assert {k: v for k, v in got.items() if k[0] < k[1]} == want and len(got) == 2 * len(want)
+
+
+def test_few_that_ask_meet_each_point_once(spark, monkeypatch):
+    """Where only some ask, all points used to be dealt to nine cells each; the k nearest are the same, ties included."""
+    rows = [(i, float(i % 40) * 10, float(i // 40) * 10, i % 2 == 0, i % 50 == 0) for i in range(1600)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, side boolean, asks boolean")
+    dealt, few = [], spatial._nearest_of_few
+    monkeypatch.setattr(spatial, "_nearest_of_few", lambda *a: dealt.append(1) or few(*a))
+    got = {(r.id, r["rank"]): (r.neighbour_id, r.distance) for r in spatial.nearest(df, 7, part="side", asks="asks").collect()}
+    want = {}
+    for i, x, y, s, _ in (r for r in rows if r[4]):
+        near = sorted((((x - a) ** 2 + (y - b) ** 2) ** 0.5, j) for j, a, b, t, _ in rows if t == s and j != i)[:7]
+        want |= {(i, at + 1): (j, pytest.approx(d)) for at, (d, j) in enumerate(near)}
+    assert got == want and dealt
